@@ -441,7 +441,8 @@ def _(spark, d):
   SELECT 'node' AS kind, node_id AS a, '' AS b, '' AS t FROM nodes WHERE node_id NOT IN (SELECT node_id FROM gone)
   UNION ALL SELECT 'edge', src, dst, rel_type FROM edges WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone)""")
 def _(spark, d):
-    n, e = built(spark, d)
+    from caselens.session import materialize
+    n, e = (materialize(x, "graph") for x in built(spark, d))
     doomed = n.filter("label = 'Evidence' and evidence_id in ('ev_1_1', 'ev_4_0')").select("case_id", "evidence_id")
     n2, e2 = gr.delete_evidence(n, e, doomed)
     blank = F.lit("")
@@ -588,7 +589,7 @@ def _(spark, d):
     return jn.around_target(ev, targets, 120).select("case_id", "event_id", "ts", "target_ts")
 
 
-@query("snk_graph", G + """, x AS (SELECT * FROM edges WHERE rel_type<>'USES_PORT') SELECT src, dst, rel_type, ts, event_id, coalesce(e.is_anomaly,false) OR coalesce(s.is_anomaly,false) OR coalesce(t.is_anomaly,false) AS is_anomaly
+@query("snk_graph", G + """, x AS (SELECT * FROM edges WHERE rel_type<>'USES_PORT') SELECT src, dst, rel_type, e.ts, event_id, coalesce(e.is_anomaly,false) OR coalesce(s.is_anomaly,false) OR coalesce(t.is_anomaly,false) AS is_anomaly
   FROM x e JOIN (SELECT * FROM nodes WHERE label<>'Service') s ON s.node_id=src JOIN (SELECT * FROM nodes WHERE label<>'Service') t ON t.node_id=dst""")
 def _(spark, d):
     from caselens.session import scratch_path
