@@ -342,3 +342,11 @@ def export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         .drop("_sa", "_da")
     )
     return n, e.select(*EDGE_COLUMNS)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Export as JSON lines under ``path``/nodes and ``path``/edges; times keep microseconds."""
+    n, e = export(nodes, edges)
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    n.write.mode("overwrite").option("timestampNTZFormat", fmt).json(f"{path}/nodes")
+    e.write.mode("overwrite").option("timestampNTZFormat", fmt).json(f"{path}/edges")

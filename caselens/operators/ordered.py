@@ -148,3 +148,36 @@ def milestones(events: DataFrame, n: int = 12) -> DataFrame:
     fill = top_n(fill, ["case_id"], [F.asc("pos")], n).filter(F.col("rank") <= n - F.col("_keys"))
     both = keys.unionByName(fill.select(*keys.columns))
     return top_n(both.drop("_key"), ["case_id"], order, n)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, q: Column) -> DataFrame:
+    """Exact linear-interpolated quantile of each group.
+
+    Equal values are counted first; the distinct values are range-partitioned
+    and summed per task, so neither a hot group nor a hot value gathers in one.
+    ``q`` may use ``n``, the group's row count.
+    """
+    keys = [F.col(c) for c in by]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.groupBy(*by, value).agg(F.count("*").alias("_w"))
+    d = materialize(
+        d.repartitionByRange(parts, *keys, F.col(value)).withColumn("_part", F.spark_partition_id()), "values")
+    run = F.sum("_w").over(Window.partitionBy("_part", *by).orderBy(value))
+    sums = d.groupBy(*by, "_part").agg(F.sum("_w").alias("_p"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_p").over(before), F.lit(0))).withColumn(
+        "n", F.sum("_p").over(Window.partitionBy(*by)))
+    at = (F.col("n") - 1) * q
+    ranked = d.withColumn("_run", run).join(sums, [*by, "_part"]).withColumn("_cum", F.col("_start") + F.col("_run")).withColumn("_h", at)
+    lo = F.min(F.when(F.col("_cum") > F.floor("_h"), F.col(value)))
+    hi = F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col(value)))
+    return ranked.groupBy(*by).agg(lo.alias("_lo"), hi.alias("_hi"), F.any_value("_h").alias("_h"), F.any_value("n").alias("n")).select(
+        *by, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))).alias("quantile"))
+
+
+def min_max(df: DataFrame, by: list[str], value: str, out: str, invert: bool = False) -> DataFrame:
+    """Scale to 0..1 within each group; a constant group gives 0."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    scaled = (F.col(value) - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))
+    score = F.when(F.col("_mx") > F.col("_mn"), (1 - scaled) if invert else scaled).otherwise(0.0)
+    return df.join(ends, by).withColumn(out, score).drop("_mn", "_mx")

@@ -594,8 +594,7 @@ def _(spark, d):
 def _(spark, d):
     from caselens.session import scratch_path
     n, e = built(spark, d)
-    _n, out = gr.export(n.filter("label <> 'Service'"), e.filter("rel_type <> 'USES_PORT'"))
     path = scratch_path(spark, "graph-json")
-    out.write.json(path)
-    back = spark.read.schema(out.schema).json(path)
+    gr.write_graph(n.filter("label <> 'Service'"), e.filter("rel_type <> 'USES_PORT'"), path)
+    back = spark.read.schema(e.schema).json(f"{path}/edges")
     return back.select("src", "dst", "rel_type", "ts", "event_id", "is_anomaly")
