@@ -124,7 +124,6 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
     active, found = vecs, None
     for w in WIDTHS[start:]:
         last = w == WIDTHS[-1]
-        around = F.lit(None)
         offsets = F.array(*[F.lit(o).cast("bigint") for o in (-1, 0, 1)])
         probe = active.select("case_id", "vid", "k", *[F.col(x).alias("a_" + x) for x in xs], *[c.alias(f"g{i}") for i, c in enumerate(_cell(grid, w))])
         for i in range(len(GRID)):
@@ -138,7 +137,9 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
         if not last:
             pairs = pairs.filter(F.col("d") <= w)
         cum = Window.partitionBy("case_id", "vid").orderBy("d")
-        near = pairs.filter("nw > 0").withColumn("_cum", F.sum("nw").over(cum)).withColumn(
+        # the k-distance neighbours have rank <= k; map tasks drop the rest before the shuffle
+        close = pairs.filter("nw > 0").withColumn("_r", F.rank().over(cum)).filter(F.col("_r") <= k)
+        near = close.withColumn("_cum", F.sum("nw").over(cum)).withColumn(
             "kd", F.min(F.when(F.col("_cum") >= F.col("k"), F.col("d"))).over(Window.partitionBy("case_id", "vid")))
         near = materialize(near.filter("d <= kd").select("case_id", "vid", "nb", "nw", "d", "kd"), "knn")
         found = near if found is None else found.unionByName(near)

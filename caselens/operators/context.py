@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.operators.ordered import top_n
+from caselens.functions.text import iso_micros
+from caselens.operators.aggregates import stats, technique_set
+from caselens.operators.describe import with_description
+from caselens.operators.filters import any_of
+from caselens.operators.ordered import milestones, sessions, span, top_n
 from caselens.schema import severity_rank
 
 
@@ -20,3 +26,135 @@ def top_anomalies(events: DataFrame, n: int = 30, compat: bool = False) -> DataF
     level = F.col("severity") if compat else severity_rank(F.col("severity"))
     fallback = top_n(rest, ["case_id"], [level.desc(), F.desc("ts"), F.asc("event_id")], n)
     return best.unionByName(fallback)
+
+
+def _ranked(order: str, *cols: str) -> Column:
+    """Bounded list of structs in rank order."""
+    return F.array_sort(F.collect_list(F.struct(order, *cols)))
+
+
+def bundle(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """One row per case: top 30 anomalies, findings, newest 100 files, techniques, sessions, hits.
+
+    Every list is cut to its size before it is collected.
+    """
+    anom = top_anomalies(events, 30)
+    a = anom.groupBy("case_id").agg(_ranked("rank", "event_id", "severity", "ts", "subject", "action", "object", "anomaly_score", "mitre_techniques").alias("anomalies"))
+    f = top_n(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], 100)
+    f = f.groupBy("case_id").agg(_ranked("rank", "rule", "source", "target", "score", "explanation").alias("correlations"))
+    e = top_n(evidence, ["case_id"], [F.desc("created_at"), F.asc("evidence_id")], 100)
+    e = e.groupBy("case_id").agg(_ranked("rank", "evidence_id", "filename", "file_type", "status", "size_bytes").alias("evidence_list"))
+    t = technique_set(anom).groupBy("case_id").agg(F.array_sort(F.collect_set("technique_id")).alias("techniques"))
+    s = top_n(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], 5)
+    s = s.groupBy("case_id").agg(_ranked("rank", "start_ts", "end_ts", "event_count").alias("sessions"))
+    out = cases
+    for part in (a, f, e, t, s):
+        out = out.join(part, "case_id", "left")
+    if hits is not None:
+        h = hits.groupBy("case_id").agg(_ranked("rank", "event_id", "score").alias("semantic_hits"))
+        out = out.join(h, "case_id", "left")
+    return out
+
+
+def report(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame) -> DataFrame:
+    """Report bundle per case: totals, top 10 anomalies, 8 findings, 12 milestones, 5 sessions."""
+    totals = stats(events).filter("evidence_id is null").select("case_id", "total", "anomalies", "critical")
+    anom = with_description(top_anomalies(events, 10), report_style=True)
+    a = anom.groupBy("case_id").agg(_ranked("rank", "event_id", "severity", "description").alias("top_anomalies"))
+    f = top_n(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], 8)
+    f = f.groupBy("case_id").agg(_ranked("rank", "rule", "source", "target", "score").alias("findings"))
+    m = with_description(milestones(events), report_style=True)
+    m = m.groupBy("case_id").agg(_ranked("rank", "ts", "event_id", "description").alias("timeline"))
+    s = top_n(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], 5)
+    s = s.groupBy("case_id").agg(_ranked("rank", "start_ts", "end_ts", "event_count").alias("sessions"))
+    e = evidence.groupBy("case_id").agg(F.count("*").alias("files"))
+    out = cases.join(totals, "case_id", "left").join(span(events, ["case_id"]).select("case_id", "span_hours"), "case_id", "left")
+    for part in (a, f, m, s, e):
+        out = out.join(part, "case_id", "left")
+    return out
+
+
+def prompt(bundles: DataFrame, system: str = "") -> DataFrame:
+    """One text brief per case; evidence is fenced as untrusted data. Caps: 12 anomalies, 10 findings."""
+    def lines(title: str, items: Column, fmt: Callable[[Column, Column], Column]) -> Column:
+        body = F.array_join(F.transform(items, lambda x, i: fmt(x, i + 1)), "\n")
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"--- {title} ---\n"), body))
+
+    def num(i: Column) -> Column:
+        return i.cast("string")
+
+    files = lines("Uploaded Evidence Files", F.col("evidence_list"), lambda x, i: F.concat(
+        F.lit("File "), num(i), F.lit(": "), x.filename, F.lit(" (Type: "), x.file_type, F.lit(", Status: "), x.status,
+        F.lit(", Size: "), F.format_string("%.1f KB", F.bround(x.size_bytes / 1024, 1)), F.lit(")")))
+    anomalies = lines("Top Anomaly Detections", F.slice("anomalies", 1, 12), lambda x, i: F.concat(
+        F.lit("Anomaly "), num(i), F.lit(": ["), F.upper(x.severity), F.lit("] "), iso_micros(x.ts), F.lit(" | Subject: "), x.subject,
+        F.lit(" | Action: "), x.action, F.lit(" | Object: "), x.object, F.lit(" | MITRE: "),
+        F.when(F.size(x.mitre_techniques) > 0, F.array_join(x.mitre_techniques, ", ")).otherwise("None")))
+    found = lines("Graph Correlations", F.slice("correlations", 1, 10), lambda x, i: F.concat(
+        F.lit("  ["), x.rule, F.lit("] "), x.source, F.lit(" -> "), x.target))
+    techs = lines("Mapped Techniques", F.col("techniques"), lambda x, i: F.concat(F.lit("  Technique "), x))
+    text = F.concat_ws(
+        "\n", F.lit(system) if system else F.lit(None), F.concat(F.lit("Case ID: "), "case_id"), F.concat(F.lit("Case Title: "), "title"),
+        F.concat(F.lit("Case Status: "), "status"), F.lit("<EVIDENCE>"), files, anomalies, found, techs, F.lit("</EVIDENCE>"))
+    return bundles.select("case_id", text.alias("prompt"))
+
+
+PLAYBOOK = [
+    ("process", "Terminate suspicious process trees and block unauthorized command-line binaries."),
+    ("credential", "Force password resets and revoke tickets of affected accounts."),
+    ("isolation", "Isolate the affected endpoint from internal networks."),
+    ("telemetry", "Collect memory dumps and export event logs for the chain of custody."),
+]
+TOOL_WORDS = ["powershell", "cmd", "mimikatz", "certutil"]
+CREDENTIAL_WORDS = ["lsass", "mimikatz"]
+
+
+def playbook(anomalies: DataFrame, findings: DataFrame, techniques: DataFrame) -> DataFrame:
+    """Response actions per case from the tools and tactics seen; each side is reduced first."""
+    def words(df: DataFrame, col: str) -> DataFrame:
+        low = F.lower(F.coalesce(col, F.lit("")))
+        return df.select("case_id", any_of([low.contains(w) for w in TOOL_WORDS]).alias("tool"), any_of([low.contains(w) for w in CREDENTIAL_WORDS]).alias("cred"))
+
+    marks = words(findings, "target").unionByName(words(anomalies, "object")).unionByName(
+        techniques.select("case_id", F.lit(False).alias("tool"), (F.col("tactic") == "Credential Access").alias("cred")))
+    per_case = marks.groupBy("case_id").agg(F.bool_or("tool").alias("tool"), F.bool_or("cred").alias("cred"))
+    on = [F.col("tool"), F.col("cred"), F.lit(True), F.lit(True)]
+    acts = F.array_compact(F.array(*[F.when(o, F.struct(F.lit(k).alias("kind"), F.lit(t).alias("action"))) for o, (k, t) in zip(on, PLAYBOOK)]))
+    return per_case.select("case_id", F.posexplode(acts).alias("pos", "a")).select("case_id", (F.col("pos") + 1).alias("step"), "a.kind", "a.action")
+
+
+# Process words a question may name, tested in this order.
+ENTITY_WORDS = ["powershell", "cmd", "mimikatz", "certutil", "svchost", "lsass", "psexec", "explorer"]
+
+
+def named_process(question: Column) -> Column:
+    low = F.lower(question)
+    return F.coalesce(*[F.when(low.contains(w), F.lit(w)) for w in ENTITY_WORDS])
+
+
+def entity_hits(questions: DataFrame, findings: DataFrame, anomalies: DataFrame, n: int = 5) -> DataFrame:
+    """Top n findings and anomalies that mention the process named in a question (question_id, case_id, question)."""
+    q = questions.select("question_id", "case_id", named_process(F.col("question")).alias("word")).filter("word is not null")
+
+    def mention(*cols: str) -> Column:
+        return any_of([F.coalesce(F.lower(c).contains(F.col("word")), F.lit(False)) for c in cols])
+
+    f = findings.join(q, "case_id").filter(mention("source", "target")).select(
+        "question_id", F.lit("finding").alias("kind"), F.col("correlation_id").alias("id"), F.col("score").cast("double").alias("score"))
+    a = anomalies.join(q, "case_id").filter(mention("subject", "object", "process_name", "command_line")).select(
+        "question_id", F.lit("anomaly").alias("kind"), F.col("event_id").alias("id"), F.col("anomaly_score").alias("score"))
+    return top_n(f.unionByName(a), ["question_id", "kind"], [F.desc("score"), F.asc("id")], n)
+
+
+def citations(evidence: DataFrame, hits: DataFrame, techniques: DataFrame, findings: DataFrame) -> DataFrame:
+    """Sources of an answer per case: its files, 4 events, 3 techniques, 2 findings."""
+    def part(df: DataFrame, kind: str, key: str, order: list, n: int) -> DataFrame:
+        return top_n(df.select("case_id", F.col(key).alias("source"), *[c for c in df.columns if c in ("score", "created_at") and c != key]),
+                     ["case_id"], order, n).select("case_id", F.lit(kind).alias("kind"), "source", "rank")
+
+    return (
+        part(evidence, "evidence_file", "filename", [F.desc("created_at"), F.asc("source")], 100)
+        .unionByName(part(hits, "event_log", "event_id", [F.desc("score"), F.asc("source")], 4))
+        .unionByName(part(techniques, "mitre_technique", "technique_id", [F.asc("source")], 3))
+        .unionByName(part(findings, "graph_correlation", "correlation_id", [F.desc("score"), F.asc("source")], 2))
+    )

@@ -92,10 +92,16 @@ def span(df: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     ).withColumn("span_hours", F.round(seconds_between(F.col("first_ts"), F.col("last_ts")) / 3600, 2))
 
 
-def audit_payload_hash() -> Column:
-    """Hash over every audit field except the hash itself."""
-    cols = ["actor_id", "organization_id", "action", "entity_type", "entity_id", "metadata", "prev_hash", "created_at"]
-    return sha_json(**{c: F.col(c) for c in cols})
+AUDIT_FIELDS = ["actor_id", "organization_id", "action", "entity_type", "entity_id", "metadata", "created_at"]
+
+
+def audit_digest() -> Column:
+    """Digest of an audit row's own fields; needs no other row."""
+    return sha_json(**{c: F.col(c) for c in AUDIT_FIELDS})
+
+
+def chained(prev_hash: Column, digest: Column) -> Column:
+    return F.sha2(F.concat(prev_hash, digest), 256)
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def verify_chain(audit: DataFrame) -> DataFrame:
     )
     linked = rows.join(before, ["organization_id", "pos"], "left")
     broken = (F.col("prev_hash") != F.coalesce("_before", F.lit(GENESIS))) | (
-        audit_payload_hash() != F.col("self_hash")
+        chained(F.col("prev_hash"), audit_digest()) != F.col("self_hash")
     )
     bad = F.when(broken, F.struct("pos", "audit_id"))
     return linked.groupBy("organization_id").agg(

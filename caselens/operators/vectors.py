@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import point_id
 from caselens.operators.describe import sentence
+from caselens.operators.ordered import top_n
 
 
 def sentence_map(events: DataFrame) -> DataFrame:
@@ -20,3 +26,120 @@ def unique_sentences(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("case_id", "sentence_id").agg(
         F.any_value("sentence").alias("sentence"), F.count("*").alias("copies")
     )
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two float arrays in double precision."""
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+
+
+def hashed_embedding(sentences: DataFrame, text: str = "sentence", dim: int = 384, out: str = "embedding") -> DataFrame:
+    """Unit vectors from hashed word counts (Spark ML, no fit needed)."""
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    df = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+").transform(sentences)
+    df = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(df)
+    df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
+    return df.withColumn(out, vector_to_array("_unit", "float32")).drop("_tok", "_tf", "_unit")
+
+
+def encoder_embedding(
+    sentences: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "sentence", out: str = "embedding",
+) -> DataFrame:
+    """Vectors from any batch encoder.
+
+    ``load`` runs once per Python worker and returns ``encode(texts) -> matrix``.
+    """
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            m = np.asarray(model(texts.tolist()), dtype=np.float32)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            yield pd.Series(list(m / np.where(norm == 0, 1, norm)))
+
+    return sentences.withColumn(out, encode(text))
+
+
+def embed_events(events: DataFrame, embed: Callable[[DataFrame], DataFrame] = hashed_embedding) -> DataFrame:
+    """Event vectors; each distinct sentence of a case is embedded once."""
+    mapped = sentence_map(events)
+    vectors = embed(unique_sentences(mapped).select("case_id", "sentence_id", "sentence"))
+    return mapped.select("case_id", "event_id", "sentence_id").join(
+        vectors.select("case_id", "sentence_id", "embedding"), ["case_id", "sentence_id"])
+
+
+def topk_in_case(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact inner-product top-k of each query within its own case.
+
+    ``vectors(case_id, id, embedding)``, ``queries(case_id, query_id, query)``.
+    Map tasks keep k rows per query before the shuffle.
+    """
+    scored = vectors.join(queries, "case_id").withColumn("score", dot(F.col("embedding"), F.col("query")))
+    return top_n(scored.drop("embedding", "query"), ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 50_000, query_block: int = 2_000) -> DataFrame:
+    """Exact inner-product top-k of every query over all vectors.
+
+    Both sides are cut into blocks of bounded size by a hash; a task multiplies
+    one pair of blocks as matrices and returns only k rows per query. Neither
+    side is collected or broadcast.
+    """
+    nv = max(1, -(-vectors.count() // block))
+    nq = max(1, -(-queries.count() // query_block))
+    v = vectors.select("id", "embedding").withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q = queries.select("query_id", "query").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        left = left.sort_values("id")
+        ids = left["id"].to_numpy()
+        m = np.stack(left["embedding"].to_numpy()).astype(np.float64)
+        out = []
+        for qid, vec in zip(right["query_id"], right["query"]):
+            s = np.round(m @ np.asarray(vec, dtype=np.float64), 9)
+            top = np.argsort(-s, kind="stable")[:k]
+            out.append(pd.DataFrame({"query_id": qid, "id": ids[top], "score": s[top]}))
+        return pd.concat(out)
+
+    part = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(best, "query_id string, id string, score double")
+    return top_n(part, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def similar_cases(case_vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k most similar other cases of each query case, score to 4 places."""
+    v = case_vectors.select(F.col("case_id").alias("id"), "embedding")
+    q = queries.select(F.col("case_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = topk_all(v, q, k + 1).filter("query_id <> id").drop("rank")
+    return top_n(hits, ["query_id"], [F.desc("score"), F.asc("id")], k).select(
+        F.col("query_id").alias("case_id"), F.col("id").alias("similar_case"), F.round("score", 4).alias("score"), "rank")
+
+
+def case_text(cases: DataFrame, events: DataFrame, n: int = 20) -> DataFrame:
+    """One summary line per case: title, status, description, techniques and entities of its top anomalies."""
+    top = top_n(events.filter("is_anomaly"), ["case_id"], [F.desc("anomaly_score"), F.asc("event_id")], n)
+    seen = top.groupBy("case_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("mitre_techniques")))).alias("tech"),
+        F.array_sort(F.collect_set("subject")).alias("subj"))
+    df = cases.join(seen, "case_id", "left")
+    tech = F.when(F.size("tech") > 0, F.concat(F.lit("MITRE techniques observed: "), F.array_join("tech", ", ")))
+    subj = F.when(F.size("subj") > 0, F.concat(F.lit("Key entities: "), F.array_join(F.slice("subj", 1, 10), ", ")))
+    desc = F.when(F.col("description") != "", F.concat(F.lit("Description: "), "description"))
+    text = F.concat_ws(" | ", F.concat(F.lit("Case: "), F.coalesce("title", F.lit("Untitled"))),
+                       F.concat(F.lit("Status: "), F.coalesce("status", F.lit("open"))), desc, tech, subj)
+    return df.select(*cases.columns, text.alias("case_text"))
+
+
+def case_index(cases: DataFrame, events: DataFrame, stored: DataFrame | None = None, embed: Callable[..., DataFrame] = hashed_embedding) -> DataFrame:
+    """One vector per case under a stable id; new rows replace stored ones."""
+    new = embed(case_text(cases, events), text="case_text").select(
+        point_id(F.col("case_id")).alias("point_id"), "case_id", "title", "status", F.substring("case_text", 1, 500).alias("summary_text"), "embedding")
+    if stored is None:
+        return new
+    return stored.join(new.select("point_id"), "point_id", "left_anti").unionByName(new)

@@ -28,7 +28,10 @@ def _s(col: Column) -> Column:
 
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = table(spark, sf_dir, "events")
+    return to_canonical(table(spark, sf_dir, "events"))
+
+
+def to_canonical(src: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     c, i = F.col("user_id") % 8, F.floor(F.col("user_id") / 8)
     base = src.select(
@@ -192,3 +195,38 @@ CASES_SQL = """
 cases AS (SELECT 'case_'||c_custkey AS case_id, 'org_'||(c_custkey%4) AS organization_id, c_name AS title,
   'Segment '||lower(c_mktsegment) AS description,
   (['open','in_progress','suspended','resolved'])[c_nationkey%4+1] AS status FROM customer)"""
+
+
+def event_cases(events: DataFrame) -> DataFrame:
+    """Cases that the events belong to."""
+    return events.groupBy("case_id").agg(F.any_value("organization_id").alias("organization_id")).select(
+        "case_id", "organization_id", F.concat(F.lit("Title of "), "case_id").alias("title"),
+        F.when(F.col("organization_id") == "org_0", "open").otherwise("resolved").alias("status"), F.lit("").alias("description"))
+
+
+def event_evidence(events: DataFrame) -> DataFrame:
+    """Evidence files that the events come from."""
+    return events.groupBy("case_id", "evidence_id").agg(
+        F.min("ts").alias("created_at"), (F.count("*") * 100).alias("size_bytes"), F.min("source").alias("file_type")
+    ).withColumn("filename", F.concat("evidence_id", F.lit(".log"))).withColumn("status", F.lit("parsed"))
+
+
+EVENT_CASES_SQL = """ecases AS (SELECT case_id, any_value(organization_id) AS organization_id, 'Title of '||case_id AS title,
+  CASE WHEN any_value(organization_id)='org_0' THEN 'open' ELSE 'resolved' END AS status FROM ev GROUP BY case_id),
+ eevid AS (SELECT case_id, evidence_id, min(ts) AS created_at, count(*)*100 AS size_bytes, min(source) AS file_type, evidence_id||'.log' AS filename, 'parsed' AS status FROM ev GROUP BY 1,2)"""
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit row per event: the organization is the case."""
+    ev = canonical_events(spark, sf_dir)
+    return ev.select(
+        F.col("event_id").alias("audit_id"), F.col("subject").alias("actor_id"), F.col("case_id").alias("organization_id"),
+        F.concat(F.lit("evidence."), "action").alias("action"), F.lit("evidence").alias("entity_type"), F.col("evidence_id").alias("entity_id"),
+        F.concat(F.lit('{"case_id": "'), "case_id", F.lit('", "filename": "'), "source_file", F.lit('"}')).alias("metadata"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"))
+
+
+AUDIT_SQL = """aud AS (SELECT event_id AS audit_id, subject AS actor_id, case_id AS organization_id, 'evidence.'||action AS action, 'evidence' AS entity_type, evidence_id AS entity_id,
+  '{"case_id": "'||case_id||'", "filename": "'||source_file||'"}' AS metadata, strftime(ts,'%Y-%m-%dT%H:%M:%S.%f') AS created_at FROM ev),
+ audd AS (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY created_at, audit_id) AS pos,
+  sha256('{"action":"'||action||'","actor_id":"'||actor_id||'","created_at":"'||created_at||'","entity_id":"'||entity_id||'","entity_type":"'||entity_type||'","metadata":"'||replace(metadata,'"','\\"')||'","organization_id":"'||organization_id||'"}') AS digest FROM aud)"""
