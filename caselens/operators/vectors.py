@@ -101,12 +101,14 @@ def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 5
         left = left.sort_values("id")
         ids = left["id"].to_numpy()
         m = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        out = []
+        names, hits, scores = [], [], []
         for qid, vec in zip(right["query_id"], right["query"]):
             s = np.round(m @ np.asarray(vec, dtype=np.float64), 9)
             top = np.argsort(-s, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": qid, "id": ids[top], "score": s[top]}))
-        return pd.concat(out)
+            names += [qid] * len(top)
+            hits += list(ids[top])
+            scores += list(s[top])
+        return pd.DataFrame({"query_id": names, "id": hits, "score": scores})
 
     part = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(best, "query_id string, id string, score double")
     return top_n(part, ["query_id"], [F.desc("score"), F.asc("id")], k)

@@ -129,13 +129,19 @@ def csv_lines(df: DataFrame, header: Column, line: Column, source_file: Column,
 
 
 def json_items(df: DataFrame, content: str = "content") -> DataFrame:
-    """Whole JSON files to one ``item`` per row: an array, one object, or lines (bad lines are skipped)."""
+    """Whole JSON files to one ``item`` per row: an array, one object, or lines (bad lines are skipped).
+
+    Text in braces is lines when its first line is an object of its own.
+    """
     text = strip(F.col(content))
     is_array = text.startswith("[") & text.endswith("]")
-    one = text.startswith("{") & text.endswith("}") & F.try_parse_json(text).isNotNull()
+    lines = F.split(text, LINE_BREAK)
+    head = F.trim(F.get(lines, 0))
+    first_is_object = (F.size(lines) > 1) & head.endswith("}") & F.try_parse_json(head).isNotNull()
+    one = text.startswith("{") & text.endswith("}") & ~first_is_object
     items = (
         F.when(is_array, F.from_json(text, "array<string>")).when(one, F.array(text))
-        .otherwise(F.filter(F.split(text, LINE_BREAK), lambda x: F.trim(x).startswith("{")))
+        .otherwise(F.filter(lines, lambda x: F.trim(x).startswith("{")))
     )
     rest = [c for c in df.columns if c != content]
     return df.select(*rest, F.explode(items).alias("item"))
