@@ -21,16 +21,20 @@ Detector = Callable[[DataFrame], DataFrame]
 
 
 def features(events: DataFrame) -> DataFrame:
-    """Six numbers per event: hour, weekend, three value frequencies in the case, severity."""
+    """Six numbers per event: hour, weekend, three value frequencies in the case, severity.
+
+    Count tables are written before the joins, so the planner knows their size:
+    small ones are broadcast and the events are not shuffled for them.
+    """
     base = events.select(
         "case_id", "event_id", hour_or_noon(F.col("ts")).alias("hour"), is_weekend(F.col("ts")).alias("weekend"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("subject", "object", "action")],
         severity_rank(F.coalesce("severity", F.lit("info"))).alias("severity_rank"),
     )
-    sizes = base.groupBy("case_id").agg(F.count("*").alias("case_size"))
+    sizes = materialize(base.groupBy("case_id").agg(F.count("*").alias("case_size")), "sizes")
     out = base.join(sizes, "case_id")
     for c in ("subject", "object", "action"):
-        n = base.groupBy("case_id", c).agg(F.count("*").alias("_n"))
+        n = materialize(base.groupBy("case_id", c).agg(F.count("*").alias("_n")), f"{c}-counts")
         out = out.join(n, ["case_id", c]).withColumn(f"{c}_freq", F.col("_n") / F.col("case_size")).drop("_n")
     return out.select("case_id", "event_id", "case_size", *FEATURES)
 
@@ -54,7 +58,7 @@ def hbos(feats: DataFrame, bins: int = 10, contamination: float | None = None) -
     """
     ends = feats.groupBy("case_id").agg(
         F.count("*").alias("_n"), *[F.min(f).alias(f"_mn_{f}") for f in FEATURES], *[F.max(f).alias(f"_mx_{f}") for f in FEATURES])
-    rows = feats.join(ends, "case_id")
+    rows = feats.join(materialize(ends, "ends"), "case_id")
 
     def width(f: str) -> Column:
         mn, mx = F.col(f"_mn_{f}"), F.col(f"_mx_{f}")
@@ -78,7 +82,8 @@ def hbos(feats: DataFrame, bins: int = 10, contamination: float | None = None) -
     for i, _f in enumerate(FEATURES):
         total = total + F.element_at("_h", F.concat(F.lit(f"{i}:"), F.col(cells[i]).cast("string")))
     scored = counts.select("case_id", *cells).join(lookup, "case_id").withColumn("raw", F.round(-total, 9)).drop("_h")
-    rows = binned.join(scored, ["case_id", *cells]).select("case_id", "event_id", "raw")
+    scored = materialize(scored, "cells")
+    rows = materialize(binned.join(scored, ["case_id", *cells]).select("case_id", "event_id", "raw"), "hbos")
     share = F.lit(contamination) if contamination is not None else F.when(F.col("n") >= 20, 0.05).otherwise(0.1)
     cut = quantiles(rows, ["case_id"], "raw", 1 - share)
     out = min_max(rows, ["case_id"], "raw", "score").join(cut.select("case_id", "quantile"), "case_id")
@@ -87,12 +92,24 @@ def hbos(feats: DataFrame, bins: int = 10, contamination: float | None = None) -
 
 # ---- local outlier factor --------------------------------------------------------
 
-GRID = [0, 2, 3]  # hour, subject and object frequency
 WIDTHS = [4.0 ** -6, 4.0 ** -5, 4.0 ** -4, 4.0 ** -3, 4.0 ** -2, 4.0 ** -1, 1.0, 4.0, 64.0]
 
 
-def _cell(cols: list[Column], w: float) -> list[Column]:
-    return [F.floor(c / w).cast("bigint") for c in cols]
+def _cell(x: list[Column], w: float) -> list[tuple[Column, bool]]:
+    """Grid cell of a vector at width w, and for each part whether neighbouring cells must be searched.
+
+    Hour and weekend are whole numbers and severity has steps of 0.25, so below
+    that step only equal values can be within w. Frequencies lie in 0..1.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def part(c: Column, step: float) -> Column:
+        return F.floor(c / step).cast("bigint")
+
+    return [
+        (part(x[0], max(w, 1.0)), w >= 1), (part(x[2], w) if w <= 1 else zero, w <= 1), (part(x[3], w) if w <= 1 else zero, w <= 1),
+        (part(x[1], 1.0) if w < 1 else zero, False), (part(x[5], 0.25) if w < 0.25 else zero, False),
+    ]
 
 
 def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: int = 64) -> DataFrame:
@@ -108,15 +125,15 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
     spread = feats.groupBy("case_id").agg(F.count("*").alias("_n"), *[F.var_pop(f).alias(f"_v{i}") for i, f in enumerate(FEATURES)])
     rows = feats.join(spread, "case_id").select("case_id", "event_id", "_n", *[
         F.when(F.col(f"_v{i}") > 1e-10, F.col(f)).otherwise(0.0).alias(xs[i]) for i, f in enumerate(FEATURES)])
-    rows = rows.withColumn("vid", F.md5(F.concat_ws("|", "case_id", *xs)))
+    rows = rows.withColumn("vid", F.unhex(F.md5(F.concat_ws("|", "case_id", *xs))))
     uniq = rows.groupBy("case_id", "vid", "_n", *xs).agg(F.count("*").alias("w"))
     kk = uniq.groupBy("case_id").agg(F.least(F.lit(k), F.count("*") - 1, F.any_value("_n") - 1).alias("k"))
     vecs = materialize(uniq.join(kk.filter("k >= 2"), "case_id").drop("_n"), "vectors")
-    grid = [F.col(xs[i]) for i in GRID]
+    grid = [F.col(x) for x in xs]
 
     # widest grid without overfull cells; only one number per width comes back
     busiest = vecs.select("case_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*_cell(grid, w)).alias("c")) for i, w in enumerate(WIDTHS)])).alias("g")).groupBy(
+        F.struct(F.lit(i).alias("i"), F.array(*[c for c, _n in _cell(grid, w)]).alias("c")) for i, w in enumerate(WIDTHS)])).alias("g")).groupBy(
         "case_id", "g.i", "g.c").agg(F.count("*").alias("n")).groupBy("i").agg(F.max("n").alias("n")).collect()
     fine = [r["i"] for r in busiest if r["n"] <= busy_cell]
     start = max(fine) if fine else 0
@@ -125,23 +142,26 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
     for w in WIDTHS[start:]:
         last = w == WIDTHS[-1]
         offsets = F.array(*[F.lit(o).cast("bigint") for o in (-1, 0, 1)])
-        probe = active.select("case_id", "vid", "k", *[F.col(x).alias("a_" + x) for x in xs], *[c.alias(f"g{i}") for i, c in enumerate(_cell(grid, w))])
-        for i in range(len(GRID)):
-            probe = probe.withColumn("_o", F.explode(offsets)).withColumn(f"g{i}", F.col(f"g{i}") + F.col("_o")).drop("_o")
-        base = vecs.select("case_id", F.col("vid").alias("nb"), F.col("w").alias("nw"), *xs, *[c.alias(f"g{i}") for i, c in enumerate(_cell(grid, w))])
+        cell = _cell(grid, w)
+        g = [c.alias(f"g{i}") for i, (c, _n) in enumerate(cell)]
+        probe = active.select("case_id", "vid", "k", *[F.col(x).alias("a_" + x) for x in xs], *g)
+        for i, (_c, search) in enumerate(cell):
+            if search:
+                probe = probe.withColumn("_o", F.explode(offsets)).withColumn(f"g{i}", F.col(f"g{i}") + F.col("_o")).drop("_o")
+        base = vecs.select("case_id", F.col("vid").alias("nb"), F.col("w").alias("nw"), *xs, *g)
         sq: Column = F.lit(0.0)
         for x in xs:
             sq = sq + (F.col("a_" + x) - F.col(x)) * (F.col("a_" + x) - F.col(x))
-        pairs = probe.join(base, ["case_id", "g0", "g1", "g2"]).select(
-            "case_id", "vid", "k", "nb", F.when(F.col("vid") == F.col("nb"), F.col("nw") - 1).otherwise(F.col("nw")).alias("nw"), F.round(F.sqrt(sq), 9).alias("d"))
+        pairs = probe.join(base, ["case_id", *[f"g{i}" for i in range(len(cell))]]).select(
+            "vid", "k", "nb", F.when(F.col("vid") == F.col("nb"), F.col("nw") - 1).otherwise(F.col("nw")).alias("nw"), F.round(F.sqrt(sq), 9).alias("d"))
         if not last:
             pairs = pairs.filter(F.col("d") <= w)
-        cum = Window.partitionBy("case_id", "vid").orderBy("d")
+        cum = Window.partitionBy("vid").orderBy("d")
         # the k-distance neighbours have rank <= k; map tasks drop the rest before the shuffle
         close = pairs.filter("nw > 0").withColumn("_r", F.rank().over(cum)).filter(F.col("_r") <= k)
         near = close.withColumn("_cum", F.sum("nw").over(cum)).withColumn(
-            "kd", F.min(F.when(F.col("_cum") >= F.col("k"), F.col("d"))).over(Window.partitionBy("case_id", "vid")))
-        near = materialize(near.filter("d <= kd").select("case_id", "vid", "nb", "nw", "d", "kd"), "knn")
+            "kd", F.min(F.when(F.col("_cum") >= F.col("k"), F.col("d"))).over(Window.partitionBy("vid")))
+        near = materialize(near.filter("d <= kd").select("vid", "nb", "nw", "d", "kd"), "knn")
         found = near if found is None else found.unionByName(near)
         active = active.join(near.select("vid").distinct(), "vid", "left_anti")
         if not last:
@@ -149,12 +169,13 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
             if active.isEmpty():
                 break
     kd = found.select(F.col("vid").alias("nb"), F.col("kd").alias("nkd")).distinct()
-    lrd = found.join(kd, "nb").groupBy("case_id", "vid").agg(
+    lrd = found.join(kd, "nb").groupBy("vid").agg(
         (1.0 / (F.sum(F.col("nw") * F.greatest("nkd", "d")) / F.sum("nw") + 1e-10)).alias("lrd"))
+    lrd = materialize(lrd, "lrd")
     nb_lrd = lrd.select(F.col("vid").alias("nb"), F.col("lrd").alias("nlrd"))
-    factor = found.join(nb_lrd, "nb").groupBy("case_id", "vid").agg((F.sum(F.col("nw") * F.col("nlrd")) / F.sum("nw")).alias("m")).join(
-        lrd, ["case_id", "vid"]).select("case_id", "vid", F.round(F.col("m") / F.col("lrd"), 6).alias("raw"))
-    scored = rows.select("case_id", "event_id", "vid").join(factor, ["case_id", "vid"], "left").select("case_id", "event_id", "raw")
+    factor = found.join(nb_lrd, "nb").groupBy("vid").agg((F.sum(F.col("nw") * F.col("nlrd")) / F.sum("nw")).alias("m")).join(
+        lrd, "vid").select("vid", F.round(F.col("m") / F.col("lrd"), 6).alias("raw"))
+    scored = rows.select("case_id", "event_id", "vid").join(factor, "vid", "left").select("case_id", "event_id", "raw")
     scored = materialize(scored, "lof")
     cut = quantiles(scored.filter("raw is not null"), ["case_id"], "raw", F.lit(1 - contamination)).select("case_id", "quantile")
     out = min_max(scored, ["case_id"], "raw", "score").join(cut, "case_id", "left")

@@ -133,17 +133,22 @@ def named_process(question: Column) -> Column:
 
 
 def entity_hits(questions: DataFrame, findings: DataFrame, anomalies: DataFrame, n: int = 5) -> DataFrame:
-    """Top n findings and anomalies that mention the process named in a question (question_id, case_id, question)."""
+    """Top n findings and anomalies that mention the process named in a question (question_id, case_id, question).
+
+    The top n depend on case and word only, so they are taken once per word and
+    then joined with the questions: no question meets all rows of its case.
+    """
     q = questions.select("question_id", "case_id", named_process(F.col("question")).alias("word")).filter("word is not null")
 
-    def mention(*cols: str) -> Column:
-        return any_of([F.coalesce(F.lower(c).contains(F.col("word")), F.lit(False)) for c in cols])
+    def hits(df: DataFrame, kind: str, key: str, score: str, cols: list[str]) -> DataFrame:
+        text = F.lower(F.concat_ws("\n", *cols))
+        words = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in ENTITY_WORDS]))
+        rows = df.select("case_id", F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(score).cast("double").alias("score"), F.explode(words).alias("word"))
+        return top_n(rows, ["case_id", "word"], [F.desc("score"), F.asc("id")], n)
 
-    f = findings.join(q, "case_id").filter(mention("source", "target")).select(
-        "question_id", F.lit("finding").alias("kind"), F.col("correlation_id").alias("id"), F.col("score").cast("double").alias("score"))
-    a = anomalies.join(q, "case_id").filter(mention("subject", "object", "process_name", "command_line")).select(
-        "question_id", F.lit("anomaly").alias("kind"), F.col("event_id").alias("id"), F.col("anomaly_score").alias("score"))
-    return top_n(f.unionByName(a), ["question_id", "kind"], [F.desc("score"), F.asc("id")], n)
+    found = hits(findings, "finding", "correlation_id", "score", ["source", "target"]).unionByName(
+        hits(anomalies, "anomaly", "event_id", "anomaly_score", ["subject", "object", "process_name", "command_line"]))
+    return q.join(found, ["case_id", "word"]).select("question_id", "kind", "id", "score", "rank")
 
 
 def citations(evidence: DataFrame, hits: DataFrame, techniques: DataFrame, findings: DataFrame) -> DataFrame:

@@ -182,8 +182,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, q: Column) -> DataFrame:
 
 
 def min_max(df: DataFrame, by: list[str], value: str, out: str, invert: bool = False) -> DataFrame:
-    """Scale to 0..1 within each group; a constant group gives 0."""
-    ends = df.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    """Scale to 0..1 within each group; a constant group gives 0.
+
+    The group ends are written first: with their true size known, the planner
+    broadcasts them when they are small and leaves the rows unshuffled.
+    """
+    ends = materialize(df.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx")), "ends")
     scaled = (F.col(value) - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))
     score = F.when(F.col("_mx") > F.col("_mn"), (1 - scaled) if invert else scaled).otherwise(0.0)
     return df.join(ends, by).withColumn(out, score).drop("_mn", "_mx")

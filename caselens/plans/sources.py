@@ -14,11 +14,11 @@ from caselens.operators.joins import visits_with_urls
 from caselens.plans.graph import G
 from caselens.plans.registry import query
 from caselens.plans.timeline import EV
-from caselens.session import materialize, scratch_path
+from caselens.session import materialize, scratch_path, spread
 from caselens.sources import manifest as mf
 from caselens.sources import normalize as no
 from caselens.sources import store as st
-from caselens.sources.adapt import EVIDENCE_SQL, canonical_events, evidence_rows, table
+from caselens.sources.adapt import EVIDENCE_SQL, canonical_events, documents, evidence_rows, table
 
 TS0 = "2024-06-01 00:00:00"
 
@@ -54,7 +54,7 @@ LINES_SQL = r"""lines AS (SELECT doc_id, line_number, line FROM (SELECT doc_id,
   CASE WHEN regexp_matches(lower(line),'error|fail|denied') THEN 'medium' ELSE 'info' END AS severity, substring(line,1,200) AS object, ip AS source_ip, url, path AS file_path,
   CASE WHEN length(hash)=32 THEN hash END AS file_md5, CASE WHEN length(hash)=64 THEN hash END AS file_sha256, hash AS process_hash, usr AS username FROM px""")
 def _(spark, d):
-    files = table(spark, d, "documents").select(F.concat(F.lit("doc_"), _s("doc_id")).alias("source_file"), F.col("text").alias("content"))
+    files = documents(spark, d).select(F.concat(F.lit("doc_"), _s("doc_id")).alias("source_file"), F.col("text").alias("content"))
     ev = no.text(no.text_lines(files), F.col("source_file"), ts0())
     return ev.select("source_file", "line_number", "ts", "severity", "object", "source_ip", "url", "file_path", "file_md5", "file_sha256", "process_hash", "username")
 
@@ -63,13 +63,13 @@ def _(spark, d):
   nullif(regexp_extract(text,'\b[a-fA-F0-9]{32,64}\b'),'') AS hash, nullif(regexp_extract(text,'(?i)\b(?:user|username|account)\s*[:=]\s*([a-zA-Z0-9_\-.\\]+)\b',1),'') AS usr FROM documents""")
 def _(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", tx.first_ip(t).alias("ip"), tx.first_url(t).alias("url"), tx.first_hash(t).alias("hash"), tx.first_user(t).alias("usr"))
 
 
 @query("fn_tag_text", f"SELECT doc_id, {tag_sql('text')} AS tags FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", sorted_tags(mi.tag_text(F.col("text"))).alias("tags"))
+    return documents(spark, d).select("doc_id", sorted_tags(mi.tag_text(F.col("text"))).alias("tags"))
 
 
 @query("fn_tag_eid", "SELECT event_id, CASE CAST(json_extract_string(props,'$.k') AS INT) WHEN 25 THEN 'T1110' WHEN 88 THEN 'T1059' WHEN 97 THEN 'T1543' WHEN 98 THEN 'T1053' WHEN 57 THEN 'T1547.001' WHEN 63 THEN 'T1005' WHEN 60 THEN 'T1070' ELSE '' END AS tags FROM events")
@@ -89,7 +89,7 @@ def _(spark, d):
 def _(spark, d):
     t, k = F.col("text"), F.col("doc_id") % 3
     h = F.when(k == 0, F.md5(t)).when(k == 1, F.sha1(t)).otherwise(F.sha2(t, 256))
-    return table(spark, d, "documents").select("doc_id", tx.hash_kind(h).alias("kind"))
+    return documents(spark, d).select("doc_id", tx.hash_kind(h).alias("kind"))
 
 
 @query("fn_domain", r"SELECT page_id, regexp_replace(lower(regexp_extract(url,'^https?://(?:[^/?#]*@)?([^/?#:]*)',1)),'^www\.','') AS domain, regexp_replace(lower(regexp_extract(url,'^https?://(?:[^/?#]*@)?([^/?#:]*)',1)),'^[w.]+','') AS compat FROM pages")
@@ -118,7 +118,7 @@ RAW = """raw AS (SELECT event_id AS eid, ts, user_id AS uid, event_type AS kind,
 
 
 def _raw(spark, d):
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"), "event_id")
     return ev.select(F.col("event_id").alias("eid"), "ts", F.col("user_id").alias("uid"), F.col("event_type").alias("kind"), tx.json_path(F.col("props"), "k").cast("int").alias("k"))
 
 
@@ -179,7 +179,7 @@ def _(spark, d):
     name = F.concat(F.lit("  f"), _s("doc_id"), F.lit(".bin "))
     line = (F.when(k == 0, F.concat(F.upper(F.md5(t)), name)).when(k == 1, F.concat(F.lit("  "), F.sha1(t), F.lit(" *f"), _s("doc_id"), F.lit(".bin")))
             .when(k == 2, F.concat(F.sha2(t, 256), name)).otherwise(F.concat(F.lit("# "), F.md5(t))))
-    return no.hashes(table(spark, d, "documents").select(line.alias("line")), None, ts0()).select("subject", "object", "file_md5", "file_sha1", "file_sha256", "ts")
+    return no.hashes(documents(spark, d).select(line.alias("line")), None, ts0()).select("subject", "object", "file_md5", "file_sha1", "file_sha256", "ts")
 
 
 URLS_SQL = """urls AS (SELECT page_id AS id, url||CASE page_id%5 WHEN 0 THEN '/setup.exe' WHEN 1 THEN '.onion/session' ELSE '' END AS url, regexp_extract(html,'<title>([^<]*)</title>',1) AS title,
@@ -267,7 +267,7 @@ def _(spark, d):
         F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.md5("text"), F.lit("  a.bin\nnot a hash\n")))
         .when(k == 2, F.concat(F.lit('[{"event_type": "auth_event", "actor": "u'), i, F.lit('", "action": "login"}, {"n": [1, {"a": 2}]}]')))
         .otherwise(F.concat(F.lit('Category,Actor,"Note"\nregistry_change,"x,'), i, F.lit('",hello\nodd,second,\n'))))
-    files = table(spark, d, "documents").select(F.concat(F.lit("doc_"), i, ext).alias("source_file"), kind.alias("file_type"), body.alias("content"))
+    files = documents(spark, d).select(F.concat(F.lit("doc_"), i, ext).alias("source_file"), kind.alias("file_type"), body.alias("content"))
     return no.dispatch(files, ts0()).groupBy("source_file", "source", "event_type", "subject", "action").agg(F.count("*").alias("n"))
 
 
@@ -283,7 +283,7 @@ def _files(spark, d):
     i = F.col("doc_id")
     exts = F.array(*[F.lit(x) for x in (".pcap", ".sqlite3", ".csv", ".LOG", ".sha256", "", ".zip")])
     head = F.when(i % 9 == 0, F.unhex(F.lit("D4C3B2A1"))).when(i % 9 == 1, F.unhex(F.lit("53514C69746520666F726D6174203300"))).otherwise(F.unhex(F.lit("")))
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         F.concat(F.lit("org_"), _s(i % 2)).alias("organization_id"), F.concat(F.lit("case_"), _s(i % 8)).alias("case_id"),
         F.concat(F.lit("doc_"), _s(i), F.get(exts, (i % 7).cast("int"))).alias("filename"), F.concat(head, F.encode("text", "UTF-8")).alias("content"))
 

@@ -14,7 +14,7 @@ from caselens.operators import joins as jn
 from caselens.operators import ordered as od
 from caselens.plans.registry import query
 from caselens.sources.adapt import (
-    CASES_SQL, EV_SQL, EVIDENCE_SQL, canonical_events, case_rows, evidence_rows, table,
+    CASES_SQL, EV_SQL, EVIDENCE_SQL, canonical_events, case_rows, documents, evidence_rows, table,
 )
 from caselens.streaming.alerts import admin_after_hours, brute_force, log_cleared, long_dns
 
@@ -305,7 +305,7 @@ def _(spark, d):
   substring(text,1,80) AS label, md5(substring(text,1,2000)) AS turn_md5 FROM documents""")
 def _(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", de.truncate(t, 150).alias("subject"), de.truncate(t, 250).alias("object"),
         de.truncate(t, 80).alias("label"), F.md5(de.truncate(t, 2000)).alias("turn_md5"))
 

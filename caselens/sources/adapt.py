@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.mitre import tag_text
 from caselens.schema import conform
+from caselens.session import spread
 
 PROCESSES = [
     "powershell.exe", "cmd.exe", "explorer.exe", "svchost.exe", "rundll32.exe",
@@ -27,8 +28,12 @@ def _s(col: Column) -> Column:
     return col.cast("string")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_canonical(table(spark, sf_dir, "events"))
+    return to_canonical(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def to_canonical(src: DataFrame) -> DataFrame:
