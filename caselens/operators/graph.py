@@ -82,8 +82,8 @@ def flatten(events: DataFrame, compat: bool = False) -> DataFrame:
 
 def flatten_browser(events: DataFrame, strip_mode: str = "prefix") -> DataFrame:
     url = F.coalesce("url", "object")
-    d = F.from_json("details", "title string, visit_count bigint")
-    return events.select(
+    d = F.col("_d")
+    return events.withColumn("_d", F.from_json("details", "title string, visit_count bigint")).select(
         "event_id", "case_id", "evidence_id", "ts", "event_type", "source", "severity",
         F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"),
         F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"),

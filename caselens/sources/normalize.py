@@ -112,8 +112,9 @@ def csv_lines(df: DataFrame, header: Column, line: Column, source_file: Column,
     schema = ", ".join(f"c{i} string" for i in range(MAX_CSV_COLUMNS))
 
     def cells(c: Column) -> Column:
-        s = F.from_csv(c, schema)
-        return F.array(*[s[f"c{i}"] for i in range(MAX_CSV_COLUMNS)])
+        # the lambda binds the parsed line, so that it is parsed once and not per cell
+        parsed = F.array(F.from_csv(c, schema))
+        return F.transform(parsed, lambda s: F.array(*[s[f"c{i}"] for i in range(MAX_CSV_COLUMNS)]))[0]
 
     rows = df.withColumn("_h", F.transform(F.array_compact(cells(header)), F.lower)).withColumn("_v", cells(line))
     rows = rows.withColumn("_m", F.map_from_entries(F.transform(
