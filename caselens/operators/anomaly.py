@@ -261,7 +261,7 @@ def _isolation(feats: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
                     at[i] = np.where(x[i, f] <= cut[at[i]], left[at[i]], right[at[i]])
                     inner[i] = feat[at[i]] >= 0
                 depth += path[at]
-            yield pd.DataFrame({"case_id": pdf["case_id"], "event_id": pdf["event_id"], "raw": 2.0 ** (-depth / len(packed) / scale)})
+            yield pd.DataFrame({"case_id": pdf["case_id"].astype(object), "event_id": pdf["event_id"].astype(object), "raw": 2.0 ** (-depth / len(packed) / scale)})
 
     return feats.select("case_id", "event_id", *FEATURES).mapInPandas(score, "case_id string, event_id string, raw double")
 

@@ -34,7 +34,8 @@ def append(new_rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
                 before.append(prev)
                 prev = hashlib.sha256((prev + digest).encode()).hexdigest()
                 own.append(prev)
-            yield pd.DataFrame({"audit_id": pdf["audit_id"], "prev_hash": before, "self_hash": own})
+            yield pd.DataFrame({
+                "audit_id": pdf["audit_id"].astype(object), "prev_hash": pd.Series(before, dtype=object), "self_hash": pd.Series(own, dtype=object)})
 
     ordered = links.repartition("organization_id").sortWithinPartitions("organization_id", "created_at", "audit_id")
     done = ordered.mapInPandas(chain, "audit_id string, prev_hash string, self_hash string")

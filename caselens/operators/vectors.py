@@ -97,7 +97,7 @@ def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 5
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         left = left.sort_values("id")
         ids = left["id"].to_numpy()
         m = np.stack(left["embedding"].to_numpy()).astype(np.float64)
@@ -108,7 +108,8 @@ def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 5
             names += [qid] * len(top)
             hits += list(ids[top])
             scores += list(s[top])
-        return pd.DataFrame({"query_id": names, "id": hits, "score": scores})
+        return pd.DataFrame({
+            "query_id": pd.Series(names, dtype=object), "id": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     part = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(best, "query_id string, id string, score double")
     return top_n(part, ["query_id"], [F.desc("score"), F.asc("id")], k)

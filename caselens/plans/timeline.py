@@ -460,11 +460,11 @@ def _(spark, d):
 
 @query("alert_bruteforce", EV + """, f AS (SELECT destination_ip AS ip, ts, event_id FROM ev WHERE event_type='network_connection')
   SELECT * FROM (SELECT ip, event_id, ts, count(*) OVER (PARTITION BY ip ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS failures FROM f)
-  WHERE failures >= 10""")
+  WHERE failures >= 3""")
 def _(spark, d):
     ev = canonical_events(spark, d).filter("event_type = 'network_connection'")
     ev = ev.select(F.col("destination_ip").alias("ip"), "ts", "event_id")
-    return brute_force(ev, threshold=10, seconds=86400)
+    return brute_force(ev, threshold=3, seconds=86400)
 
 
 @query("alert_logclear", EV + "SELECT event_id, case_id FROM ev WHERE k=2")
