@@ -80,7 +80,7 @@ def test_sessions_match_brute_force(spark):
     assert got == want
 
 
-def reference_milestones(evs, n=12):
+def plain_milestones(evs, n=12):
     evs = sorted(evs, key=lambda r: (r[2], r[1]))
     keys = [e for e in evs if e[4] or e[3] in ("critical", "high")]
     if len(keys) < n:
@@ -97,7 +97,7 @@ def test_milestones_fill(spark, n_events, n_key):
     rows = [("c", f"e{i:03d}", T0 + dt.timedelta(minutes=i), "high" if i * n_key // n_events != (i - 1) * n_key // n_events else "info", False)
             for i in range(n_events)]
     got = {r.event_id for r in od.milestones(events(spark, rows)).collect()}
-    assert got == reference_milestones(rows)
+    assert got == plain_milestones(rows)
 
 
 def test_quantiles_match_numpy(spark):
