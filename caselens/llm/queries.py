@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import packing, planes, tokencount, topk
+from caselens.llm import fingerprint, mixing, neardup, packing, planes, tokencount, topk
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,21 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "flat")
     order = materialize(tokencount.write_flat(table(spark, sf, "documents"), path), "order")
     return tokencount.count_tokens(spark, path).join(order, ["file", "doc_no"]).select("doc_id", "file", "doc_no", "start", "n_tokens", "ended")
+
+
+@query("op7_source_mix")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", mixing.words_of(F.col("text")).alias("size"))
+    return mixing.mixed(materialize(rows, "sizes")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op8_gray_near_dup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_simhash_fingerprints")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = fingerprint.edited_pairs(table(spark, sf, "documents"))
+    return fingerprint.readable(fingerprint.with_neighbours(pairs, F.col("doc_id") % 100 == 0))
