@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, mixing, neardup, packing, planes, tokencount, topk
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, planes, tokencount, topk
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,12 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     pairs = fingerprint.edited_pairs(table(spark, sf, "documents"))
     return fingerprint.readable(fingerprint.with_neighbours(pairs, F.col("doc_id") % 100 == 0))
+
+
+@query("op3_language_spans")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder(F.col("doc_id")) == 2
+    model = langid.fit(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
