@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, langid, mixing, neardup, packing, planes, tokencount, topk
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, tokencount, topk
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.fit(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text("base_spans"), 256).alias("base_sha256"), text("pii_spans").alias("spans"),
+                        (F.size("pii_spans") - F.size("base_spans")).cast("long").alias("n_added"))
