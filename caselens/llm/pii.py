@@ -86,14 +86,16 @@ SHAPES = {
     "phone": re.compile(r"(?:\+|00)?\s?\(?[0-9](?:[\s().\-/‐-―]{0,3}[0-9]){6,14}"),
 }
 
+LEAST_DIGITS, MOST_DIGITS = {"email": 0, "ip": 0, "card": 12, "phone": 7}, {"email": 32, "ip": 32, "card": 19, "phone": 17}
+
 
 class Line:
-    """Tokens of a stretch of text; base: positions of characters in base spans."""
+    """Tokens of a stretch of text; taken: a byte per character, 1 in base spans."""
 
-    def __init__(self, text: str, taken: list[tuple[int, int]] = (), before: str = "", after: str = ""):
+    def __init__(self, text: str, taken: bytes = b"", before: str = "", after: str = ""):
         self.text, self.before, self.after = text, before, after
         self.tokens = [m.span() for m in TOKEN.finditer(text)]
-        self.free = [not any(s < e2 and s2 < e for s2, e2 in taken) for s, e in self.tokens]
+        self.free = [not any(taken[s:e]) for s, e in self.tokens]
 
 
 def features(line: Line, i: int, j: int, kind: str) -> tuple[str, ...] | None:
@@ -144,6 +146,9 @@ def segments(line: Line, longest: int = LONGEST) -> list[tuple[int, int, str, tu
     """Candidate segments of free tokens. A segment starts where a shape can: at a digit, +, ( or a word before an at-sign of some kind."""
     n, out = len(line.tokens), []
     text = [line.text[s:e] for s, e in line.tokens]
+    digits = [0]
+    for t in text:
+        digits.append(digits[-1] + sum("0" <= c <= "9" for c in t))
     for i in range(n):
         kinds = ("ip", "card", "phone") if text[i][0].isdigit() else ("phone",) if text[i][0] in "+(" else ()
         near = text[i + 1 : i + 8]
@@ -158,8 +163,11 @@ def segments(line: Line, longest: int = LONGEST) -> list[tuple[int, int, str, tu
                 break
             if not (text[j - 1][-1].isalnum()) or (j - i < 3 and not any(len(t) > 5 for t in text[i:j])):
                 continue
+            d = digits[j] - digits[i]
+            if d > MOST_DIGITS["ip"]:
+                break
             for kind in kinds:
-                if f := features(line, i, j, kind):
+                if LEAST_DIGITS[kind] <= d <= MOST_DIGITS[kind] and (f := features(line, i, j, kind)):
                     out.append((i, j, kind, f))
     return out
 
@@ -324,9 +332,11 @@ def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, str]], li
     text = text or ""
     base = base_spans(text)
     added = []
+    taken = bytearray(len(text)) if base else b""
+    for s, e, _ in base:
+        taken[s:e] = b"\1" * (e - s)
     for s, e in stretches(text):
-        taken = [(a - s, b - s) for a, b, _ in base if a < e and b > s]
-        line = Line(text[s:e], taken, text[s - 1] if s else "", text[e] if e < len(text) else "")
+        line = Line(text[s:e], taken[s:e], text[s - 1] if s else "", text[e] if e < len(text) else "")
         for i, j, kind in field.decode(line):
             added.append((s + line.tokens[i][0], s + line.tokens[j - 1][1], kind))
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
