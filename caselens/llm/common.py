@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,13 @@ def encoder(path: str, ordinary: bool = False) -> Encoder:
     return _tokenizers[key]
 
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it, for files that Spark has no reader or writer for."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def bits_hex(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, tokencount, topk
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, tokencount, topk, warc
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,14 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text("base_spans"), 256).alias("base_sha256"), text("pii_spans").alias("spans"),
                         (F.size("pii_spans") - F.size("base_spans")).cast("long").alias("n_added"))
+
+
+@query("op5_warc_derivatives")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    materialize(warc.write(warc.derive(warc.responses(table(spark, sf, "pages"))), path), "files")
+    r = warc.read(spark, path)
+    return r.select(
+        F.col("headers")["X-Source-Key"].cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest",
+        F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"), F.col("headers")["WARC-Source-Block-Digest"].alias("source_block_digest"),
+        F.length("block").cast("long").alias("length"), F.decode("block", "utf-8").alias("block"))

@@ -14,24 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, default_tokenizer, encoder, texts
+from caselens.llm.common import byte_slices, default_tokenizer, encoder, open_store, texts
+from caselens.session import materialize
 
 END_ID = 50256
 BLOCK_BYTES = 4 << 20
 DTYPES = {"u2": 2, "u4": 4}
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, dtype: str = "u2",
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write each task's documents as one flat file; lazily returns (file, doc_no, doc_id) in the files' order.
@@ -47,7 +41,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, True)
-        store, root = _open(path)
+        store, root = open_store(path)
         store.create_dir(root)
         name = f"part-{TaskContext.get().partitionId():07d}.tokens"
         part_name = f"{root}/.{name}.{uuid.uuid4().hex}"
@@ -83,7 +77,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, dtype: st
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step).cast("long"))).alias("block"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(path)
+        store, root = open_store(path)
         for batch in batches:
             for r in batch.to_pylist():
                 with store.open_input_file(f"{root}/{r['file']}") as f:
@@ -99,7 +93,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, dtype: st
                      pa.array(ends if len(ends) else [None], pa.int64()), pa.array(ended or [None], pa.bool_())], ["file", "block", "k", "ended_at", "ended"])
 
     found = blocks.repartition(max(1, spark.sparkContext.defaultParallelism), "file", "block").mapInArrow(scan, "file string, block long, k long, ended_at long, ended boolean")
-    rows = _kept(found)
+    rows = materialize(found, "separators")
     sums = rows.groupBy("file", "block").agg(F.count("ended_at").alias("_n"), F.max("ended_at").alias("_last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = sums.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.coalesce(F.max("_last").over(before), F.lit(0)).alias("_open"))
@@ -108,9 +102,3 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, dtype: st
     start = F.coalesce("_prev", "_open")
     return local.join(scanned, ["file", "block"]).select(
         "file", (F.col("_base") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("ended_at") - start).alias("n_tokens"), "ended")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    from caselens.session import materialize
-
-    return materialize(df, "separators")
