@@ -75,7 +75,7 @@ class Words:
         h = np.zeros(total, np.uint64)
         for size in range(1, 5):
             ok = left >= size - 1
-            shifted = np.concatenate([np.zeros(size - 1, np.uint32), marked[: total - size + 1]])
+            shifted = np.concatenate([np.zeros(size - 1, np.uint32), marked])[:total]
             h = h + (shifted.astype(np.uint64) + np.uint64(1)) * np.uint64((0x9E3779B97F4A7C15 * (2 * size + 1)) & (2**64 - 1))
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             if size > 1:
@@ -209,21 +209,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     return Model([r["lang"] for r in got], counts, scripts)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], spans: bool = True, penalty: float = PENALTY, text_col: str = "text") -> DataFrame:
-    """The kept columns with ``lang_pred``, ``score`` and, if asked, ``lang_spans`` of every whole text.
+def identify(docs: DataFrame, model: Model, keep: list[str], spans: bool = True, penalty: float = PENALTY, text_col: str = "text",
+             names: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """The kept columns with language, score and, if asked, spans of every whole text, under ``names``.
 
     A null text, or one without letters, is ``und`` with score 0. One whose letters
     are all of scripts that no learned language uses gets the least unlikely
     language, with score 0 and spans ``und``. Ties go to the language that comes
     first in order of names. Rows repeat as they come; an empty table stays empty.
     """
-    if clash := {"lang_pred", "score", "lang_spans"} & set(keep):
+    if clash := set(names) & set(keep):
         raise ValueError(f"columns {sorted(clash)} are made here")
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     if spans:
         from pyspark.sql import types as T
 
-        schema = schema.add("lang_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))
+        schema = schema.add(names[2], T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots times languages, whatever the data
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 

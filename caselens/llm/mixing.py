@@ -5,7 +5,9 @@ copies of every document; the rest is an inclusion probability. The flight phase
 moves probabilities along the null-space of the balance (words, documents) until
 one of them is 0 or 1, so both totals stay put; about two are left at the end.
 Parts of a source fly alone, what they leave flies together, and the last two of
-a source are landed by giving up first the documents, then the words.
+a source are landed by giving up first the documents, then the words. The last
+few steps of a source are tried several times, and the try nearest to its words
+is kept.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 PART = 2048
 SPREAD = 1024
 NEAR = 1e-9
+LANDING, TRIES = 16, 64
 
 
 def words_of(text: Column) -> Column:
@@ -54,11 +57,27 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 def fly(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Probabilities after the flight: 0 or 1 but for two or so; with ``land`` all of them.
 
-    Each step decides about the largest open unit: its change is made up for by
+    To land, the flight stops at ``LANDING`` open units. That small problem is
+    flown to its end ``TRIES`` times, and the end nearest in words is kept.
+    """
+    size, p = np.asarray(sizes, float), np.array(probs, float)
+    if not land:
+        return _fly(size, p, rng, 2, False)
+    p = _fly(size, p, rng, LANDING, False)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_):
+        goal = (size[open_] * p[open_]).sum()
+        ends = [_fly(size[open_], p[open_], rng, 2, True) for _ in range(TRIES)]
+        p[open_] = min(ends, key=lambda x: abs((x * size[open_]).sum() - goal))
+    return p
+
+
+def _fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, least: int, land: bool) -> np.ndarray:
+    """Each step decides about the largest open unit: its change is made up for by
     small changes of all others, spread so that words and documents stay put,
     and goes on until some unit is at 0 or 1. So what is left is small.
     """
-    size, p = np.asarray(sizes, float), np.array(probs, float)
+    p = p.copy()
     order = np.argsort(-size, kind="stable")
     now = order[(p[order] > 0) & (p[order] < 1)]
     stuck: list[int] = []
@@ -71,7 +90,7 @@ def fly(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator, land: bo
         x = p[at] + (up if rng.random() * (up + down) < down else -down) * along
         p[at] = np.where(x < NEAR, 0.0, np.where(x > 1 - NEAR, 1.0, x))
 
-    while len(now) > 2:
+    while len(now) > least:
         rest = now[1:]
         slack = np.minimum(p[rest], 1 - p[rest])
         mean = (slack * size[rest]).sum() / slack.sum()
