@@ -10,7 +10,7 @@ from caselens.functions.when import micros, seconds_between
 from caselens.session import materialize
 
 GENESIS = "0" * 64
-GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -19,7 +19,7 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     ``row_number() <= n`` makes Spark keep only n rows per group in every map
     task before the shuffle, so a hot group stays small.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         return ordered_index(df, by, order, rank).filter(F.col(rank) <= n)
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)

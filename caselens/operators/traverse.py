@@ -6,6 +6,8 @@ executor costs at most one level. Only row counts reach the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +38,22 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return seen.filter("hops > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Undirected shortest path of each (pair_id, source, target).
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Undirected shortest path of each (pair_id, source, target); other columns of the pairs stay.
 
     Level by level from the source; a node remembers its smallest predecessor.
-    A pair leaves the search once its target is found.
+    A pair leaves the search once its target is found. The search goes on until
+    no pair is open or nothing new is reached. A pair without a path, or without
+    one of ``max_depth`` hops where that is given, has reached = false and no hops.
     """
     adj = materialize(undirected(edges), "adjacency")
-    pairs = materialize(pairs.select("pair_id", "source", "target"), "pairs")
+    pairs = materialize(pairs, "pairs")
     frontier = pairs.select("pair_id", F.col("source").alias("node_id"))
     seen = frontier.select("pair_id", "node_id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("hops"))
     goal = pairs.select("pair_id", F.col("target").alias("node_id"))
     found = seen.join(goal, ["pair_id", "node_id"], "left_semi")
     deepest = 0
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         open_pairs = frontier.join(found.select("pair_id"), "pair_id", "left_anti")
         step = (
             open_pairs.join(adj, open_pairs["node_id"] == adj["u"]).groupBy("pair_id", F.col("v").alias("node_id"))
@@ -63,19 +67,23 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 32) -> D
         frontier = new.select("pair_id", "node_id")
         seen = seen.unionByName(new)
         found = found.unionByName(new.join(goal, ["pair_id", "node_id"], "left_semi"))
+        if level % 8 == 0:  # a long search keeps a short plan
+            seen, found = materialize(seen, "seen"), materialize(found, "reached")
     found = materialize(found.select("pair_id", "node_id", "via", "hops"), "found")
     trail = found.select(
         "pair_id", "hops", F.col("via").alias("at"),
         F.when(F.col("via").isNull(), F.array("node_id")).otherwise(F.array("via", "node_id")).alias("path"),
     )
     back = seen.filter("via is not null").select("pair_id", F.col("node_id").alias("at"), F.col("via").alias("_up"))
-    for _ in range(1, deepest):
+    for step in range(1, deepest):
+        if step % 8 == 0:
+            trail = materialize(trail, "trail")
         trail = (
             trail.join(back, ["pair_id", "at"], "left")
             .withColumn("path", F.when(F.col("_up").isNull(), F.col("path")).otherwise(F.concat(F.array("_up"), "path")))
             .withColumn("at", F.col("_up")).drop("_up")
         )
-    return pairs.join(trail.select("pair_id", "hops", "path"), "pair_id")
+    return pairs.join(trail.select("pair_id", "hops", "path"), "pair_id", "left").withColumn("reached", F.col("hops").isNotNull())
 
 
 def chains(edges: DataFrame, names: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -115,7 +123,35 @@ def chains(edges: DataFrame, names: DataFrame, max_depth: int = 4) -> DataFrame:
     return out.drop("used", "last")
 
 
-def attack_trace(edges: DataFrame, suspicious: DataFrame, max_depth: int = 32) -> DataFrame:
+def chain_counts(edges: DataFrame, names: DataFrame, max_depth: int = 4) -> DataFrame:
+    """``chains`` by names alone: (case_id, names, depth, n_paths).
+
+    After every level, paths with the same names, end and used edges become one
+    row, so their number is that of name lines and not of paths.
+    """
+    number = F.sum("m") if "m" in edges.columns else F.count("*")
+    spawned = edges.filter(F.col("rel_type") == "SPAWNED").groupBy("case_id", "src", "dst").agg(number.alias("m"))
+    nm = names.select("node_id", "name")
+    pairs = materialize(
+        spawned.join(nm.select(F.col("node_id").alias("src"), F.col("name").alias("src_name")), "src")
+        .join(nm.select(F.col("node_id").alias("dst"), F.col("name").alias("dst_name")), "dst"), "spawned")
+    pair = F.concat_ws(">", "src", "dst")
+    roots = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
+    back = pairs.select(F.col("src").alias("last"), F.col("dst").alias("_to"), F.col("dst_name").alias("_name"), F.col("m").alias("_m"), pair.alias("_pair"))
+    level = roots.select("case_id", F.array("src_name", "dst_name").alias("names"), F.array(pair).alias("used"), F.col("dst").alias("last"), F.col("m").alias("n_paths"))
+    out = None
+    for depth in range(1, max_depth + 1):
+        if depth > 1:
+            level = level.join(back, "last").withColumn("_m", F.col("_m") - F.size(F.filter("used", lambda x: x == F.col("_pair")))).filter("_m > 0").select(
+                "case_id", F.concat("names", F.array("_name")).alias("names"), F.array_sort(F.concat("used", F.array("_pair"))).alias("used"),
+                F.col("_to").alias("last"), (F.col("n_paths") * F.col("_m")).alias("n_paths"))
+        level = materialize(level.groupBy("case_id", "names", "used", "last").agg(F.sum("n_paths").alias("n_paths")), f"chain{depth}")
+        part = level.groupBy("case_id", "names").agg(F.sum("n_paths").alias("n_paths")).withColumn("depth", F.lit(depth))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def attack_trace(edges: DataFrame, suspicious: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Paths between suspicious nodes which follow each other in time, per case.
 
     ``suspicious`` has case_id, node_id and ts. A case where no two of them are
@@ -129,7 +165,7 @@ def attack_trace(edges: DataFrame, suspicious: DataFrame, max_depth: int = 32) -
         F.concat_ws("#", "case_id", F.col("pos").cast("string")).alias("pair_id"), "case_id",
         F.col("node_id").alias("source"), "target",
     )
-    paths = shortest_paths(edges, pairs, max_depth).withColumn("case_id", F.substring_index("pair_id", "#", 1))
+    paths = shortest_paths(edges, pairs, max_depth).filter("reached")
     on_path = paths.select("case_id", F.explode("path").alias("node_id")).distinct()
     lone = suspicious.select("case_id", "node_id").join(paths.select("case_id").distinct(), "case_id", "left_anti")
     near = lone.join(undirected(edges), F.col("node_id") == F.col("u")).select("case_id", F.col("v").alias("node_id"))

@@ -406,7 +406,7 @@ def _(spark, d):
     pairs = n.groupBy(F.col("case_id").alias("pair_id")).agg(
         F.min(F.when(F.col("label") == "Port", F.col("node_id"))).alias("source"),
         F.max(F.when(F.col("label") == "Service", F.col("node_id"))).alias("target"))
-    out = tr.shortest_paths(e, pairs)
+    out = tr.shortest_paths(e, pairs).filter("reached")
     return out.select("pair_id", F.col("hops").cast("int").alias("hops"), F.array_join("path", " > ").alias("path"))
 
 
@@ -459,8 +459,8 @@ def _(spark, d):
 
 # ---- rules -----------------------------------------------------------------------
 
-FIND = "case_id, correlation_id, rule, score, severity, source, target, explanation, matches"
-F_COLS = co.FINDING_COLUMNS
+FIND = "case_id, correlation_id, rule, score, severity, source, target, explanation, matches, reasons, chain"
+F_COLS = [f"array_join({c}, ' | ') AS {c}" if c in ("reasons", "chain") else c for c in co.FINDING_COLUMNS]
 
 
 def _sev(score, lo="'high'"):
@@ -484,26 +484,31 @@ REG_ROWS = """rr AS (SELECT e.case_id, p.name AS process_name, r.name AS reg_pat
 DOM_ROWS = """dr AS (SELECT d.case_id, d.name AS domain_name, p.name AS process_name, coalesce(e.m, 1) AS n_rows FROM nodes d
   LEFT JOIN (SELECT src, dst, count(*) AS m FROM edges WHERE rel_type='RESOLVED' GROUP BY 1,2) e ON e.dst=d.node_id LEFT JOIN nodes p ON p.node_id=e.src WHERE d.label='Domain')"""
 RULES_SQL = JOINED + "," + CHAIN_SQL + "," + ATTACK_ROWS + "," + CROSS_ROWS + "," + REG_ROWS + "," + DOM_ROWS + f""",
- f0 AS (SELECT case_id, 'proc_chain_'||substring(md5(case_id||chain),1,10) AS correlation_id, 'PROCESS_CHAIN' AS rule, score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' ELSE 'medium' END AS severity,
-   source, target, 'Process lineage chain detected (depth '||depth||'): '||chain AS explanation, matches FROM (
-   SELECT case_id, chain, depth, any_value(names[1]) AS source, any_value(names[-1]) AS target, CAST(sum(n_paths) AS BIGINT) AS matches,
+ f0 AS (SELECT case_id, 'proc_chain_'||substring(md5(case_id||line),1,10) AS correlation_id, 'PROCESS_CHAIN' AS rule, score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' ELSE 'medium' END AS severity,
+   source, target, 'Processes started one another over '||depth||' steps, '||line AS explanation, matches,
+   'steps: '||depth||CASE WHEN shell THEN ' | script interpreter in the line' ELSE '' END AS reasons, replace(line,' -> ',' | ') AS chain FROM (
+   SELECT case_id, line, depth, any_value(len(list_filter(names, lambda x: lower(x) IN ('powershell.exe','cmd.exe','wscript.exe','mshta.exe'))))>0 AS shell, any_value(names[1]) AS source, any_value(names[-1]) AS target, CAST(sum(n_paths) AS BIGINT) AS matches,
    least(100, least(100, 40+15*depth) + CASE WHEN any_value(len(list_filter(names, lambda x: lower(x) IN ('powershell.exe','cmd.exe','wscript.exe','mshta.exe'))))>0 THEN 20 ELSE 0 END) AS score
-   FROM (SELECT *, array_to_string(names,' -> ') AS chain FROM ch) GROUP BY 1,2,3)),
+   FROM (SELECT *, array_to_string(names,' -> ') AS line FROM ch) GROUP BY 1,2,3)),
  f1 AS (SELECT case_id, 'attack_path_'||substring(md5(case_id||substring(p,9)||address),1,10) AS correlation_id, 'ATTACK_PATH' AS rule, score, {_sev('score')} AS severity, usr||' ('||process_name||')' AS source,
-   address||':'||port AS target, usr||' executed '||process_name||', which subsequently connected to external IP '||address||' on port '||port||'.' AS explanation, matches FROM (
+   address||':'||port AS target, process_name||', run by '||usr||', reached the public address '||address||':'||port AS explanation, matches,
+   'public address'||CASE WHEN score=95 THEN ' | PowerShell or encoded command' ELSE '' END AS reasons, usr||' | '||process_name||' | '||address||':'||port AS chain FROM (
    SELECT case_id, p, process_name, address, min(username) AS usr, min(coalesce(port,'?')) AS port, CAST(sum(n_rows) AS BIGINT) AS matches,
    CASE WHEN contains(lower(process_name),'powershell') OR contains(lower(any_value(coalesce(command_line,''))),'-enc') THEN 95 ELSE 75 END AS score FROM ar GROUP BY 1,2,3,4)),
  f2 AS (SELECT case_id, 'cross_ev_'||substring(md5(case_id||evidence_id||address),1,10) AS correlation_id, 'CROSS_EVIDENCE_CORRELATION' AS rule, 85 AS score, 'high' AS severity, min(process_name) AS source, address AS target,
-   'Activity on IP '||address||' confirmed across multiple evidence sources. Process '''||min(process_name)||''' recorded in event log with matching PCAP capture.' AS explanation, CAST(sum(n_pairs) AS BIGINT) AS matches FROM cr GROUP BY case_id, evidence_id, address),
+   min(process_name)||' and a capture in another file both show '||address AS explanation, CAST(sum(n_pairs) AS BIGINT) AS matches,
+   'address seen in two evidence files' AS reasons, min(process_name)||' | '||address AS chain FROM cr GROUP BY case_id, evidence_id, address),
  f3 AS (SELECT case_id, 'lolbin_'||substring(md5(case_id||name||substring(node_id,9)),1,10) AS correlation_id, 'SUSPICIOUS_LOLBIN_EXECUTION' AS rule, score, {_sev('score')} AS severity, name AS source, substring(cmd,1,80) AS target,
-   'Suspicious execution of Living-off-the-Land binary '''||name||''' with command: '||cmd AS explanation, CAST(1 AS BIGINT) AS matches FROM (
+   name||' is a system tool open to misuse; it ran '||cmd AS explanation, CAST(1 AS BIGINT) AS matches,
+   'system tool open to misuse'||CASE WHEN score=90 THEN ' | encoded or hidden command' ELSE '' END AS reasons, name AS chain FROM (
    SELECT *, coalesce(command_line,name) AS cmd, CASE WHEN regexp_matches(lower(coalesce(command_line,name)),'-enc|-nop|downloadstring') THEN 90 ELSE 70 END AS score FROM nodes
    WHERE label='Process' AND regexp_matches(lower(name),'powershell|cmd[.]exe|mshta|certutil|rundll32|wscript|cscript|regsvr32'))),
  f4 AS (SELECT case_id, 'reg_persist_'||substring(md5(case_id||reg_path),1,10) AS correlation_id, 'REGISTRY_RUN_KEY_PERSISTENCE' AS rule, CASE WHEN regexp_matches(lower(reg_path),'run|services') THEN 85 ELSE 65 END AS score,
    CASE WHEN regexp_matches(lower(reg_path),'run|services') THEN 'critical' ELSE 'high' END AS severity, min(process_name) AS source, reg_path AS target,
-   'Process '''||min(process_name)||''' modified registry persistence location: '||reg_path AS explanation, CAST(sum(n_rows) AS BIGINT) AS matches FROM rr GROUP BY case_id, reg_path),
+   min(process_name)||' wrote the registry key '||reg_path AS explanation, CAST(sum(n_rows) AS BIGINT) AS matches,
+   'registry change'||CASE WHEN regexp_matches(lower(reg_path),'run|services') THEN ' | key of an autostart or a service' ELSE '' END AS reasons, min(process_name)||' | '||reg_path AS chain FROM rr GROUP BY case_id, reg_path),
  f5 AS (SELECT case_id, 'dom_c2_'||substring(md5(case_id||domain_name||proc),1,10) AS correlation_id, 'DOMAIN_RESOLUTION' AS rule, 60 AS score, 'medium' AS severity, proc AS source, domain_name AS target,
-   'Domain resolution query recorded: '||proc||' -> '||domain_name AS explanation, CAST(sum(n_rows) AS BIGINT) AS matches FROM (SELECT *, coalesce(process_name,'Network Service') AS proc FROM dr) GROUP BY case_id, domain_name, proc),
+   proc||' looked up '||domain_name AS explanation, CAST(sum(n_rows) AS BIGINT) AS matches, 'name lookup' AS reasons, proc||' | '||domain_name AS chain FROM (SELECT *, coalesce(process_name,'Network Service') AS proc FROM dr) GROUP BY case_id, domain_name, proc),
  allf AS (SELECT {FIND} FROM f0 UNION ALL SELECT {FIND} FROM f1 UNION ALL SELECT {FIND} FROM f2 UNION ALL SELECT {FIND} FROM f3 UNION ALL SELECT {FIND} FROM f4 UNION ALL SELECT {FIND} FROM f5)"""
 R = GA + "," + RULES_SQL + "\n"
 
@@ -532,7 +537,7 @@ def _rule(name, cte, fn, with_events=False):
     @query(name, R + f"SELECT {FIND} FROM {cte}")
     def _(spark, d):
         n, e = built(spark, d, "actual")
-        return (fn(n, e, canonical_events(spark, d)) if with_events else fn(n, e)).select(*F_COLS)
+        return (fn(n, e, canonical_events(spark, d)) if with_events else fn(n, e)).selectExpr(*F_COLS)
 
 
 _rule("cor_chain", "f0", co.process_chains)
@@ -551,14 +556,14 @@ def findings(spark, d):
 
 @query("cor_all", R + f"SELECT {FIND} FROM allf")
 def _(spark, d):
-    return findings(spark, d).select(*F_COLS)
+    return findings(spark, d).selectExpr(*F_COLS)
 
 
 @query("set_findings", R + f"SELECT {FIND} FROM allf")
 def _(spark, d):
     rows = findings(spark, d).withColumn("rule_no", F.lit(0))
     again = rows.withColumn("rule_no", F.lit(1)).withColumn("score", F.lit(0))
-    return co.dedupe_findings(rows.unionByName(again)).select(*F_COLS)
+    return co.dedupe_findings(rows.unionByName(again)).selectExpr(*F_COLS)
 
 
 @query("agg_rules", R + "SELECT case_id, rule, count(*) AS n, max(score) AS max_score FROM allf GROUP BY 1,2")

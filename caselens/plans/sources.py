@@ -118,7 +118,7 @@ RAW = """raw AS (SELECT event_id AS eid, ts, user_id AS uid, event_type AS kind,
 
 
 def _raw(spark, d):
-    ev = spread(table(spark, d, "events"), "event_id")
+    ev = spread(table(spark, d, "events"))
     return ev.select(F.col("event_id").alias("eid"), "ts", F.col("user_id").alias("uid"), F.col("event_type").alias("kind"), tx.json_path(F.col("props"), "k").cast("int").alias("k"))
 
 

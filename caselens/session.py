@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,20 +23,30 @@ def get_spark(cores: str = "*", partitions: int = 8, app: str = "caselens") -> S
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SPREAD, "true")
         .getOrCreate()
     )
 
 
+SPREAD = "spark.caselens.spreadSmallFiles"
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: that of ``spark.checkpoint.dir`` or ``setCheckpointDir``.
+
+    Only a local session, where driver and executor are one process, may go
+    without: it gets a temporary folder, deleted when Python ends.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="caselens-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
@@ -41,13 +54,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a source with fewer splits than cores (one small file).
-
-    A source with enough splits, so any large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small file out to all cores where the session asks for it, as the one of tests and bench does; else as it is."""
+    session = df.sparkSession
+    return df.repartition(session.sparkContext.defaultParallelism) if session.conf.get(SPREAD, "false") == "true" else df
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -29,11 +29,11 @@ def _s(col: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_canonical(spread(table(spark, sf_dir, "events"), "event_id"))
+    return to_canonical(spread(table(spark, sf_dir, "events")))
 
 
 def to_canonical(src: DataFrame) -> DataFrame:
