@@ -138,7 +138,10 @@ def _csv_raw(spark, d):
 
 @query("src_csv", "WITH " + RAW + CSV_SQL)
 def _(spark, d):
-    ev = no.csv(_csv_raw(spark, d), "log.csv", ts0())
+    """Written as CSV text and read again."""
+    path = scratch_path(spark, "csv")
+    _csv_raw(spark, d).write.csv(path, header=True, escape='"')
+    ev = no.csv(no.read_csv(spark, path, multi_line=False), "log.csv", ts0())
     return ev.select(tx.json_path(F.col("details"), "Record").alias("rec"), "ts", "event_type", "severity", "subject", "action", "object", "source_ip", "destination_port", "pid", "command_line")
 
 

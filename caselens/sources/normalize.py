@@ -46,7 +46,24 @@ JSON_FIELDS = [
     "filename", "filepath", "md5", "sha1", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "url",
     "registry_key", "service_name",
 ]
-MAX_CSV_COLUMNS = 128
+# A cell is quoted (with doubled quotes inside) or runs to the next comma or line end; both loops keep what they took, so the work stays linear.
+CSV_CELL = r'(?:"(?:[^"]++|"")*+"?)?'
+CSV_RECORD = rf'{CSV_CELL}[^,\r\n]*+(?:,{CSV_CELL}[^,\r\n]*+)*+'
+
+
+def csv_records(content: Column) -> Column:
+    """Records of a CSV text, blank lines left out; a line break within quotes belongs to its record."""
+    return F.filter(F.regexp_extract_all(content, F.lit(CSV_RECORD), F.lit(0)), lambda r: r != "")
+
+
+def csv_cells(record: Column) -> Column:
+    """Cells of one record, as many as there are: an empty one is null, an empty quoted one is empty."""
+    def value(cell: Column) -> Column:
+        text = F.substring(cell, 2, 1 << 30)  # without the comma before it
+        inner = F.replace(F.regexp_extract(text, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
+        return F.when(F.length(text) == 0, F.lit(None).cast("string")).when(text.startswith('"') & text.endswith('"') & (F.length(text) > 1), inner).otherwise(text)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(rf',{CSV_CELL}[^,]*+'), F.lit(0)), value)
 
 
 def _default_ts(default_ts: Column | None) -> Column:
@@ -103,22 +120,21 @@ def csv(df: DataFrame, source_file: Column | str | None = None, default_ts: Colu
         return next((F.col(pos[by_lower[a]]) for a in aliases if a in by_lower), None)
 
     second = F.col("c1") if len(names) > 1 else None
-    details = F.to_json(F.struct(*[F.col(pos[n]).alias(n) for n in names]))
+    details = F.to_json(F.struct(*[F.col(pos[n]).alias(n) for i, n in enumerate(names) if n != f"_c{i}"]))  # Spark's name for no name
     return _csv_events(raw, get, F.col("c0"), second, details, _file(source_file, "csv_file"), default_ts, compat)
 
 
 def csv_lines(df: DataFrame, header: Column, line: Column, source_file: Column, default_ts: Column | None = None, compat: bool = False) -> DataFrame:
-    """CSV lines of many files, each with its own header line."""
-    schema = ", ".join(f"c{i} string" for i in range(MAX_CSV_COLUMNS))
+    """CSV records of many files, each with its own header record, of any width.
 
-    def cells(c: Column) -> Column:
-        # the lambda binds the parsed line, so that it is parsed once and not per cell
-        parsed = F.array(F.from_csv(c, schema))
-        return F.transform(parsed, lambda s: F.array(*[s[f"c{i}"] for i in range(MAX_CSV_COLUMNS)]))[0]
-
-    rows = df.withColumn("_h", F.transform(F.array_compact(cells(header)), F.lower)).withColumn("_v", cells(line))
-    rows = rows.withColumn("_m", F.map_from_entries(F.transform(
-        F.array_distinct("_h"), lambda h: F.struct(h, F.get("_v", (F.array_position("_h", h) - 1).cast("int"))))))
+    A column without a header keeps its place but has no name. Of two columns with
+    the same name the first counts.
+    """
+    rows = df.withColumn("_n", csv_cells(header)).withColumn("_h", F.transform("_n", lambda x: F.lower(F.coalesce(x, F.lit(""))))).withColumn("_v", csv_cells(line))
+    cell = lambda h: F.get("_v", (F.array_position("_h", h) - 1).cast("int"))
+    names = F.filter(F.array_distinct("_h"), lambda h: h != "")
+    rows = rows.withColumn("_m", F.map_from_entries(F.transform(names, lambda h: F.struct(h, cell(h)))))
+    shown = F.filter(F.transform(names, lambda h: F.struct(F.get("_n", (F.array_position("_h", h) - 1).cast("int")), cell(h).alias("v"))), lambda x: x["v"].isNotNull())
 
     def get(aliases: list[str]) -> Column:
         # the first alias that is in the header, even when its cell is empty
@@ -126,7 +142,7 @@ def csv_lines(df: DataFrame, header: Column, line: Column, source_file: Column,
         return F.try_element_at("_m", name)
 
     second = F.when(F.size("_h") > 1, F.get("_v", 1)).otherwise(source_file)
-    return _csv_events(rows, get, F.get("_v", 0), second, F.to_json("_m"), source_file, default_ts, compat)
+    return _csv_events(rows, get, F.get("_v", 0), second, F.to_json(F.map_from_entries(shown)), source_file, default_ts, compat)
 
 
 def json_items(df: DataFrame, content: str = "content") -> DataFrame:
@@ -324,8 +340,8 @@ def register(file_type: str, normaliser: Callable[[DataFrame, Column | None], Da
 
 
 def _csv_files(files: DataFrame, ts: Column | None) -> DataFrame:
-    lines = files.withColumn("_lines", F.split("content", LINE_BREAK)).withColumn("_header", F.get("_lines", 0))
-    lines = lines.withColumn("_line", F.explode(F.slice("_lines", 2, 1 << 30))).filter("_line <> ''").drop("content", "_lines")
+    records = files.withColumn("_records", csv_records(F.col("content"))).withColumn("_header", F.get("_records", 0))
+    lines = records.withColumn("_line", F.explode(F.slice("_records", 2, 1 << 30))).drop("content", "_records")
     return csv_lines(lines, F.col("_header"), F.col("_line"), F.col("source_file"), ts)
 
 
@@ -355,9 +371,14 @@ def dispatch(files: DataFrame, default_ts: Column | None = None) -> DataFrame:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, all columns text."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with header, all columns text.
+
+    With ``multi_line`` a line break may stand within quotes, as in ``dispatch``,
+    and a file is one task. Without it large files are split over tasks, which is
+    right for files whose cells hold no line breaks.
+    """
+    return spark.read.csv(path, header=True, multiLine=multi_line, escape='"', maxColumns=1 << 20)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden micro-fixtures of the normalisers."""
 
+import json
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -122,3 +123,25 @@ def test_manifest_from_binary_files(spark, tmp_path):
     rows = {r.filename: r for r in mf.manifest(df).collect()}
     assert rows["a.bin"].file_type == "pcap" and rows["a.bin"].size_bytes == 6
     assert rows["b.csv"].object_name == f"o/c/{rows['b.csv'].sha256}.csv"
+
+
+def test_csv_text_of_any_shape(spark, tmp_path):
+    """Empty headers keep their place, 200 columns stay, quotes may hold commas, quotes and line breaks; both readers agree."""
+    wide = [f"h{i}" for i in range(200)]
+    files = {
+        "gap.csv": "subject,,action\nalice,x,login\n",
+        "wide.csv": ",".join(["subject", *wide, "action"]) + "\n" + ",".join(["bob", *wide, "last"]) + "\n",
+        "quoted.csv": 'Subject,object,action\r\n"carol","a, ""b""\nsecond line",open\r\n\r\ndave,,"""q"""\r\n',
+        "one.csv": "action\nonly\n",
+    }
+    rows = []
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, newline="")
+        ev = no.csv(no.read_csv(spark, str(tmp_path / name)), name, ts0())
+        rows += [(r.subject, r.action, r.object, r.details, r.source_file) for r in ev.select("subject", "action", "object", "details", "source_file").collect()]
+    whole = spark.createDataFrame([("csv", n, t) for n, t in files.items()], "file_type string, source_file string, content string")
+    got = [(r.subject, r.action, r.object, r.details, r.source_file) for r in no.dispatch(whole, ts0()).select("subject", "action", "object", "details", "source_file").collect()]
+    assert sorted(got) == sorted(rows) and len(rows) == 5
+    by = {r[0]: r for r in rows}
+    assert by["alice"][1] == "login" and by["bob"][1] == "last" and len(json.loads(by["bob"][3])) == 202
+    assert by["carol"][2] == 'a, "b"\nsecond line' and by["dave"][1] == '"q"'
