@@ -11,7 +11,7 @@ from caselens.functions.text import iso_micros
 from caselens.operators.aggregates import stats, technique_set
 from caselens.operators.describe import with_description
 from caselens.operators.filters import any_of
-from caselens.operators.ordered import milestones, sessions, span, top_n
+from caselens.operators.ordered import milestones, ranked, sessions, span, top_n
 from caselens.schema import severity_rank
 
 
@@ -33,22 +33,27 @@ def _ranked(order: str, *cols: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(order, *cols)))
 
 
-def bundle(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """One row per case: top 30 anomalies, findings, newest 100 files, techniques, sessions, hits.
+def bundle(
+    events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame, hits: DataFrame | None = None,
+    n_anomalies: int = 30, n_findings: int | None = None, n_files: int | None = None, n_sessions: int | None = 5,
+) -> DataFrame:
+    """One row per case: top anomalies, findings, newest files, techniques, first sessions, hits.
 
-    Every list is cut to its size before it is collected.
+    A list with a number is cut before it is collected; ``files_total`` and
+    ``findings_total`` count all.
     """
-    anom = top_anomalies(events, 30)
+    anom = top_anomalies(events, n_anomalies)
     a = anom.groupBy("case_id").agg(_ranked("rank", "event_id", "severity", "ts", "subject", "action", "object", "anomaly_score", "mitre_techniques").alias("anomalies"))
-    f = top_n(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], 100)
+    totals = [df.groupBy("case_id").agg(F.count("*").alias(c)) for df, c in ((findings, "findings_total"), (evidence, "files_total"))]
+    f = ranked(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], n_findings)
     f = f.groupBy("case_id").agg(_ranked("rank", "rule", "source", "target", "score", "explanation").alias("correlations"))
-    e = top_n(evidence, ["case_id"], [F.desc("created_at"), F.asc("evidence_id")], 100)
+    e = ranked(evidence, ["case_id"], [F.desc("created_at"), F.asc("evidence_id")], n_files)
     e = e.groupBy("case_id").agg(_ranked("rank", "evidence_id", "filename", "file_type", "status", "size_bytes").alias("evidence_list"))
     t = technique_set(anom).groupBy("case_id").agg(F.array_sort(F.collect_set("technique_id")).alias("techniques"))
-    s = top_n(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], 5)
+    s = ranked(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], n_sessions)
     s = s.groupBy("case_id").agg(_ranked("rank", "start_ts", "end_ts", "event_count").alias("sessions"))
     out = cases
-    for part in (a, f, e, t, s):
+    for part in (a, f, e, t, s, *totals):
         out = out.join(part, "case_id", "left")
     if hits is not None:
         h = hits.groupBy("case_id").agg(_ranked("rank", "event_id", "score").alias("semantic_hits"))
@@ -56,16 +61,19 @@ def bundle(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: D
     return out
 
 
-def report(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame) -> DataFrame:
-    """Report bundle per case: totals, top 10 anomalies, 8 findings, 12 milestones, 5 sessions."""
+def report(
+    events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame,
+    n_anomalies: int = 10, n_findings: int = 8, n_milestones: int = 12, n_sessions: int = 5,
+) -> DataFrame:
+    """Report bundle per case: totals, and the first anomalies, findings, milestones and sessions."""
     totals = stats(events).filter("evidence_id is null").select("case_id", "total", "anomalies", "critical")
-    anom = with_description(top_anomalies(events, 10), report_style=True)
+    anom = with_description(top_anomalies(events, n_anomalies), report_style=True)
     a = anom.groupBy("case_id").agg(_ranked("rank", "event_id", "severity", "description").alias("top_anomalies"))
-    f = top_n(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], 8)
+    f = top_n(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], n_findings)
     f = f.groupBy("case_id").agg(_ranked("rank", "rule", "source", "target", "score").alias("findings"))
-    m = with_description(milestones(events), report_style=True)
+    m = with_description(milestones(events, n_milestones), report_style=True)
     m = m.groupBy("case_id").agg(_ranked("rank", "ts", "event_id", "description").alias("timeline"))
-    s = top_n(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], 5)
+    s = top_n(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], n_sessions)
     s = s.groupBy("case_id").agg(_ranked("rank", "start_ts", "end_ts", "event_count").alias("sessions"))
     e = evidence.groupBy("case_id").agg(F.count("*").alias("files"))
     out = cases.join(totals, "case_id", "left").join(span(events, ["case_id"]).select("case_id", "span_hours"), "case_id", "left")
@@ -74,36 +82,37 @@ def report(events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: D
     return out
 
 
-def prompt(bundles: DataFrame, system: str = "") -> DataFrame:
-    """One text brief per case; evidence is fenced as untrusted data. Caps: 12 anomalies, 10 findings."""
-    def lines(title: str, items: Column, fmt: Callable[[Column, Column], Column]) -> Column:
-        body = F.array_join(F.transform(items, lambda x, i: fmt(x, i + 1)), "\n")
-        return F.when(F.size(items) > 0, F.concat(F.lit(f"--- {title} ---\n"), body))
-
-    def num(i: Column) -> Column:
-        return i.cast("string")
-
-    files = lines("Uploaded Evidence Files", F.col("evidence_list"), lambda x, i: F.concat(
-        F.lit("File "), num(i), F.lit(": "), x.filename, F.lit(" (Type: "), x.file_type, F.lit(", Status: "), x.status,
-        F.lit(", Size: "), F.format_string("%.1f KB", F.bround(x.size_bytes / 1024, 1)), F.lit(")")))
-    anomalies = lines("Top Anomaly Detections", F.slice("anomalies", 1, 12), lambda x, i: F.concat(
-        F.lit("Anomaly "), num(i), F.lit(": ["), F.upper(x.severity), F.lit("] "), iso_micros(x.ts), F.lit(" | Subject: "), x.subject,
-        F.lit(" | Action: "), x.action, F.lit(" | Object: "), x.object, F.lit(" | MITRE: "),
-        F.when(F.size(x.mitre_techniques) > 0, F.array_join(x.mitre_techniques, ", ")).otherwise("None")))
-    found = lines("Graph Correlations", F.slice("correlations", 1, 10), lambda x, i: F.concat(
-        F.lit("  ["), x.rule, F.lit("] "), x.source, F.lit(" -> "), x.target))
-    techs = lines("Mapped Techniques", F.col("techniques"), lambda x, i: F.concat(F.lit("  Technique "), x))
-    text = F.concat_ws(
-        "\n", F.lit(system) if system else F.lit(None), F.concat(F.lit("Case ID: "), "case_id"), F.concat(F.lit("Case Title: "), "title"),
-        F.concat(F.lit("Case Status: "), "status"), F.lit("<EVIDENCE>"), files, anomalies, found, techs, F.lit("</EVIDENCE>"))
+def prompt(bundles: DataFrame, system: str = "", n_anomalies: int = 12, n_findings: int = 10) -> DataFrame:
+    """One text brief per case; evidence is fenced as untrusted data.
+
+    Sections without rows are left out. A ``question`` column, if there is one,
+    stands last, after the fence.
+    """
+    def section(title: str, items: Column, line: Callable[[Column, Column], Column]) -> Column:
+        body = F.array_join(F.transform(items, lambda x, i: line(x, (i + 1).cast("string"))), "\n")
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n"), body))
+
+    files = section("Files", F.col("evidence_list"), lambda x, i: F.concat(
+        i, F.lit(". "), x.filename, F.lit(", "), x.file_type, F.lit(", "), x.status, F.lit(", "), F.format_string("%.1f KB", F.bround(x.size_bytes / 1024, 1))))
+    anomalies = section("Anomalies", F.slice("anomalies", 1, n_anomalies), lambda x, i: F.concat(
+        i, F.lit(". "), iso_micros(x.ts), F.lit(" ["), F.upper(x.severity), F.lit("] "), F.concat_ws(" / ", x.subject, x.action, x.object),
+        F.when(F.size(x.mitre_techniques) > 0, F.concat(F.lit(" ("), F.array_join(x.mitre_techniques, ", "), F.lit(")"))).otherwise("")))
+    found = section("Findings", F.slice("correlations", 1, n_findings), lambda x, i: F.concat(
+        i, F.lit(". "), x.rule, F.lit(": "), x.source, F.lit(" -> "), x.target, F.lit(", score "), x.score.cast("string")))
+    techs = section("Techniques", F.col("techniques"), lambda x, i: F.concat(F.lit("- "), x))
+    hits = section("Similar events", F.col("semantic_hits"), lambda x, i: F.concat(F.lit("- "), x.event_id)) if "semantic_hits" in bundles.columns else F.lit(None)
+    about = F.concat(F.lit("About: "), F.when(F.col("description") != "", F.col("description"))) if "description" in bundles.columns else F.lit(None)
+    asked = F.concat(F.lit("Question: "), "question") if "question" in bundles.columns else F.lit(None)
+    head = F.concat(F.lit("Case "), "case_id", F.lit(": "), "title", F.lit(" ("), "status", F.lit(")"))
+    text = F.concat_ws("\n", F.lit(system) if system else F.lit(None), head, about, F.lit("<EVIDENCE>"), files, anomalies, found, hits, techs, F.lit("</EVIDENCE>"), asked)
     return bundles.select("case_id", text.alias("prompt"))
 
 
 PLAYBOOK = [
-    ("process", "Terminate suspicious process trees and block unauthorized command-line binaries."),
-    ("credential", "Force password resets and revoke tickets of affected accounts."),
-    ("isolation", "Isolate the affected endpoint from internal networks."),
-    ("telemetry", "Collect memory dumps and export event logs for the chain of custody."),
+    ("process", "Stop the suspicious processes and block the tools that started them."),
+    ("credential", "Reset passwords and sessions of the accounts involved."),
+    ("isolation", "Take the affected machine off the network."),
+    ("telemetry", "Save memory and event logs before anything is changed."),
 ]
 TOOL_WORDS = ["powershell", "cmd", "mimikatz", "certutil"]
 CREDENTIAL_WORDS = ["lsass", "mimikatz"]
@@ -151,14 +160,14 @@ def entity_hits(questions: DataFrame, findings: DataFrame, anomalies: DataFrame,
     return q.join(found, ["case_id", "word"]).select("question_id", "kind", "id", "score", "rank")
 
 
-def citations(evidence: DataFrame, hits: DataFrame, techniques: DataFrame, findings: DataFrame) -> DataFrame:
-    """Sources of an answer per case: its files, 4 events, 3 techniques, 2 findings."""
-    def part(df: DataFrame, kind: str, key: str, order: list, n: int) -> DataFrame:
-        return top_n(df.select("case_id", F.col(key).alias("source"), *[c for c in df.columns if c in ("score", "created_at") and c != key]),
+def citations(evidence: DataFrame, hits: DataFrame, techniques: DataFrame, findings: DataFrame, n_files: int | None = None) -> DataFrame:
+    """Sources of an answer per case: its files (all, or the newest ``n_files``), 4 events, 3 techniques, 2 findings."""
+    def part(df: DataFrame, kind: str, key: str, order: list, n: int | None) -> DataFrame:
+        return ranked(df.select("case_id", F.col(key).alias("source"), *[c for c in df.columns if c in ("score", "created_at") and c != key]),
                      ["case_id"], order, n).select("case_id", F.lit(kind).alias("kind"), "source", "rank")
 
     return (
-        part(evidence, "evidence_file", "filename", [F.desc("created_at"), F.asc("source")], 100)
+        part(evidence, "evidence_file", "filename", [F.desc("created_at"), F.asc("source")], n_files)
         .unionByName(part(hits, "event_log", "event_id", [F.desc("score"), F.asc("source")], 4))
         .unionByName(part(techniques, "mitre_technique", "technique_id", [F.asc("source")], 3))
         .unionByName(part(findings, "graph_correlation", "correlation_id", [F.desc("score"), F.asc("source")], 2))

@@ -25,6 +25,11 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column], n: int | None = None, rank: str = "rank") -> DataFrame:
+    """The first n rows of every group with their rank; all rows without n."""
+    return ordered_index(df, by, order, rank) if n is None else top_n(df, by, order, n, rank)
+
+
 def ordered_index(df: DataFrame, by: list[str], order: list[Column], name: str = "pos") -> DataFrame:
     """1-based position of each row in its group, for groups of any size.
 

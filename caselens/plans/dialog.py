@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselens.functions import mitre as mi
+from caselens.functions.when import micros
 from caselens.operators import aggregates as ag
 from caselens.operators import audit as au
 from caselens.operators import context as cx
@@ -131,31 +132,29 @@ def _(spark, d):
     return questions(spark, d).select("question_id", dg.intent(F.col("question")).alias("intent"))
 
 
-@query("nl_answers", G + "," + EVENT_CASES_SQL + "," + Q_SQL + f""", qi AS (SELECT *, {INTENT_SQL} AS intent FROM qs),
+@query("nl_answers", R.rstrip() + "," + EVENT_CASES_SQL + "," + Q_SQL + f""", qi AS (SELECT *, {INTENT_SQL} AS intent FROM qs),
   st AS (SELECT case_id, count(*) AS total, count(*) FILTER (is_anomaly OR anomaly_score>0.5) AS an, count(*) FILTER (severity IN ('critical','high')) AS cr FROM ev GROUP BY 1),
   fs AS (SELECT case_id, count(*) AS files, arg_max(filename, size_bytes*1000+ascii(substring(filename,-5,1))) AS big, max(size_bytes) AS bs, arg_max(filename, strftime(created_at,'%Y-%m-%dT%H:%M:%S.%f')) AS newest, arg_max(file_type, strftime(created_at,'%Y-%m-%dT%H:%M:%S.%f')) AS nt,
     string_agg(filename, ', ' ORDER BY created_at DESC, evidence_id) AS names FROM eevid GROUP BY 1),
-  lb AS (SELECT case_id, 'Suspicious execution of Living-off-the-Land binary '''||name||''' with command: '||coalesce(command_line,name) AS ex, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN contains(coalesce(command_line,name),'-enc') THEN 90 ELSE 70 END DESC, md5id) AS rn
-    FROM (SELECT *, 'lolbin_'||substring(md5(case_id||name||substring(node_id,9)),1,10) AS md5id FROM nodes WHERE label='Process' AND regexp_matches(lower(name),'powershell|cmd[.]exe|mshta|certutil|rundll32'))),
-  fo AS (SELECT case_id, string_agg(ex, ' ' ORDER BY rn) AS found FROM lb WHERE rn<=5 GROUP BY 1),
+  fo AS (SELECT case_id, string_agg(explanation, '; ' ORDER BY rn) AS found FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rn FROM allf) WHERE rn<=5 GROUP BY 1),
   gc AS (SELECT case_id, n, e FROM (SELECT case_id, count(*) AS n FROM nodes GROUP BY 1) JOIN (SELECT case_id, count(*) AS e FROM edges GROUP BY 1) USING (case_id)),
   oc AS (SELECT organization_id, count(*) AS oc FROM ecases GROUP BY 1)
-  SELECT question_id, case_id, intent, CASE intent WHEN 'greeting' THEN CASE WHEN contains(q,'alice') THEN 'Hello Alice!' ELSE 'Hello!' END||' I am ready to assist with '||title||'.' WHEN 'upload_instructions' THEN 'Open the Evidence tab of the case and add the file there.'
-   WHEN 'graph_stats' THEN 'The graph of '||title||' has '||n||' nodes and '||e||' relationships.' WHEN 'cases_count' THEN 'There are currently '||oc||' case(s) in your organization workspace.'
-   WHEN 'file_name' THEN 'The evidence file(s) uploaded for '||title||' is: '||names||'.' WHEN 'evidence_list' THEN 'There are currently '||files||' evidence file(s) uploaded for '||title||': '||names||'.'
-   WHEN 'file_size' THEN 'The file of maximum size in '||title||' is '||big||' with a size of '||CASE WHEN bs<1024 THEN bs||' Bytes' WHEN bs<1048576 THEN printf('%.1f KB', bs/1024.0) ELSE printf('%.2f MB', bs/1048576.0) END||'.'
-   WHEN 'evidence_importance' THEN 'In '||title||', the primary evidence file is '||newest||' ('||nt||').' WHEN 'evidence_count' THEN 'There are '||files||' evidence file(s) uploaded to '||title||'.'
-   WHEN 'file_security' THEN 'The case has '||an||' anomalies and '||cr||' critical/high severity events.' WHEN 'graph_query' THEN found
-   WHEN 'structured_count' THEN CASE WHEN contains(q,'anomal') THEN 'There are '||an||' anomaly events detected in this case.' WHEN contains(q,'critical') OR contains(q,'high') THEN 'There are '||cr||' critical/high severity events logged in this case.'
-     WHEN contains(q,'event') OR contains(q,'log') THEN 'There are '||format('{{:,}}', total)||' total events analyzed in this case.' END
-   WHEN 'case_status' THEN 'The current status of case '||title||' is '||upper(status)||'.' END AS answer
-  FROM qi JOIN ecases USING (case_id) JOIN st USING (case_id) JOIN fs USING (case_id) JOIN fo USING (case_id) JOIN gc USING (case_id) JOIN oc USING (organization_id)""")
+  SELECT question_id, case_id, intent, CASE intent WHEN 'greeting' THEN CASE WHEN contains(q,'alice') THEN 'Hello Alice' ELSE 'Hello' END||'! What would you like to know about '||title||'?' WHEN 'upload_instructions' THEN 'Open the Evidence tab of the case and add the file there.'
+   WHEN 'graph_stats' THEN 'The graph of '||title||' has '||n||' nodes and '||e||' relationships.' WHEN 'cases_count' THEN 'Cases of your organization: '||oc||'.'
+   WHEN 'file_name' THEN 'Files of '||title||': '||names||'.' WHEN 'evidence_list' THEN files||' files in '||title||': '||names||'.'
+   WHEN 'file_size' THEN 'The largest file of '||title||' is '||big||', '||CASE WHEN bs<1024 THEN bs||' Bytes' WHEN bs<1048576 THEN printf('%.1f KB', bs/1024.0) ELSE printf('%.2f MB', bs/1048576.0) END||'.'
+   WHEN 'evidence_importance' THEN 'The newest file of '||title||' is '||newest||' ('||nt||').' WHEN 'evidence_count' THEN 'Files in '||title||': '||files||'.'
+   WHEN 'file_security' THEN CASE WHEN an>0 OR cr>0 THEN 'Found in this case: '||an||' anomalies, '||cr||' critical or high events.' ELSE 'Nothing suspicious was found in this case.' END WHEN 'graph_query' THEN coalesce(found, 'No rule has found anything in '||title||'.')
+   WHEN 'structured_count' THEN CASE WHEN contains(q,'anomal') THEN an||' events are marked as anomalies.' WHEN contains(q,'critical') OR contains(q,'high') THEN cr||' events are rated critical or high.'
+     WHEN contains(q,'event') OR contains(q,'log') THEN format('{{:,}}', total)||' events in all.' END
+   WHEN 'case_status' THEN title||' is '||upper(status)||'.' END AS answer
+  FROM qi JOIN ecases USING (case_id) JOIN st USING (case_id) JOIN fs USING (case_id) LEFT JOIN fo USING (case_id) JOIN gc USING (case_id) JOIN oc USING (organization_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
-    n, e = (materialize(x, "graph") for x in built(spark, d))
+    n, e = (materialize(x, "graph") for x in built(spark, d, "actual"))
     sizes = n.groupBy("case_id").agg(F.count("*").alias("nodes")).join(e.groupBy("case_id").agg(F.count("*").alias("edges")), "case_id")
     stats = ag.stats(ev).filter("evidence_id is null")
-    return dg.answers(questions(spark, d), stats, event_evidence(ev), event_cases(ev), co.lolbins(n), sizes)
+    return dg.answers(questions(spark, d), stats, event_evidence(ev), event_cases(ev), co.all_findings(n, e, ev), sizes)
 
 
 @query("nl_tech_search", "WITH " + TECH_SQL.replace("t(technique_id, name, tactic)", "t0(technique_id, name, tactic)") + """, t AS (SELECT *, row_number() OVER () AS ord FROM t0), qq AS (SELECT p_partkey AS query_id, CASE p_partkey%4 WHEN 0 THEN 'about t1110 and t1059.001 please'
@@ -194,38 +193,55 @@ def _(spark, d):
     return ve.case_text(event_cases(ev), ev).select("case_id", "case_text")
 
 
-@query("ctx_bundle")
+@query("ctx_bundle", R.rstrip() + "," + EVENT_CASES_SQL + "," + TOP30 + """, a AS (SELECT case_id, string_agg(event_id, ',' ORDER BY rank) AS anomalies FROM top30 GROUP BY 1),
+  f AS (SELECT case_id, string_agg(correlation, ',' ORDER BY rn) AS correlations, count(*) AS findings_total FROM (SELECT case_id, rule||':'||source||'>'||target||':'||score||':'||explanation AS correlation, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rn FROM allf) GROUP BY 1),
+  e AS (SELECT case_id, string_agg(evidence_id||'/'||filename, ',' ORDER BY created_at DESC, evidence_id) AS evidence_list, count(*) AS files_total FROM eevid GROUP BY 1),
+  k AS (SELECT case_id, string_agg(DISTINCT t, ',' ORDER BY t) AS techniques FROM (SELECT case_id, unnest(string_split(techniques,',')) AS t FROM top30 WHERE techniques<>'') GROUP BY 1),
+  lg AS (SELECT case_id, ts, CASE WHEN epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY case_id ORDER BY ts)) > 900000000 THEN 1 ELSE 0 END AS new FROM ev WHERE ts IS NOT NULL),
+  ss AS (SELECT case_id, s, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM (SELECT case_id, ts, sum(new) OVER (PARTITION BY case_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM lg) GROUP BY 1,2),
+  se AS (SELECT case_id, string_agg(epoch_us(lo)||'-'||epoch_us(hi)||':'||n, ',' ORDER BY lo) AS sessions FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY lo) AS rn FROM ss) WHERE rn<=5 GROUP BY 1)
+  SELECT case_id, title, anomalies, correlations, evidence_list, techniques, sessions, findings_total, files_total FROM ecases LEFT JOIN a USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN k USING (case_id) LEFT JOIN se USING (case_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
     b = cx.bundle(ev, findings(spark, d), event_evidence(ev), event_cases(ev))
-    return b.select("case_id", "title", *[F.size(c).alias(c) for c in ("anomalies", "correlations", "evidence_list", "techniques", "sessions")])
+    us = lambda c: micros(c.cast("timestamp_ntz")).cast("string")
+    listed = {
+        "anomalies": lambda x: x.event_id, "correlations": lambda x: F.concat(x.rule, F.lit(":"), x.source, F.lit(">"), x.target, F.lit(":"), x.score.cast("string"), F.lit(":"), x.explanation),
+        "evidence_list": lambda x: F.concat_ws("/", x.evidence_id, x.filename), "techniques": lambda x: x,
+        "sessions": lambda x: F.concat(us(x.start_ts), F.lit("-"), us(x.end_ts), F.lit(":"), x.event_count.cast("string"))}
+    return b.select("case_id", "title", *[F.array_join(F.transform(c, f), ",").alias(c) for c, f in listed.items()], "findings_total", "files_total")
 
 
-@query("ctx_prompt", G + "," + EVENT_CASES_SQL + "," + TOP30 + """, fl AS (SELECT case_id, string_agg('File '||rn||': '||filename||' (Type: '||file_type||', Status: '||status||', Size: '||printf('%.1f KB', size_bytes/1024.0)||')', chr(10) ORDER BY rn) AS s FROM
+TECHS_OF_TOP = "tt AS (SELECT DISTINCT case_id, unnest(string_split(techniques,',')) AS technique_id FROM top30 WHERE techniques<>'')"
+
+
+@query("ctx_prompt", R.rstrip() + "," + EVENT_CASES_SQL + "," + TOP30 + "," + TECHS_OF_TOP + """, fl AS (SELECT case_id, string_agg(rn||'. '||filename||', '||file_type||', '||status||', '||printf('%.1f KB', size_bytes/1024.0), chr(10) ORDER BY rn) AS s FROM
     (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, evidence_id) AS rn FROM eevid) GROUP BY 1),
-  an AS (SELECT case_id, string_agg('Anomaly '||rank||': ['||upper(severity)||'] '||strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||' | Subject: '||subject||' | Action: '||action||' | Object: '||object||' | MITRE: '||CASE WHEN techniques='' THEN 'None' ELSE replace(techniques,',',', ') END, chr(10) ORDER BY rank) AS s FROM top30 WHERE rank<=12 GROUP BY 1),
-  te AS (SELECT case_id, string_agg('  Technique '||t, chr(10) ORDER BY t) AS s FROM (SELECT DISTINCT case_id, unnest(string_split(techniques,',')) AS t FROM top30 WHERE techniques<>'') GROUP BY 1),
-  lb AS (SELECT case_id, name, substring(coalesce(command_line,name),1,80) AS target, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN contains(coalesce(command_line,name),'-enc') THEN 90 ELSE 70 END DESC, 'lolbin_'||substring(md5(case_id||name||substring(node_id,9)),1,10)) AS rn FROM nodes WHERE label='Process' AND regexp_matches(lower(name),'powershell|cmd[.]exe|mshta|certutil|rundll32')),
-  co AS (SELECT case_id, string_agg('  [SUSPICIOUS_LOLBIN_EXECUTION] '||name||' -> '||target, chr(10) ORDER BY rn) AS s FROM lb WHERE rn<=10 GROUP BY 1)
-  SELECT case_id, concat_ws(chr(10), 'Case ID: '||case_id, 'Case Title: '||title, 'Case Status: '||status, '<EVIDENCE>', '--- Uploaded Evidence Files ---'||chr(10)||fl.s, '--- Top Anomaly Detections ---'||chr(10)||an.s, '--- Graph Correlations ---'||chr(10)||co.s,
-   '--- Mapped Techniques ---'||chr(10)||te.s, '</EVIDENCE>') AS prompt FROM ecases LEFT JOIN fl USING (case_id) LEFT JOIN an USING (case_id) LEFT JOIN te USING (case_id) LEFT JOIN co USING (case_id)""")
+  an AS (SELECT case_id, string_agg(rank||'. '||strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||' ['||upper(severity)||'] '||concat_ws(' / ',subject,action,object)||CASE WHEN techniques='' THEN '' ELSE ' ('||replace(techniques,',',', ')||')' END, chr(10) ORDER BY rank) AS s FROM top30 WHERE rank<=12 GROUP BY 1),
+  te AS (SELECT case_id, string_agg('- '||technique_id, chr(10) ORDER BY technique_id) AS s FROM tt GROUP BY 1),
+  fi AS (SELECT case_id, string_agg(rn||'. '||rule||': '||source||' -> '||target||', score '||score, chr(10) ORDER BY rn) AS s FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rn FROM allf) WHERE rn<=10 GROUP BY 1)
+  SELECT case_id, concat_ws(chr(10), 'Case '||case_id||': '||title||' ('||status||')', '<EVIDENCE>', '## Files'||chr(10)||fl.s, '## Anomalies'||chr(10)||an.s, '## Findings'||chr(10)||fi.s,
+   '## Techniques'||chr(10)||te.s, '</EVIDENCE>') AS prompt FROM ecases LEFT JOIN fl USING (case_id) LEFT JOIN an USING (case_id) LEFT JOIN te USING (case_id) LEFT JOIN fi USING (case_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
-    n, _e = built(spark, d)
-    return cx.prompt(cx.bundle(ev, co.lolbins(n), event_evidence(ev), event_cases(ev)))
+    return cx.prompt(cx.bundle(ev, findings(spark, d), event_evidence(ev), event_cases(ev)))
 
 
-@query("ctx_playbook", G + "," + TOP30 + """, tg AS (SELECT case_id, bool_or(regexp_matches(lower(coalesce(command_line,name)),'powershell|cmd|mimikatz|certutil')) AS tool FROM nodes WHERE label='Process' AND regexp_matches(lower(name),'powershell|cmd[.]exe|mshta|certutil|rundll32') GROUP BY 1)
-  SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY o) AS step, kind FROM (SELECT case_id, 1 AS o, 'process' AS kind FROM tg WHERE tool UNION ALL SELECT case_id, 3, 'isolation' FROM tg UNION ALL SELECT case_id, 4, 'telemetry' FROM tg)""")
+@query("ctx_playbook", R.rstrip().replace("WITH ", "WITH " + TECH_SQL + ", ", 1) + "," + TOP30 + "," + TECHS_OF_TOP + """,
+  mk AS (SELECT case_id, lower(coalesce(target,'')) AS w, false AS known FROM allf UNION ALL SELECT case_id, lower(coalesce(object,'')), false FROM top30 UNION ALL SELECT case_id, '', coalesce(tactic='Credential Access',false) FROM tt LEFT JOIN t USING (technique_id)),
+  tg AS (SELECT case_id, bool_or(regexp_matches(w,'powershell|cmd|mimikatz|certutil')) AS tool, bool_or(known OR regexp_matches(w,'lsass|mimikatz')) AS cred FROM mk GROUP BY 1)
+  SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY o) AS step, kind FROM (SELECT case_id, 1 AS o, 'process' AS kind FROM tg WHERE tool UNION ALL SELECT case_id, 2, 'credential' FROM tg WHERE cred UNION ALL SELECT case_id, 3, 'isolation' FROM tg UNION ALL SELECT case_id, 4, 'telemetry' FROM tg)""")
 def _(spark, d):
     anom = cx.top_anomalies(canonical_events(spark, d), 30)
     techs = mi.with_technique_names(ag.technique_set(anom))
-    return cx.playbook(anom, co.lolbins(built(spark, d)[0]), techs).select("case_id", "step", "kind")
+    return cx.playbook(anom, findings(spark, d), techs).select("case_id", "step", "kind")
 
 
-@query("ctx_entity_hits", EV + "," + TOP30 + """, qq AS (SELECT conv_id||':'||turn AS question_id, 'case_'||(conv_id%8) AS case_id, (['powershell','cmd','certutil','explorer'])[conv_id%4+1] AS word FROM conversations WHERE role='user')
+@query("ctx_entity_hits", R.rstrip() + "," + TOP30 + """, qq AS (SELECT conv_id||':'||turn AS question_id, 'case_'||(conv_id%8) AS case_id, (['powershell','cmd','certutil','explorer'])[conv_id%4+1] AS word FROM conversations WHERE role='user')
   SELECT question_id, 'anomaly' AS kind, event_id AS id, anomaly_score AS score, rank FROM (SELECT question_id, event_id, anomaly_score, row_number() OVER (PARTITION BY question_id ORDER BY anomaly_score DESC, event_id) AS rank FROM qq JOIN top30 USING (case_id)
-  WHERE contains(subject,word) OR contains(object,word) OR contains(process_name,word) OR contains(command_line,word)) WHERE rank<=5""")
+  WHERE contains(subject,word) OR contains(object,word) OR contains(process_name,word) OR contains(command_line,word)) WHERE rank<=5
+  UNION ALL SELECT question_id, 'finding', correlation_id, CAST(score AS DOUBLE), rank FROM (SELECT question_id, correlation_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, correlation_id) AS rank FROM qq JOIN allf USING (case_id)
+  WHERE contains(lower(concat_ws(chr(10),source,target)),word)) WHERE rank<=5""")
 def _(spark, d):
     words = F.array(*[F.lit(w) for w in ("PowerShell", "cmd", "certutil", "explorer")])
     q = table(spark, d, "conversations").filter("role = 'user'").select(
@@ -233,18 +249,17 @@ def _(spark, d):
         F.concat(F.lit("case_"), (F.col("conv_id") % 8).cast("string")).alias("case_id"),
         F.concat(F.lit("what did "), F.get(words, (F.col("conv_id") % 4).cast("int")), F.lit(" do?")).alias("question"))
     anom = cx.top_anomalies(canonical_events(spark, d), 30).drop("rank")
-    none = spark.createDataFrame([], "case_id string, correlation_id string, source string, target string, score int")
-    return cx.entity_hits(q, none, anom)
+    return cx.entity_hits(q, findings(spark, d), anom)
 
 
-@query("ctx_citations", EV + "," + EVENT_CASES_SQL + "," + TOP30 + """ SELECT case_id, 'evidence_file' AS kind, filename AS source, row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, filename) AS rank FROM eevid
+@query("ctx_citations", R.rstrip() + "," + EVENT_CASES_SQL + "," + TOP30 + """ SELECT case_id, 'evidence_file' AS kind, filename AS source, row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, filename) AS rank FROM eevid
   UNION ALL SELECT case_id, 'event_log', event_id, rank FROM top30 WHERE rank<=4
-  UNION ALL SELECT * FROM (SELECT case_id, 'mitre_technique', t, row_number() OVER (PARTITION BY case_id ORDER BY t) AS rank FROM (SELECT DISTINCT case_id, unnest(string_split(techniques,',')) AS t FROM top30 WHERE techniques<>'')) WHERE rank<=3""")
+  UNION ALL SELECT * FROM (SELECT case_id, 'mitre_technique', t, row_number() OVER (PARTITION BY case_id ORDER BY t) AS rank FROM (SELECT DISTINCT case_id, unnest(string_split(techniques,',')) AS t FROM top30 WHERE techniques<>'')) WHERE rank<=3
+  UNION ALL SELECT * FROM (SELECT case_id, 'graph_correlation', correlation_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rank FROM allf) WHERE rank<=2""")
 def _(spark, d):
     ev = canonical_events(spark, d)
     anom = cx.top_anomalies(ev, 30).withColumn("score", F.col("anomaly_score")).drop("rank")
-    none = spark.createDataFrame([], "case_id string, correlation_id string, score int")
-    return cx.citations(event_evidence(ev), anom, ag.technique_set(anom), none)
+    return cx.citations(event_evidence(ev), anom, ag.technique_set(anom), findings(spark, d))
 
 
 @query("snk_report")
