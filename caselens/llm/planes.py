@@ -27,7 +27,7 @@ CHUNK = ("shard int, chunk int, first long, n_ids int, head int, first_doc long,
 PIECE = "shard int, doc_no long, doc_id long, n_tokens long, first long, piece int, ids binary"
 
 
-def pack_planes(ids: np.ndarray, mode: str = "bit", level: int = 3) -> list[bytes]:
+def pack_planes(ids: np.ndarray, mode: str = "byte", level: int = 3) -> list[bytes]:
     """32 bit planes, or 4 byte planes, of the ids; each a zstandard frame of its own."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     if mode == "bit":
@@ -40,7 +40,7 @@ def pack_planes(ids: np.ndarray, mode: str = "bit", level: int = 3) -> list[byte
     return [z.compress(p.tobytes()) for p in planes]
 
 
-def unpack_planes(planes: list[bytes], n: int, mode: str = "bit") -> np.ndarray:
+def unpack_planes(planes: list[bytes], n: int, mode: str = "byte") -> np.ndarray:
     z = zstandard.ZstdDecompressor()
     raw = [np.frombuffer(z.decompress(p), np.uint8) for p in planes]
     if mode == "bit":
@@ -51,7 +51,7 @@ def unpack_planes(planes: list[bytes], n: int, mode: str = "bit") -> np.ndarray:
     return np.ascontiguousarray(raw8).view("<u4").reshape(-1)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, block: int = BLOCK, mode: str = "bit",
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, block: int = BLOCK, mode: str = "byte",
           id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write shards in ascending id order.
 
