@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ class Encoder:
 
     The vocabularies used here split a text before white space that follows
     something else, whatever stands around it. So pieces are encoded once per
-    worker (a cache of at most ``CACHE_ENTRIES``), many at a time, and the ids
+    worker (a cache of at most ``CACHE_ENTRIES``, in two halves), many at a time, and the ids
     of a text are the ids of its pieces in order.
     """
 
@@ -60,7 +61,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = ordinary
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         size = self.tok.get_vocab_size(with_added_tokens=True)
         width = np.zeros(size, np.int64)
         for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -71,29 +73,39 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_ENTRIES:
-            self.cache.clear()
-        odd = [p for p in pieces if not p[0].isspace() or p[-1].isspace() or CONTROL.search(p)]
+        if len(self.cache) + len(pieces) > CACHE_ENTRIES // 2:
+            self.cache, self.old = {"": b""}, self.cache  # what is used again moves over from the old half
+        odd = [p for p in pieces if (p[0] not in " \n" and not p[0].isspace()) or p[-1].isspace()]
         self.cache.update(zip(odd, self._plain(odd)))
         odd_set = set(odd)
-        rest = [p for p in pieces if p not in odd_set]
-        for i in range(0, len(rest), 2048):
-            part = rest[i : i + 2048]
-            ids = np.asarray(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        rest = [p for p in pieces if p not in odd_set] if odd else pieces
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            found = self.tok.encode_batch_fast(["".join(part[k : k + 32]) for k in range(0, len(part), 32)], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(e.ids for e in found)), "<u4")
             ends = np.cumsum([len(p.encode()) for p in part])
             done = np.cumsum(self.width[ids])
             cut = np.searchsorted(done, ends) + 1
             if len(done) and (cut[-1] != len(ids) or (done[cut - 1] != ends).any()):
                 self.cache.update(zip(part, self._plain(part)))
                 continue
-            for p, x in zip(part, np.split(ids, cut[:-1])):
-                self.cache[p] = x.tobytes()
+            raw, at = ids.tobytes(), (4 * cut).tolist()
+            self.cache.update((p, raw[a:b]) for p, a, b in zip(part, [0, *at], at))
 
     def _table(self, keys: list[str]) -> list[bytes]:
-        if missing := list(dict.fromkeys(k for k in keys if k and k not in self.cache)):
-            self._learn(missing)
-        get = self.cache.get
-        found = [get(k, b"") if k else b"" for k in keys]
+        found = list(map(self.cache.get, keys))
+        if holes := [i for i, x in enumerate(found) if x is None]:
+            new: dict[str, None] = {}
+            for i in holes:
+                k = keys[i]
+                if (x := self.old.get(k)) is None:
+                    new[k] = None
+                else:
+                    self.cache[k] = found[i] = x
+            self._learn(list(new))
+            for i in holes:
+                if found[i] is None:
+                    found[i] = self.cache[keys[i]]
         return found
 
     def _careful(self, text: str) -> np.ndarray:
@@ -114,8 +126,8 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        where = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        where = words.indices.to_numpy(zero_copy_only=False)
         base = int(lists.offsets[0].as_py())
         first -= base
         starts = [names[w] for w in where[first]]
