@@ -160,3 +160,19 @@ def test_every_query_has_a_stable_name_and_oracle_subset():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["case_id", "evidence_id", "total", "total_processed", "anomalies", "critical"] and df.count() > 0
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from caselens import session
+
+    conf = {"spark.checkpoint.dir": None}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, v=None: conf.get(k) or v), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert session.shared_dir(cluster) == "hdfs://x/y"
+    conf.clear()
+    cluster.sparkContext.getCheckpointDir = lambda: "file:/shared"
+    assert session.shared_dir(cluster) == "file:/shared"

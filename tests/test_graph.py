@@ -115,11 +115,26 @@ def test_shortest_paths(spark):
     for pid, s, t in asked:
         want = bfs(raw, s, t)
         if want is None:
-            assert pid not in got
+            assert not got[pid].reached and got[pid].hops is None
         else:
             assert got[pid].hops == want and got[pid].path[0] == s and got[pid].path[-1] == t and len(got[pid].path) == want + 1
 
 
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "src string, dst string")
+    pairs = spark.createDataFrame([("p", "n00", "n40")], "pair_id string, source string, target string")
+    far = tr.shortest_paths(edges, pairs).first()
+    assert far.hops == 40 and far.path == [f"n{i:02}" for i in range(41)]
+    short = tr.shortest_paths(edges, pairs, 5).first()
+    assert not short.reached and short.hops is None and short.path is None
+
+
+def test_attack_trace_case_names(spark):
+    edges = spark.createDataFrame([("a", "m"), ("m", "b")], "src string, dst string")
+    sus = spark.createDataFrame([("c#1", "a", T0), ("c#1", "b", T0 + dt.timedelta(1))], "case_id string, node_id string, ts timestamp_ntz")
+    assert {(r.case_id, r.node_id) for r in tr.attack_trace(edges, sus).collect()} == {("c#1", "a"), ("c#1", "m"), ("c#1", "b")}
+
+
 def test_attack_trace_fallback(spark):
     edges = spark.createDataFrame([("a", "n"), ("b", "m")], "src string, dst string")
     sus = spark.createDataFrame([("c", "a", T0), ("c", "b", T0 + dt.timedelta(1))], "case_id string, node_id string, ts timestamp_ntz")
