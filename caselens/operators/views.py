@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,42 @@ def case_graph(
     return rows
 
 
+def _edge_of(name: str) -> Column:
+    """What a view asks of an edge itself."""
+    labels = [F.col("src_label"), F.col("dst_label")]
+    tests = [F.col("rel_type").isin(VIEW_RELATIONS[name])] if name in VIEW_RELATIONS else []
+    if name == "entity":
+        tests += [~x.isin("Event", "Case") for x in labels]
+    if name == "registry":
+        tests.append((labels[0] == "RegistryKey") | (labels[1] == "RegistryKey"))
+    if name == "auth":
+        tests.append(labels[0].isin("User", "Host") | labels[1].isin("User", "Host"))
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
+def _ends_of(name: str) -> Column:
+    """What a view asks of the attributes of an edge's ends."""
+    if name == "attack_path":
+        return end_anomalous(0.4) | either(lambda p: F.coalesce(F.lower(p + "name").isin(ATTACK_IMAGES), F.lit(False)))
+    return end_anomalous() if name == "ioc" else F.lit(True)
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by, "case_id", "src", "src_label", "dst", "dst_label", "rel_type").agg(
+        F.sum("n").alias("edge_count"), F.bool_or("is_anomaly").alias("is_anomaly"),
+        F.substring(F.any_value("s_name"), 1, 80).alias("src_name"),
+        F.substring(F.any_value("d_name"), 1, 80).alias("dst_name"),
+    )
+
+
+def all_views(nodes: DataFrame, edges: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Several views at once, told apart by ``view``: ends are joined once and edges summed once."""
+    wanted = names or VIEWS
+    mine = F.array_compact(F.array(*[F.when(F.coalesce(_edge_of(v) & _ends_of(v), F.lit(False)), F.lit(v)) for v in wanted]))
+    rows = with_ends(_compact(edges), nodes)
+    return _summed(rows.withColumn("view", F.explode(mine)), "view")
+
+
 def view(
     nodes: DataFrame, edges: DataFrame, name: str = "entity", *, case_id: str | None = None,
     evidence_id: str | None = None, anomaly_only: bool = False, hide_benign: bool = False,
@@ -145,20 +183,8 @@ def view(
     if case_id is not None:
         edges = edges.filter(F.col("case_id") == case_id)
         nodes = nodes.filter(F.col("case_id") == case_id)
-    labels = [F.col("src_label"), F.col("dst_label")]
-    if name in VIEW_RELATIONS:
-        edges = edges.filter(F.col("rel_type").isin(VIEW_RELATIONS[name]))
-    if name == "entity":
-        edges = edges.filter(~labels[0].isin("Event", "Case") & ~labels[1].isin("Event", "Case"))
-    if name == "registry":
-        edges = edges.filter((labels[0] == "RegistryKey") | (labels[1] == "RegistryKey"))
-    if name == "auth":
-        edges = edges.filter(labels[0].isin("User", "Host") | labels[1].isin("User", "Host"))
-    rows = with_ends(_compact(edges), nodes)
-    if name == "attack_path":
-        named = either(lambda p: F.coalesce(F.lower(p + "name").isin(ATTACK_IMAGES), F.lit(False)))
-        rows = rows.filter(end_anomalous(0.4) | named)
-    if name == "ioc" or anomaly_only:
+    rows = with_ends(_compact(edges.filter(_edge_of(name))), nodes).filter(_ends_of(name))
+    if anomaly_only:
         rows = rows.filter(end_anomalous())
     if evidence_id is not None:
         rows = rows.filter(in_evidence(evidence_id))
@@ -168,11 +194,7 @@ def view(
         rows = rows.filter(severity_at_least(severity))
     if term:
         rows = rows.filter(label_matches(term))
-    out = rows.groupBy("case_id", "src", "src_label", "dst", "dst_label", "rel_type").agg(
-        F.sum("n").alias("edge_count"), F.bool_or("is_anomaly").alias("is_anomaly"),
-        F.substring(F.any_value("s_name"), 1, 80).alias("src_name"),
-        F.substring(F.any_value("d_name"), 1, 80).alias("dst_name"),
-    )
+    out = _summed(rows)
     return out if limit is None else out.orderBy("src", "dst", "rel_type").limit(limit)
 
 

@@ -354,13 +354,7 @@ def _view_sql(v):
 
 @query("gr_views", G + "," + JOINED + " " + " UNION ALL ".join(_view_sql(v) for v in vw.VIEWS))
 def _(spark, d):
-    from caselens.session import materialize
-    n, e = (materialize(x, "graph") for x in built(spark, d))
-    out = None
-    for v in vw.VIEWS:
-        one = vw.view(n, e, v).select(F.lit(v).alias("view"), "case_id", "src", "dst", "rel_type", "edge_count", "src_name", "dst_name", "is_anomaly")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return vw.all_views(*built(spark, d)).select("view", "case_id", "src", "dst", "rel_type", "edge_count", "src_name", "dst_name", "is_anomaly")
 
 
 @query("prj_node_risk", G + """, r AS (SELECT *, lower(coalesce(name,'')) AS n, coalesce(is_anomaly,false) OR coalesce(anomaly_score,0)>0.75 AS top FROM nodes),
