@@ -16,7 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -57,9 +57,11 @@ def one_line(value: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text, a line per block element; white space within a line is one space."""
-    page = DROP.sub(" ", page)
-    page = re.sub(r"\s+", " ", page)
-    page = TAG.sub(lambda m: "\n" if (m.group(1) or "").lower() in LINES else "", page)
+    return _lines(DROP.sub(" ", page))
+
+
+def _lines(page: str) -> str:
+    page = TAG.sub(lambda m: "\n" if (m.group(1) or "").lower() in LINES else "", " ".join(page.split()))
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -82,6 +84,22 @@ def decoded(payload: bytes, content_type: str) -> tuple[str, str]:
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def outlinks(page: str, base: str) -> Iterator[str]:
+    """Addresses that the page's links name, without their fragments."""
+    try:
+        parts = urlsplit(base)
+        origin = f"{parts.scheme}://{parts.netloc}" if parts.netloc else ""
+    except ValueError:
+        base = origin = ""
+    for m in HREF.finditer(page):
+        href = html.unescape(next(g for g in m.groups() if g is not None)).strip()
+        try:
+            plain = origin and href[:1] == "/" and href[1:2] != "/" and "/." not in href  # what urljoin would do, for most links
+            yield one_line(origin + href if plain else urljoin(base, href)).partition("#")[0]
+        except ValueError:
+            continue
+
+
 def derivatives(record_id: str, target_uri: str | None, date: str | None, headers: dict[str, str], block: bytes) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, http, payload = http_parts(block)
@@ -90,13 +108,9 @@ def derivatives(record_id: str, target_uri: str | None, date: str | None, header
     is_html = "html" in kind.lower()
     title = TITLE.search(page) if is_html else None
     lang = LANG.search(page[:4096]) if is_html else None
-    links: dict[str, None] = {}
-    for m in HREF.finditer(DROP.sub(" ", page)) if is_html else ():
-        try:
-            links[one_line(urljoin(target_uri or "", html.unescape(next(g for g in m.groups() if g is not None)).strip())).partition("#")[0]] = None
-        except ValueError:
-            continue
-    text = (plain_text(page) if is_html else page).encode("utf-8", "replace")
+    seen = DROP.sub(" ", page) if is_html else page
+    links = dict.fromkeys(outlinks(seen, target_uri or "")) if is_html else {}
+    text = (_lines(seen) if is_html else page).encode("utf-8", "replace")
     source = {k: v for k, v in headers.items() if v is not None}
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
     block_digest = source.get("WARC-Block-Digest") or digest(block)
@@ -177,19 +191,18 @@ def write(records: DataFrame, path: str) -> DataFrame:
             store.move(hidden, f"{root}/{final}")
             return pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n], pa.int64())], ["file", "records"])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if sink is None:
-                    final = f"part-{task:07d}-{no:05d}.warc.gz"
-                    hidden = f"{root}/.{final}.{attempt}"
-                    sink, n, size, no = store.open_output_stream(hidden, compression=None), 0, 0, no + 1
-                z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = z.compress(serialized(batch.slice(i, 1).to_pylist()[0])) + z.flush()
-                sink.write(member)
-                n, size = n + 1, size + len(member)
-                if size >= FILE_BYTES:
-                    yield close()
-                    sink = None
+        for r in (r for batch in batches for part in byte_slices(batch, "block") for r in part.to_pylist()):
+            if sink is None:
+                final = f"part-{task:07d}-{no:05d}.warc.gz"
+                hidden = f"{root}/.{final}.{attempt}"
+                sink, n, size, no = store.open_output_stream(hidden, compression=None), 0, 0, no + 1
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = z.compress(serialized(r)) + z.flush()
+            sink.write(member)
+            n, size = n + 1, size + len(member)
+            if size >= FILE_BYTES:
+                yield close()
+                sink = None
         if sink is not None:
             yield close()
 
