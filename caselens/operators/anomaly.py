@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.when import hour_or_noon, is_weekend
-from caselens.operators.ordered import min_max, quantiles
+from caselens.operators.ordered import min_max, quantiles, top_n
 from caselens.schema import severity_rank
 from caselens.session import materialize
 
@@ -186,7 +186,7 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
 
 # ---- isolation forest --------------------------------------------------------------
 
-TREE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, path double"
+TREE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, path double, n_rows int"
 
 
 def _average_path(n: float) -> float:
@@ -220,16 +220,22 @@ def _grow(tree_id: int, x: np.ndarray, seed: int) -> pd.DataFrame:
         todo += [(part[goes_left], depth + 1, me, 0), (part[~goes_left], depth + 1, me, 1)]
     out = pd.DataFrame(rows, columns=["node_id", "feature", "threshold", "left", "right", "path"])
     out.insert(0, "tree_id", tree_id)
-    return out.astype({"node_id": "int32", "feature": "int32", "left": "int32", "right": "int32", "tree_id": "int32"})
+    out["n_rows"] = len(x)
+    return out.astype({"n_rows": "int32", "node_id": "int32", "feature": "int32", "left": "int32", "right": "int32", "tree_id": "int32"})
 
 
 def forest_sample(feats: DataFrame, trees: int = 50, sample: int = 256) -> DataFrame:
-    """A uniform sample of trees x sample baseline rows, dealt out to the trees.
+    """For each tree its own uniform sample: the min(sample, n) rows of the least hash of tree and row.
 
-    The rows with the least hash are taken: each task keeps only that many.
+    A row is copied only to the trees where its hash is low enough to be among
+    about twice the sample, so the copies do not grow with the table.
     """
-    return feats.select("event_id", *FEATURES).orderBy(F.xxhash64("event_id"), "event_id").limit(trees * sample).withColumn(
-        "tree_id", F.pmod(F.xxhash64("event_id", F.lit(7)), F.lit(trees)).cast("int"))
+    rows = feats.select("event_id", *FEATURES)
+    n = rows.count()
+    hashed = lambda t: F.pmod(F.xxhash64(t, F.col("event_id")), F.lit(1 << 31))
+    near = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hashed(t) * F.lit(n) <= F.lit(2.0 * (sample + 64) * (1 << 31)))
+    dealt = rows.select("*", F.explode(near).alias("tree_id")).withColumn("_h", hashed(F.col("tree_id")))
+    return top_n(dealt, ["tree_id"], [F.asc("_h"), F.asc("event_id")], sample).drop("rank", "_h")
 
 
 def fit_forest(baseline: DataFrame, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
@@ -241,12 +247,12 @@ def fit_forest(baseline: DataFrame, trees: int = 50, sample: int = 256, seed: in
     return forest_sample(baseline, trees, sample).groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
 
 
-def _isolation(feats: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
-    """Anomaly value 2^(-mean path / c) of each row. The forest is of fixed size."""
+def _isolation(feats: DataFrame, forest: DataFrame) -> DataFrame:
+    """Anomaly value 2^(-mean path / c) of each row, c for the rows the trees saw. The forest is of fixed size."""
     table = forest.toPandas()
     trees = [g.sort_values("node_id") for _t, g in table.groupby("tree_id")]
     packed = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")) for g in trees]
-    scale = _average_path(sample)
+    scale = max(float(np.mean([_average_path(int(g["n_rows"].iloc[0])) for g in trees])), 1e-9)
 
     def score(batches):
         for pdf in batches:
@@ -270,9 +276,9 @@ def isolation_forest(
     feats: DataFrame, forest: DataFrame, baseline: DataFrame, sample: int = 256, trees: int = 50, contamination: float = 0.05,
 ) -> DataFrame:
     """Score with a fitted forest; flag beyond the baseline's threshold; min-max per case."""
-    train = _isolation(forest_sample(baseline, trees, sample).withColumn("case_id", F.lit("baseline")), forest, sample)
+    train = _isolation(forest_sample(baseline, trees, sample).withColumn("case_id", F.lit("baseline")), forest)
     cut = train.agg(F.percentile("raw", F.lit(1 - contamination)).alias("cut"))  # bounded sample
-    rows = materialize(_isolation(feats, forest, sample), "forest")
+    rows = materialize(_isolation(feats, forest), "forest")
     out = min_max(rows, ["case_id"], "raw", "score")
     limit = cut.first()["cut"]
     return out.select("case_id", "event_id", F.lit("isolation_forest").alias("model"), (F.col("raw") > limit).alias("flag"), "score")

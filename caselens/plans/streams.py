@@ -16,6 +16,13 @@ def _events(spark, d):
     return st.file_stream(spark, d, table(spark, d, "events").schema, glob="events.parquet")
 
 
+def _parts(spark, d, name, n=3):
+    """A table as n files without order in time, each a micro-batch of its own."""
+    path = scratch_path(spark, name)
+    table(spark, d, name).repartition(n).write.parquet(path)
+    return st.file_stream(spark, path, table(spark, d, name).schema, per_trigger=1)
+
+
 @query("st_ingest", EV + "SELECT case_id, source, count(*) AS n, max(ts) AS last_ts FROM ev GROUP BY 1,2")
 def _(spark, d):
     out = scratch_path(spark, "ingest")
@@ -25,10 +32,12 @@ def _(spark, d):
 
 @query("st_dedupe", "SELECT DISTINCT 'case_'||(o_custkey%50) AS case_id, sha256(CAST(o_orderkey%400 AS VARCHAR)) AS sha256 FROM orders")
 def _(spark, d):
-    raw = st.file_stream(spark, d, table(spark, d, "orders").schema, glob="orders.parquet")
+    raw = _parts(spark, d, "orders")
     files = raw.select(F.concat(F.lit("case_"), (F.col("o_custkey") % 50).cast("string")).alias("case_id"),
                        F.sha2((F.col("o_orderkey") % 400).cast("string"), 256).alias("sha256"), F.col("o_orderdate").alias("created_at"))
-    return st.run_once(st.dedupe(files), "append", "dedupe").select("case_id", "sha256")
+    store = scratch_path(spark, "held")
+    st.dedupe(files, store, scratch_path(spark, "dedupe-check")).awaitTermination()
+    return spark.read.parquet(store).select("case_id", "sha256")
 
 
 @query("st_sessions", EV + """SELECT case_id, start_ts, end_ts, event_count FROM (SELECT case_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS event_count FROM (
@@ -66,8 +75,10 @@ def _changes(raw):
 
 @query("st_status", "WITH " + STATUS_SQL)
 def _(spark, d):
-    raw = st.file_stream(spark, d, table(spark, d, "lineitem").schema, glob="lineitem.parquet")
-    return st.run_once(st.status_stream(_changes(raw)), "update", "status").select("evidence_id", "status", "started_us", "finished_us", "scan_ms")
+    out = st.run_once(st.status_stream(_changes(_parts(spark, d, "lineitem"))), "update", "status")
+    # each micro-batch tells of the files it changed; the last word on a file is the one with most known
+    last = out.groupBy("evidence_id").agg(F.max(F.struct("batch", "status", "started_us", "finished_us", "scan_ms")).alias("s"))
+    return last.select("evidence_id", "s.status", "s.started_us", "s.finished_us", "s.scan_ms")
 
 
 @query("win_latest_status", "WITH " + STATUS_SQL)

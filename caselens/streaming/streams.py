@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from caselens.operators.filters import anomalous
 from caselens.session import scratch_path
@@ -45,13 +46,35 @@ def ingest(files: DataFrame, normalise: Callable[[DataFrame], DataFrame], out: s
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedupe(files: DataFrame, ts: str = "created_at", watermark: str = WATERMARK) -> DataFrame:
-    """Drop a file whose content the case has seen within the watermark."""
-    return event_time(files, ts, watermark).dropDuplicatesWithinWatermark(["case_id", "sha256"])
+def _with_batch(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("batch", LongType())])
+
+
+def dedupe(files: DataFrame, store: str, checkpoint: str, ts: str = "created_at") -> StreamingQuery:
+    """Write the files whose content their case does not hold yet, under ``store``; a content once held is never taken again.
+
+    Of equal files in one micro-batch the earliest is kept. A micro-batch is held
+    against what earlier ones wrote and overwrites its own folder when retried.
+    """
+    spark, key = files.sparkSession, ["case_id", "sha256"]
+    schema = _with_batch(files)
+    spark.createDataFrame([], files.schema).write.mode("append").parquet(f"{store}/batch=-1")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        held = rows.sparkSession.read.schema(schema).parquet(store).filter(F.col("batch") < batch_id).select(*key)
+        new = rows.join(held.distinct(), key, "left_anti")
+        first = new.groupBy(*key).agg(F.min(F.struct(ts, *[c for c in files.columns if c not in (*key, ts)])).alias("f"))
+        first.select(*[F.col(c) if c in key else F.col("f")[c].alias(c) for c in files.columns]).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
-    """Live sessions per case; one is emitted when the watermark has passed it."""
+    """Live sessions per case; one is emitted when the watermark has passed it.
+
+    Rows of a case are merged to sessions in each task before they meet.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = event_time(events).groupBy("case_id", F.session_window("ts", gap).alias("w")).agg(
         F.count("*").alias("event_count"), F.max("ts").alias("end_ts"))
     return out.select("case_id", F.col("w.start").alias("start_ts"), "end_ts", "event_count")
@@ -73,7 +96,7 @@ def brute_force(failures: DataFrame, threshold: int = 10, length: str = "60 seco
 
 # ---- evidence status -----------------------------------------------------------
 
-_STATE = "status string, started_us bigint, finished_us bigint"
+_STATE = "at_us bigint, status string, started_us bigint, ended_us bigint"
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
@@ -94,30 +117,31 @@ def _scan_ms() -> Column:
 
 
 def status_stream(changes: DataFrame) -> DataFrame:
-    """Stream form: the state of each file that changed in a micro-batch."""
+    """Stream form: the state of each file that changed in a micro-batch.
+
+    The state is the latest change, start and end by their own times, so late and
+    repeated changes leave it as the batch form would have it.
+    """
     def step(key, batches: Iterator[pd.DataFrame], state):
-        status, started, finished = state.get if state.exists else (None, None, None)
-        pdf = pd.concat(list(batches)).sort_values(["at_us", "status"])  # changes of one file
-        for at, new in zip(pdf["at_us"], pdf["status"]):
-            status = new
-            if new == "parsing":
-                started, finished = int(at), None
-            elif new in TERMINAL:
-                finished = int(at)
-        state.update((status, started, finished))
-        yield pd.DataFrame({
-            "evidence_id": [key[0]], "status": [status], "started_us": [-1 if started is None else started],
-            "finished_us": [-1 if finished is None else finished]})
+        at, status, started, ended = state.get if state.exists else (-1, "", -1, -1)
+        for pdf in batches:
+            seen = list(zip(pdf["at_us"].tolist(), pdf["status"].tolist()))
+            at, status = max([(at, status), *seen])
+            started = max([started, *(t for t, s in seen if s == "parsing")])
+            ended = max([ended, *(t for t, s in seen if s in TERMINAL)])
+        state.update((at, status, started, ended))
+        done = ended if started < 0 or ended >= started else -1
+        yield pd.DataFrame({"evidence_id": [key[0]], "status": [status], "started_us": [started], "finished_us": [done], "at_us": [at]})
 
     out = changes.groupBy("evidence_id").applyInPandasWithState(
-        step, "evidence_id string, status string, started_us bigint, finished_us bigint", _STATE, "update", "NoTimeout")
+        step, "evidence_id string, status string, started_us bigint, finished_us bigint, at_us bigint", _STATE, "update", "NoTimeout")
     for c in ("started_us", "finished_us"):
         out = out.withColumn(c, F.when(F.col(c) >= 0, F.col(c)))
     return out.withColumn("scan_ms", _scan_ms())
 
 
 def run_once(df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote.
+    """Run a stream over what is there now and return what it wrote, with the number of the micro-batch.
 
     In complete mode only the last micro-batch counts.
     """
@@ -129,4 +153,4 @@ def run_once(df: DataFrame, mode: str = "append", name: str = "stream") -> DataF
 
     query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema if mode == "complete" else _with_batch(df)).parquet(out)

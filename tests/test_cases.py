@@ -176,3 +176,43 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
     conf.clear()
     cluster.sparkContext.getCheckpointDir = lambda: "file:/shared"
     assert session.shared_dir(cluster) == "file:/shared"
+
+
+def in_batches(spark, tmp_path, rows, schema, name):
+    """A stream whose micro-batches are the given lists of rows, in order."""
+    import time
+
+    from pyspark.sql.types import _parse_datatype_string
+
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(1.1)  # files are taken in the order of their times
+    return ss.file_stream(spark, str(tmp_path / name), _parse_datatype_string(schema), per_trigger=1)
+
+
+def test_file_is_taken_once_for_ever(spark, tmp_path):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    batches = [[("A", "x", day(9)), ("A", "y", day(9)), ("A", "y", day(8))], [("A", "x", day(20)), ("B", "x", day(1))], [("A", "z", day(0)), ("B", "x", day(30))]]
+    files = in_batches(spark, tmp_path, batches, "case_id string, sha256 string, created_at timestamp", "files")
+    ss.dedupe(files, str(tmp_path / "held"), str(tmp_path / "check")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "held")).select("case_id", "sha256", F.dayofyear("created_at").alias("d")).collect()
+    assert sorted(map(tuple, got)) == [("A", "x", 10), ("A", "y", 9), ("A", "z", 1), ("B", "x", 2)]
+
+
+def test_late_status_changes_nothing(spark, tmp_path):
+    batches = [[("f", "parsing", 100), ("g", "parsing", 100), ("g", "parsed", 300)], [("f", "parsed", 200), ("g", "parsing", 250)], [("f", "parsing", 100), ("f", "queued", 50)]]
+    schema = "evidence_id string, status string, at_us long"
+    out = ss.run_once(ss.status_stream(in_batches(spark, tmp_path, batches, schema, "status")), "update").collect()
+    last = {}
+    for r in sorted(out, key=lambda r: r.batch):
+        last[r.evidence_id] = (r.status, r.started_us, r.finished_us)
+    want = {r.evidence_id: (r.status, r.started_us, r.finished_us) for r in ss.latest_status(spark.createDataFrame([x for b in batches for x in b], schema)).collect()}
+    assert last == want and want["f"] == ("parsed", 100, 200)
+
+
+def test_every_tree_has_its_sample(spark):
+    rows = spark.range(1000).select(F.lit("c").alias("case_id"), F.col("id").cast("string").alias("event_id"), *[(F.col("id") % (i + 7)).cast("double").alias(f) for i, f in enumerate(an.FEATURES)])
+    for n in (1000, 40):
+        counts = an.forest_sample(rows.limit(n), 20, 256).groupBy("tree_id").count().collect()
+        assert len(counts) == 20 and {r["count"] for r in counts} == {min(n, 256)}
+    assert {r.n_rows for r in an.fit_forest(rows, 5, 256).select("n_rows").collect()} == {256}
