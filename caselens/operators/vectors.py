@@ -131,11 +131,11 @@ def case_text(cases: DataFrame, events: DataFrame, n: int = 20) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("mitre_techniques")))).alias("tech"),
         F.array_sort(F.collect_set("subject")).alias("subj"))
     df = cases.join(seen, "case_id", "left")
-    tech = F.when(F.size("tech") > 0, F.concat(F.lit("MITRE techniques observed: "), F.array_join("tech", ", ")))
-    subj = F.when(F.size("subj") > 0, F.concat(F.lit("Key entities: "), F.array_join(F.slice("subj", 1, 10), ", ")))
-    desc = F.when(F.col("description") != "", F.concat(F.lit("Description: "), "description"))
-    text = F.concat_ws(" | ", F.concat(F.lit("Case: "), F.coalesce("title", F.lit("Untitled"))),
-                       F.concat(F.lit("Status: "), F.coalesce("status", F.lit("open"))), desc, tech, subj)
+    tech = F.when(F.size("tech") > 0, F.concat(F.lit("techniques "), F.array_join("tech", ", ")))
+    subj = F.when(F.size("subj") > 0, F.concat(F.lit("seen "), F.array_join(F.slice("subj", 1, 10), ", ")))
+    desc = F.when(F.col("description") != "", F.col("description"))
+    name = F.concat(F.coalesce("title", F.lit("unnamed")), F.lit(" ("), F.coalesce("status", F.lit("open")), F.lit(")"))
+    text = F.concat_ws("; ", name, desc, tech, subj)
     return df.select(*cases.columns, text.alias("case_text"))
 
 

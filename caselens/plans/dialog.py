@@ -187,7 +187,7 @@ def _(spark, d):
 @query("agg_case_text", EV + "," + EVENT_CASES_SQL + """, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY anomaly_score DESC, event_id) AS rank FROM ev WHERE is_anomaly) WHERE rank<=20),
   te AS (SELECT case_id, string_agg(DISTINCT t, ', ' ORDER BY t) AS tech FROM (SELECT case_id, unnest(string_split(techniques,',')) AS t FROM tp WHERE techniques<>'') GROUP BY 1),
   su AS (SELECT case_id, string_agg(subject, ', ' ORDER BY subject) AS subj FROM (SELECT case_id, subject, row_number() OVER (PARTITION BY case_id ORDER BY subject) AS rn FROM (SELECT DISTINCT case_id, subject FROM tp)) WHERE rn<=10 GROUP BY 1)
-  SELECT case_id, 'Case: '||title||' | Status: '||status||coalesce(' | MITRE techniques observed: '||tech,'')||coalesce(' | Key entities: '||subj,'') AS case_text FROM ecases LEFT JOIN te USING (case_id) LEFT JOIN su USING (case_id)""")
+  SELECT case_id, title||' ('||status||')'||coalesce('; techniques '||tech,'')||coalesce('; seen '||subj,'') AS case_text FROM ecases LEFT JOIN te USING (case_id) LEFT JOIN su USING (case_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
     return ve.case_text(event_cases(ev), ev).select("case_id", "case_text")
