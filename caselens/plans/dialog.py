@@ -17,7 +17,7 @@ from caselens.operators import vectors as ve
 from caselens.plans.graph import FIND, G, R, built, findings
 from caselens.plans.registry import query
 from caselens.plans.sources import TECH_SQL
-from caselens.plans.timeline import EV, SENT_SQL
+from caselens.plans.timeline import EV, MILESTONES_SQL, SENT_SQL
 from caselens.session import materialize, scratch_path
 from caselens.sources.adapt import (
     AUDIT_SQL, EVENT_CASES_SQL, audit_rows, canonical_events, event_cases, event_evidence, table,
@@ -193,13 +193,16 @@ def _(spark, d):
     return ve.case_text(event_cases(ev), ev).select("case_id", "case_text")
 
 
+SESSIONS_OF_CASE = """lg AS (SELECT case_id, ts, CASE WHEN epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY case_id ORDER BY ts)) > 900000000 THEN 1 ELSE 0 END AS new FROM ev WHERE ts IS NOT NULL),
+  ss AS (SELECT case_id, s, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM (SELECT case_id, ts, sum(new) OVER (PARTITION BY case_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM lg) GROUP BY 1,2),
+  se AS (SELECT case_id, string_agg(epoch_us(lo)||'-'||epoch_us(hi)||':'||n, ',' ORDER BY lo) AS sessions FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY lo) AS rn FROM ss) WHERE rn<=5 GROUP BY 1)"""
+
+
 @query("ctx_bundle", R.rstrip() + "," + EVENT_CASES_SQL + "," + TOP30 + """, a AS (SELECT case_id, string_agg(event_id, ',' ORDER BY rank) AS anomalies FROM top30 GROUP BY 1),
   f AS (SELECT case_id, string_agg(correlation, ',' ORDER BY rn) AS correlations, count(*) AS findings_total FROM (SELECT case_id, rule||':'||source||'>'||target||':'||score||':'||explanation AS correlation, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rn FROM allf) GROUP BY 1),
   e AS (SELECT case_id, string_agg(evidence_id||'/'||filename, ',' ORDER BY created_at DESC, evidence_id) AS evidence_list, count(*) AS files_total FROM eevid GROUP BY 1),
   k AS (SELECT case_id, string_agg(DISTINCT t, ',' ORDER BY t) AS techniques FROM (SELECT case_id, unnest(string_split(techniques,',')) AS t FROM top30 WHERE techniques<>'') GROUP BY 1),
-  lg AS (SELECT case_id, ts, CASE WHEN epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY case_id ORDER BY ts)) > 900000000 THEN 1 ELSE 0 END AS new FROM ev WHERE ts IS NOT NULL),
-  ss AS (SELECT case_id, s, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM (SELECT case_id, ts, sum(new) OVER (PARTITION BY case_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM lg) GROUP BY 1,2),
-  se AS (SELECT case_id, string_agg(epoch_us(lo)||'-'||epoch_us(hi)||':'||n, ',' ORDER BY lo) AS sessions FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY lo) AS rn FROM ss) WHERE rn<=5 GROUP BY 1)
+""" + SESSIONS_OF_CASE + """
   SELECT case_id, title, anomalies, correlations, evidence_list, techniques, sessions, findings_total, files_total FROM ecases LEFT JOIN a USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN k USING (case_id) LEFT JOIN se USING (case_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
@@ -262,11 +265,24 @@ def _(spark, d):
     return cx.citations(event_evidence(ev), anom, ag.technique_set(anom), findings(spark, d))
 
 
-@query("snk_report")
+@query("snk_report", R.rstrip() + "," + EVENT_CASES_SQL + "," + TOP30 + "," + MILESTONES_SQL + "," + SESSIONS_OF_CASE + """,
+  st AS (SELECT case_id, count(*) AS total, count(*) FILTER (is_anomaly OR anomaly_score>0.5) AS anomalies, count(*) FILTER (severity IN ('critical','high')) AS critical, round((epoch_us(max(ts))-epoch_us(min(ts)))/1e6/3600, 2) AS span_hours FROM ev GROUP BY 1),
+  a AS (SELECT case_id, string_agg(event_id||':'||severity, ',' ORDER BY rank) AS top_anomalies FROM top30 WHERE rank<=10 GROUP BY 1),
+  f AS (SELECT case_id, string_agg(rule||':'||source||'>'||target||':'||score, ',' ORDER BY rn) AS findings FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, correlation_id) AS rn FROM allf) WHERE rn<=8 GROUP BY 1),
+  m AS (SELECT case_id, string_agg(event_id, ',' ORDER BY rank) AS timeline FROM ms WHERE rank<=12 GROUP BY 1),
+  e AS (SELECT case_id, count(*) AS files FROM eevid GROUP BY 1)
+  SELECT case_id, title, total, anomalies, critical, span_hours, files, top_anomalies, findings, timeline, sessions FROM ecases LEFT JOIN st USING (case_id) LEFT JOIN a USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN m USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN se USING (case_id)""")
 def _(spark, d):
     ev, path = canonical_events(spark, d), scratch_path(spark, "reports")
-    write_reports(cx.report(ev, findings(spark, d), event_evidence(ev), event_cases(ev)), path)
-    return spark.read.json(path).select("case_id", "total", "anomalies", F.size("timeline").alias("timeline"), F.size("findings").alias("findings"))
+    reports = cx.report(ev, findings(spark, d), event_evidence(ev), event_cases(ev))
+    write_reports(reports, path)
+    r = spark.read.schema(reports.schema).json(path)
+    us = lambda c: micros(c.cast("timestamp_ntz")).cast("string")
+    listed = {
+        "top_anomalies": lambda x: F.concat_ws(":", x.event_id, x.severity), "timeline": lambda x: x.event_id,
+        "findings": lambda x: F.concat(x.rule, F.lit(":"), x.source, F.lit(">"), x.target, F.lit(":"), x.score.cast("string")),
+        "sessions": lambda x: F.concat(us(x.start_ts), F.lit("-"), us(x.end_ts), F.lit(":"), x.event_count.cast("string"))}
+    return r.select("case_id", "title", "total", "anomalies", "critical", "span_hours", "files", *[F.array_join(F.transform(c, fn), ",").alias(c) for c, fn in listed.items()])
 
 
 # ---- vectors -------------------------------------------------------------------------

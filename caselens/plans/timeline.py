@@ -213,15 +213,17 @@ def _(spark, d):
     return od.sessions(canonical_events(spark, d), ["case_id"])
 
 
-@query("win_milestones", EV + """, c AS (SELECT case_id, count(*) AS n_all,
+MILESTONES_SQL = """mc AS (SELECT case_id, count(*) AS n_all,
     count(*) FILTER (is_anomaly OR severity IN ('critical','high')) AS n_key FROM ev GROUP BY 1),
-  o AS (SELECT ev.*, n_all, n_key, (is_anomaly OR severity IN ('critical','high')) AS k2,
-    row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pos FROM ev JOIN c USING (case_id)),
-  f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS frn FROM o WHERE NOT k2 AND n_key<12
+  mo AS (SELECT ev.*, n_all, n_key, (is_anomaly OR severity IN ('critical','high')) AS k2,
+    row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pos FROM ev JOIN mc USING (case_id)),
+  mf AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS frn FROM mo WHERE NOT k2 AND n_key<12
     AND (pos-1) % greatest(1, n_all // (12-n_key)) = 0),
-  u AS (SELECT case_id, event_id, ts FROM o WHERE k2 UNION ALL SELECT case_id, event_id, ts FROM f WHERE frn <= 12-n_key),
-  r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS rank FROM u)
-  SELECT case_id, event_id, ts, rank FROM r WHERE rank <= 12""")
+  mu AS (SELECT case_id, event_id, ts FROM mo WHERE k2 UNION ALL SELECT case_id, event_id, ts FROM mf WHERE frn <= 12-n_key),
+  ms AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS rank FROM mu)"""
+
+
+@query("win_milestones", EV + "," + MILESTONES_SQL + " SELECT case_id, event_id, ts, rank FROM ms WHERE rank <= 12")
 def _(spark, d):
     return od.milestones(canonical_events(spark, d)).select("case_id", "event_id", "ts", "rank")
 

@@ -59,4 +59,6 @@ def cascade(
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("overwrite").json(path)
+    """One JSON object per case; times keep their microseconds, which the default format drops."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    reports.write.mode("overwrite").options(timestampNTZFormat=micros, timestampFormat=micros + "XXX").json(path)
