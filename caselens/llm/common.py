@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 BLANK = r"[\x09-\x0D\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ODD = f"{BLANK}[ \n]|[\\x1c-\\x1f]"  # texts with these are cut with more care
 WORDS = re.compile(r"\s*\S+|\s+")
