@@ -164,6 +164,20 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def publish(store: fs.FileSystem, hidden: str, final: str) -> None:
+    """Give a finished file its name. A task that ran before has left the same content there, which some stores do not replace."""
+    if store.get_file_info(final).type != fs.FileType.NotFound:
+        store.delete_file(final)
+    store.move(hidden, final)
+
+
+def folder(path: str) -> str:
+    """The path, made where it is missing: the folder of a table without rows has no files."""
+    store, root = open_store(path)
+    store.create_dir(root, recursive=True)
+    return path
+
+
 def bits_hex(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 

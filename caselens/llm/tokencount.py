@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, default_tokenizer, encoder, open_store, texts
+from caselens.llm.common import byte_slices, default_tokenizer, encoder, folder, open_store, publish, texts
 from caselens.session import materialize
 
 END_ID = 50256
@@ -57,7 +57,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 n += part.num_rows
         if sink:
             sink.close()
-            store.move(part_name, f"{root}/{name}")
+            publish(store, part_name, f"{root}/{name}")
 
     return texts(docs, id_col, text_col).mapInArrow(write, "file string, doc_no long, doc_id long")
 
@@ -71,7 +71,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, dtype: st
     width = DTYPES[dtype]
     step = max(width, block_bytes // width * width)
     name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").schema("path string, modificationTime timestamp, length long, content binary").load(folder(path))
     blocks = files.filter(f"length >= {width}").select(
         name.alias("file"), F.floor(F.col("length") / width).alias("ids"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step).cast("long"))).alias("block"))

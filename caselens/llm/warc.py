@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, open_store
+from caselens.llm.common import byte_slices, folder, open_store, publish
 
 DATE = "1970-01-01T00:00:00Z"
 FILE_BYTES = 1 << 30
@@ -188,7 +188,7 @@ def write(records: DataFrame, path: str) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             sink.close()
-            store.move(hidden, f"{root}/{final}")
+            publish(store, hidden, f"{root}/{final}")
             return pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n], pa.int64())], ["file", "records"])
 
         for r in (r for batch in batches for part in byte_slices(batch, "block") for r in part.to_pylist()):
@@ -231,7 +231,7 @@ def parsed(record: bytes) -> dict:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all .warc.gz files in a folder. A file is a task, as gzip cannot be entered midway; ``write`` begins a new one at FILE_BYTES."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder(path))
     names = files.select(F.element_at(F.split("path", "/"), -1).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

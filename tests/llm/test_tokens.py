@@ -127,6 +127,16 @@ def test_token_counts(spark, edge, tok, block):
     assert sorted((r.doc_id or -1, r.n_tokens) for r in found.collect()) == want
 
 
+def test_token_counts_of_nothing_and_of_a_second_run(spark, nothing, edge):
+    path = scratch_path(spark, "flat")
+    assert tokencount.count_tokens(spark, path).count() == 0
+    assert tokencount.write_flat(nothing, path).count() == 0 and tokencount.count_tokens(spark, path).count() == 0
+    lazy = tokencount.write_flat(edge, path)
+    first = materialize(lazy, "order")
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, first.collect()))  # written again over the same names
+    assert tokencount.count_tokens(spark, path).count() == edge.count()
+
+
 def test_separators_across_blocks_and_open_ends(spark, tmp_path):
     ids = np.array([5, 9, 1, 1, 9, 9, 2, 2, 2, 2, 2, 9, 7], "<u2")
     (tmp_path / "x.tokens").write_bytes(ids.tobytes())
