@@ -21,7 +21,7 @@ from caselens.llm.common import byte_slices, default_tokenizer, encoder, texts
 from caselens.session import scratch_path
 
 CAPACITY = 1024
-OPEN_BINS = 256
+OPEN_BINS = 1024
 ROUND_TOKENS = 1 << 26
 OUT = "doc_id long, piece int, start long, length int, ids binary, sequence_id long, offset int, open boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()),
