@@ -193,6 +193,13 @@ def edges_of(events: DataFrame, parent_pid: str = "zero", compat: bool = False)
     return out.unionByName(_edges(*_keyed(flatten_browser(web), _web_keys()), _BROWSER_EDGES)).distinct()
 
 
+def process_of(events: DataFrame, parent_pid: str = "zero") -> DataFrame:
+    """(case_id, ts, node_id, name) of the process that each event involves."""
+    flat = flatten(route(events)[1])
+    key = _keys(False, parent_pid)["Process"]
+    return flat.select("case_id", "ts", key.alias("node_id"), F.col("g_process").alias("name")).filter("node_id is not null")
+
+
 def _typed(df: DataFrame) -> DataFrame:
     types = {
         "pid": "bigint", "is_private": "boolean", "ts": "timestamp_ntz", "is_anomaly": "boolean",

@@ -577,7 +577,7 @@ TEMPORAL_SQL = """tg AS (SELECT n.case_id, min(v.ts) AS target_ts FROM edges e J
 @query("cor_temporal", G + "," + TEMPORAL_SQL + """ SELECT v.case_id, substring(v.node_id,7) AS event_id, v.event_type, v.ts, v.severity, v.is_anomaly, e.dst_label AS target_type, e.rel_type
   FROM nodes v JOIN tg ON tg.case_id=v.case_id AND abs(epoch_us(v.ts)-epoch_us(tg.target_ts)) <= 1800000000 JOIN edges e ON e.src=v.node_id WHERE v.label='Event'""")
 def _(spark, d):
-    return co.temporal_window(*built(spark, d), "certutil", 30)
+    return co.temporal_window_of_events(canonical_events(spark, d), "certutil", 30)
 
 
 @query("jn_interval", EV + """, tg AS (SELECT case_id, min(ts) AS target_ts FROM ev WHERE is_anomaly GROUP BY 1)
