@@ -2,6 +2,7 @@
 
 import datetime as dt
 from collections import deque
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,24 @@ def test_cross_evidence(spark):
     assert co.cross_evidence(n, d, e, require_same_ip=False).first().matches == 2
 
 
+def test_rules_of_ones_own_get_events(spark):
+    rows = [row(1, evid="evtx", ip="9.9.9.9", proc="powershell.exe", user="bob"), row(2, evid="cap", source="pcap", ip="9.9.9.9", proc=None, pid=None, user=None),
+            row(3, evid="cap", source="pcap", ip="7.7.7.7", proc=None, pid=None, user=None)]
+    e = ev(spark, rows)
+    found = co.all_findings(gr.nodes_of(e), gr.edges_of(e), e, [partial(co.cross_evidence, require_same_ip=False), co.attack_paths]).collect()
+    assert {(r.rule, r.matches) for r in found} == {("CROSS_EVIDENCE_CORRELATION", 2), ("ATTACK_PATH", 1)}
+    path = next(r for r in found if r.rule == "ATTACK_PATH")
+    assert path.chain[1:] == ["powershell.exe", "9.9.9.9:?"] and "PowerShell or encoded command" in path.reasons
+
+
+def test_window_of_events_equals_window_of_graph(spark):
+    rows = [row(i, proc="certutil.exe" if i == 5 else "cmd.exe", ip="9.9.9.9") for i in range(12)]
+    e = ev(spark, rows)
+    a = co.temporal_window(gr.nodes_of(e), gr.edges_of(e), "certutil", 1).collect()
+    b = co.temporal_window_of_events(e, "certutil", 1).collect()
+    assert a and sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_hot_address_is_counted_not_listed(spark):
     rows = [row(i, evid="evtx", ip="9.9.9.9", proc="p.exe") for i in range(60)]
     rows += [row(100 + i, evid="cap", source="pcap", ip="9.9.9.9", proc=None, pid=None, user=None) for i in range(70)]
