@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, neardup
+import corpus_pipeline
+from caselens.llm import fingerprint, jaccard, neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,3 +156,46 @@ def test_neighbours_counted(spark, sf):
     for r in got:
         want = sum(((r.fp ^ s.fp) & mask).bit_count() <= 3 for s in got) if r.doc_id % 10 == 0 else None
         assert r.near_docs == want
+
+
+def brute_kept(rows):
+    def grams(t):
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and 5 * both >= 4 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for (i, _), g in zip(rows, label):
+        least[g] = min(i, least.get(g, i))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("few", [8, 2])
+def test_pipeline_drops_near_copies(spark, sf, few):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows, line = [], " ".join(word() for _ in range(40))
+    for base in range(20):
+        words = [word() for _ in range(r.choice([30, 120, 300]))]
+        rows.append(words)
+        for _ in range(30 if base == 0 else 4):  # from about 0.95 down to below 0.8
+            copy = list(words)
+            for at in r.sample(range(len(copy)), max(1, round(len(copy) * r.choice([0.005, 0.01, 0.02, 0.03])))):
+                copy[at] = word()
+            rows.append(copy)
+        rows.append(words[: len(words) // 2] + line.split())
+    rows = [(i * 7 % 997, " ".join(w)) for i, w in enumerate(rows)] + [(1000, "one two"), (1001, "One  two"), (1002, "one two three four five"), (1003, ""), (1004, " ")]
+    rows += [(2000 + i, r_.text) for i, r_ in enumerate(spark.read.parquet(f"{sf}/documents.parquet").collect())]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_kept(rows)
+    assert len(want) < len(rows) - 60
+    assert sorted(x.doc_id for x in jaccard.keep_one(docs, few=few, block=8).collect()) == want
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
+    assert jaccard.keep_one(docs.filter("doc_id < 0")).count() == 0
