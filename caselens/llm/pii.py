@@ -38,7 +38,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONGEST = 16
 WINDOW = 48
 TOKEN = re.compile(r"[^\W_]+|\S")
-TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\s(?:at|dot)\s(?=\w+(?:\s(?:dot)\s|\.))")
+TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\s(?:at|dot)\s(?=[\w-]+(?:\s(?:dot)\s|\.))|:[0-9a-f]{0,4}:[0-9a-f]", re.I)  # in any case, as MAIL_SHAPE and segments() read it
 CUES = {"email": {"email", "mail", "contact", "write", "reach", "correo", "courriel", "adresse"}, "phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono", "móvil", "handy"},
         "card": {"card", "visa", "mastercard", "amex", "credit", "carte", "karte", "tarjeta"}, "ip": {"ip", "host", "server", "address", "gateway", "dns", "ping"}}
 AGAINST = {"version", "v", "ver", "order", "invoice", "isbn", "issn", "doi", "page", "pages", "rfc", "section", "chapter", "no", "nr", "id", "sku", "build", "release", "serial"}

@@ -225,3 +225,11 @@ def test_masking(edge, nothing):
     found = pii.personal_data(edge, ["doc_id", "start"]).collect()
     assert len(found) == edge.count() and all(r.pii_spans == [] for r in found)
     assert pii.personal_data(nothing, ["doc_id"]).count() == 0 and pii.mask(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [("please write to jane.doe [AT] example [DOT] org about it", "jane.doe [AT] example [DOT] org"), ("please mail jane AT example DOT org about it", "jane AT example DOT org"),
+                                       ("please mail Jane At Example Dot Com about it", "Jane At Example Dot Com"), ("please mail jane at my-host dot org about it", "jane at my-host dot org"),
+                                       ("the server at fe::abcd:beef answers", "fe::abcd:beef"), ("ping FEED:BEEF:CAFE:ABCD:FACE:DEAD:BABE:FADE now", "FEED:BEEF:CAFE:ABCD:FACE:DEAD:BABE:FADE")])
+def test_any_case_without_digits(text, want):
+    assert want in text[slice(*pii.stretches(text)[0])]
+    assert [text[s:e] for s, e, _ in pii.find(text, pii.trained())[1]] == [want]
