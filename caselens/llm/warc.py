@@ -31,11 +31,13 @@ READ_BYTES = 1 << 20
 RECORD = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, block_digest string, headers map<string,string>, block binary"
 RECORD_SCHEMA = pa.schema([(c.split()[0], {"string": pa.string(), "binary": pa.binary()}.get(c.split()[1], pa.map_(pa.string(), pa.string()))) for c in RECORD.replace("<string,string>", "").split(", ")])
 
-# Elements that hold no text, and elements that begin a new line.
-SILENT = "script|style|template|noscript|head|svg|iframe|object"
+# Elements that begin a new line, and elements that hold no text.
 LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul".split())
 
-DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# A head without an end tag ends before anything that cannot stand in it.
+DROP = re.compile(r"<(?:!--|(script|style|template|noscript|head|svg|iframe|object|title)(?=[\s>/])[^>]*>)", re.I)
+END = {k: re.compile(rf"</{k}\s*>", re.I) for k in "script style template noscript head svg iframe object title".split()} | {"": re.compile("-->")}
+IN_HEAD = re.compile(r"\s+|<(?:!--|/head\s*>|/?(script|style|title|noscript|template)(?=[\s>/])[^>]*>|/?(?:meta|link|base|basefont|bgsound|head|html)(?=[\s>/])[^>]*>|![^>]*>)", re.I)
 TAG = re.compile(r"""<[/!?]?([a-zA-Z][^\s/>]*)?(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+>""")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 HREF = re.compile(r"""<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -55,9 +57,47 @@ def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+\s*", " ", value).strip()
 
 
+def visible(page: str) -> str:
+    """The page without comments and silent elements, in one pass.
+
+    Scripts, styles and comments without an end reach to the end of the page, a
+    head to its end tag or to what cannot stand in it. Other silent elements go
+    up to their end tag; without one, or closed by themselves as an svg may be,
+    only their tag goes.
+    """
+    out, at, gone = [], 0, set()
+    while m := DROP.search(page, at):
+        out.append(page[at : m.start()])
+        kind = (m.group(1) or "").lower()
+        if kind == "head":
+            at = _head_end(page, m.end(), gone)
+        else:
+            at = m.end() if kind == "svg" and m.group().endswith("/>") else _closed(page, m.end(), kind, gone)
+    return " ".join([*out, page[at:]])
+
+
+def _closed(page: str, at: int, kind: str, gone: set[str]) -> int:
+    """Where the element ends whose tag ends at ``at``; gone: kinds without another end tag, so that none is looked for twice."""
+    end = None if kind in gone else END[kind].search(page, at - 2 if not kind else at)  # <!--> is a whole comment
+    if end:
+        return end.end()
+    gone.add(kind)
+    return len(page) if kind in ("", "script", "style") else at
+
+
+def _head_end(page: str, at: int, gone: set[str]) -> int:
+    while m := IN_HEAD.match(page, at):
+        at, tag = m.end(), m.group().lower()
+        if tag.startswith("</head"):
+            break
+        if tag == "<!--" or m.group(1) and tag[1] != "/":
+            at = _closed(page, at, (m.group(1) or "").lower(), gone)
+    return at
+
+
 def plain_text(page: str) -> str:
     """Visible text, a line per block element; white space within a line is one space."""
-    return _lines(DROP.sub(" ", page))
+    return _lines(visible(page))
 
 
 def _lines(page: str) -> str:
@@ -108,7 +148,7 @@ def derivatives(record_id: str, target_uri: str | None, date: str | None, header
     is_html = "html" in kind.lower()
     title = TITLE.search(page) if is_html else None
     lang = LANG.search(page[:4096]) if is_html else None
-    seen = DROP.sub(" ", page) if is_html else page
+    seen = visible(page) if is_html else page
     links = dict.fromkeys(outlinks(seen, target_uri or "")) if is_html else {}
     text = (_lines(seen) if is_html else page).encode("utf-8", "replace")
     source = {k: v for k, v in headers.items() if v is not None}

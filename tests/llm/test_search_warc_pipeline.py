@@ -114,3 +114,18 @@ def test_stages(spark, sf, edge):
     assert left.count() == docs.count()  # all of them hold words of their language
 
 
+
+
+@pytest.mark.parametrize("page,text,links", [
+    ("<html><head><title>t</title><body><p>hello <a href=/x>l</a>", "hello l", 1), ("<p>a<svg/><p>hello <a href=/x>l</a>", "a\nhello l", 1), ("<head><title>t</title>hello <a href=/x>l</a>", "hello l", 1),
+    ('<head><script>"</head><p>"</script><meta charset=x><div>hi', "hi", 0), ("<p>a<svg viewBox='0'><g/><title>q</title></svg>b<noscript>c</noscript>d<iframe src=x>e<object>f", "a b d e f", 0),
+    ("<p>a<script>x<p>y", "a", 0), ("<p>a<!-- x<p>y", "a", 0), ("<p>a<!--><p>b", "a\nb", 0), ("<head></head><header>k</header>", "k", 0)])
+def test_open_elements(page, text, links):
+    assert warc.plain_text(page) == text
+    meta, conversion = warc.derivatives("<r>", "http://s.example/", None, {}, page.encode())
+    assert conversion["block"].decode() == text and meta["block"].decode().count("outlink: http://s.example/x") == links
+
+
+def test_many_open_elements_take_one_pass():
+    for kind in ("svg", "noscript", "title", "head", "iframe"):
+        assert warc.plain_text(f"<{kind}>" * 100_000 + "end") == "end"
