@@ -41,7 +41,10 @@ IN_HEAD = re.compile(r"\s+|<(?:!--|/head\s*>|/?(script|style|title|noscript|temp
 TAG = re.compile(r"""<[/!?]?([a-zA-Z][^\s/>]*)?(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+>""")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 HREF = re.compile(r"""<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-LANG = re.compile(r"""<html\s[^>]*?lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+LANG = re.compile(r"""\slang\s*=\s*["']?([A-Za-z-]+)|lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+OPENING = re.compile(r"<(?:!--|(script|style|html)(?=[\s>/])[^>]*>)", re.I)
+META = re.compile(rb"<(?:!--|(script|style)(?=[\s>/])[^>]*>|meta(?=[\s/])([^<>]*)>)", re.I)
+END_BYTES = {b"": re.compile(b"-->"), b"script": re.compile(rb"</script\s*>", re.I), b"style": re.compile(rb"</style\s*>", re.I)}
 CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.I)
 
 
@@ -115,8 +118,38 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in rest) if c], payload
 
 
+def _meta_charset(payload: bytes) -> re.Match | None:
+    """The first charset of a meta tag, wherever it stands outside comments, scripts and styles."""
+    at = 0
+    while m := META.search(payload, at):
+        at = m.end()
+        if m.group(2) is not None:
+            if found := CHARSET.search(m.group(2)):
+                return found
+        elif end := END_BYTES[(m.group(1) or b"").lower()].search(payload, at - 2 if not m.group(1) else at):
+            at = end.end()
+        else:
+            return None
+    return None
+
+
+def language_of(page: str) -> str | None:
+    """The language of the first html tag that names one, wherever it stands outside comments, scripts and styles."""
+    at = 0
+    while m := OPENING.search(page, at):
+        at, kind = m.end(), (m.group(1) or "").lower()
+        if kind == "html":
+            if found := LANG.search(m.group()):
+                return (found.group(1) or found.group(2)).lower()
+        elif end := END[kind].search(page, at - 2 if not kind else at):
+            at = end.end()
+        else:
+            return None
+    return None
+
+
 def decoded(payload: bytes, content_type: str) -> tuple[str, str]:
-    found = CHARSET.search(content_type.encode("latin-1", "replace")) or CHARSET.search(payload[:2048])
+    found = CHARSET.search(content_type.encode("latin-1", "replace")) or _meta_charset(payload)
     charset = found.group(1).decode().lower() if found else "utf-8"
     try:
         return payload.decode(charset, "replace"), charset
@@ -147,14 +180,14 @@ def derivatives(record_id: str, target_uri: str | None, date: str | None, header
     page, charset = decoded(payload, kind)
     is_html = "html" in kind.lower()
     title = TITLE.search(page) if is_html else None
-    lang = LANG.search(page[:4096]) if is_html else None
+    lang = language_of(page) if is_html else None
     seen = visible(page) if is_html else page
     links = dict.fromkeys(outlinks(seen, target_uri or "")) if is_html else {}
     text = (_lines(seen) if is_html else page).encode("utf-8", "replace")
     source = {k: v for k, v in headers.items() if v is not None}
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
     block_digest = source.get("WARC-Block-Digest") or digest(block)
-    fields = [("charset", charset), ("title", one_line(html.unescape(title.group(1))) if title else None), ("language", lang.group(1).lower() if lang else None), ("status", status or None),
+    fields = [("charset", charset), ("title", one_line(html.unescape(title.group(1))) if title else None), ("language", lang), ("status", status or None),
               *[(f"http-{k.lower()}", v) for k, v in http], *[(f"source-{k}", v) for k, v in sorted(source.items())], ("text-length", str(len(text))), *[("outlink", x) for x in links if x]]
     meta = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields if v is not None).encode()
     ids = {t: name(record_id, t) for t in ("metadata", "conversion")}

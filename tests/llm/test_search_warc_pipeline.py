@@ -129,3 +129,11 @@ def test_open_elements(page, text, links):
 def test_many_open_elements_take_one_pass():
     for kind in ("svg", "noscript", "title", "head", "iframe"):
         assert warc.plain_text(f"<{kind}>" * 100_000 + "end") == "end"
+
+
+@pytest.mark.parametrize("before", ["<!-- " + "long " * 2000 + "<html lang=xx><meta charset=utf-16> -->", " " * 9000, "<script>" + "var a;" * 2000 + "</script>", ""])
+def test_late_language_and_charset(before):
+    page = before + '<html class="a" lang="fr"><head><meta name=x><meta charset="iso-8859-1"></head><p>\xe9t\xe9'
+    meta, text = warc.derivatives("<r>", None, None, {}, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode("latin-1"))
+    assert {"language: fr", "charset: iso-8859-1"} <= set(meta["block"].decode().split("\r\n"))
+    assert text["block"].decode().endswith("été")
