@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, tokencount, topk, warc
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, runs, tokencount, topk, warc
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,25 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
         F.col("headers")["X-Source-Key"].cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest",
         F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"), F.col("headers")["WARC-Source-Block-Digest"].alias("source_block_digest"),
         F.length("block").cast("long").alias("length"), F.decode("block", "utf-8").alias("block"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which one text in ten, by its id, ends in a repeated stretch of its own words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    parts = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    a = F.when(F.size("w") > 0, F.col("g") % F.size("w"))
+    parts = parts.withColumn("a", a).withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return parts.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.periodic_runs(looped(table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
