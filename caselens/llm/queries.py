@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, runs, tokencount, topk, warc
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, prefixtrie, runs, tokencount, topk, warc
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
         F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    own_head = lambda c: F.crc32(c.cast("string")) % 4
+    return prefixtrie.prefix_trie(table(spark, sf, "conversations"), lambda c: c - c % 20, own_head)
