@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.llm.common import shuffle_partitions
+from caselens.llm.common import join_counted, shuffle_partitions
 from caselens.session import materialize
 
 MODULI = (2147483647, 2147483629, 2147483587)
 BASES = (1103515245, 1597334677, 747796405)
 CHUNK = 8192  # ids that are hashed as one piece
-HEAVY = 1000  # a key with more than one row in HEAVY is heavy: there are fewer than HEAVY of them
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 
 
@@ -70,17 +69,6 @@ def running(df: DataFrame, by: str, order: list[Column], sums: list[str]) -> Dat
     return joined.withColumn("pos", F.col("pos") + F.col("_n")).withColumns({c: F.col(c) + F.col(f"_s_{c}") for c in sums}).drop("_id", "_part", "_n", *[f"_s_{c}" for c in sums])
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """Joins rows to ``keyed``, whose column ``count`` tells how many of ``total`` rows have its key.
-
-    Fewer than ``HEAVY`` keys have more than one row in ``HEAVY``; these are
-    broadcast, so no task gets all rows of a hot key. The others are shuffled.
-    """
-    heavy, light = F.col(count) * HEAVY > total, F.col(count) * HEAVY <= total
-    some = rows.join(F.broadcast(keyed.filter(heavy)), on)
-    return some.unionByName(rows.join(F.broadcast(keyed.filter(heavy).select(*on)), on, "left_anti").join(keyed.filter(light), on, how), allowMissingColumns=True)
-
-
 def ordered_turns(turns: DataFrame, seed: int) -> DataFrame:
     """(conv_id, pos, ref, words, f*, e*): each turn in place, with the fingerprints of its conversation up to it (f) and before it (e)."""
     role, text = (F.coalesce(turns[c].cast("string"), F.lit("")) for c in ("role", "text"))

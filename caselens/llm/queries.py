@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, prefixtrie, runs, tokencount, topk, warc
+from caselens.llm import fingerprint, langid, mixing, neardup, packing, pii, planes, prefixtrie, runs, setjoin, tokencount, topk, warc
 from caselens.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     own_head = lambda c: F.crc32(c.cast("string")) % 4
     return prefixtrie.prefix_trie(table(spark, sf, "conversations"), lambda c: c - c % 20, own_head)
+
+
+@query("op12_jaccard_join")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return setjoin.jaccard_join(table(spark, sf, "documents"))

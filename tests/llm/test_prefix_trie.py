@@ -3,7 +3,7 @@ import random
 import re
 import zlib
 
-from caselens.llm import prefixtrie, queries
+from caselens.llm import common, prefixtrie, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -64,7 +64,7 @@ def test_ties_nulls_and_clashing_names(spark, tmp_path):
 
 def test_hot_turns_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(prefixtrie, "CHUNK", 7)
-    monkeypatch.setattr(prefixtrie, "HEAVY", 5)  # so that some keys are heavy and some are not
+    monkeypatch.setattr(common, "HEAVY", 5)  # so that some keys are heavy and some are not
     data = [(c, t, "user", f"turn {t}" if c % 3 else f"turn {t} {c % 5}", "d", "n", "p") for c in range(300) for t in range(2 + c % 2)]
     data += [(1000, t, "assistant", f"{t % 3}", "d", "n", "p") for t in range(900)]  # one conversation holds half of all turns
     df = spark.createDataFrame(data, DDL)
@@ -77,7 +77,7 @@ def test_empty_table(spark):
 
 
 def test_collisions_are_seen(spark, monkeypatch):
-    monkeypatch.setattr(prefixtrie, "MODULI", (101,))  # many sequences collide
+    monkeypatch.setattr(prefixtrie, "MODULI", (19, 2, 2))  # many sequences collide
     df = spark.createDataFrame(list(some(2, 40)), DDL)
     try:
         found = got(prefixtrie.prefix_trie(df, lambda c: c - c % 20, lambda c: c % 4, seeds=2))
