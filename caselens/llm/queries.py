@@ -113,7 +113,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_warc_derivatives")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    materialize(warc.write(warc.derive(warc.responses(table(spark, sf, "pages"))), path), "files")
+    materialize(warc.write_derivatives(table(spark, sf, "pages"), path), "files")
     r = warc.read(spark, path)
     return r.select(
         F.col("headers")["X-Source-Key"].cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest",
