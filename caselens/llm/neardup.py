@@ -46,6 +46,11 @@ def simhash(text: str | None, words: int = WORDS) -> int:
         starts = np.concatenate([[0], ends[:-words]]).tolist()
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())), np.uint64, len(starts))
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
