@@ -1,42 +1,124 @@
-"""Append to the hash-chained audit log."""
+"""The hash-chained audit log: a chain in two levels, so that no task holds an organization.
+
+An organization's rows, in order, are cut into segments of ``SEGMENT`` rows. A
+segment's digest is the hash of its rows' digests. Seeds chain the segments:
+the first seed is ``GENESIS``, the next one is the hash of a seed and of its
+segment's digest. Inside a segment each row is linked to the one before it, the
+first one to the seed. A change to any row thus changes all hashes after it in
+its segment, and the seeds of all later segments.
+
+Digests and links are made segment by segment in parallel. Only seeds depend on
+each other, one row per segment.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.operators.ordered import GENESIS, audit_digest, last_hash
+from caselens.operators.ordered import audit_digest, ordered_index
+from caselens.session import materialize
+
+GENESIS = "0" * 64
+SEGMENT = 256
+ORG = "organization_id"
+
+
+def chained(before: Column, digest: Column) -> Column:
+    return F.sha2(F.concat(before, digest), 256)
+
+
+def placed(audit: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Rows with their place in the log (pos, from 1), their segment (from 0) and the digest of their own fields."""
+    rows = ordered_index(audit.withColumn("digest", audit_digest()), [ORG], [F.asc("created_at"), F.asc("audit_id")])
+    return rows.withColumn("segment", segment_of(segment))
 
 
-def append(new_rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Chain new rows per organization after its last stored hash.
+def segment_of(segment: int) -> Column:
+    return F.floor((F.col("pos") - 1) / segment).cast("long")
 
-    Row digests are computed in parallel. Only the links depend on each other:
-    that step sees ids and digests alone, streams them in order through Arrow
-    batches with one hash as state, and its result is joined back.
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """(organization_id, segment, seed) from rows (organization_id, segment, pos, digest, seed0).
+
+    ``seed0`` is the known seed of an organization's first segment here; null stands for ``GENESIS``.
     """
-    links = new_rows.select("organization_id", "created_at", "audit_id", audit_digest().alias("digest"))
-    if stored is None:
-        links = links.withColumn("last_hash", F.lit(None).cast("string"))
-    else:
-        links = links.join(last_hash(stored), "organization_id", "left")
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]), "")
+    each = rows.groupBy(ORG, "segment").agg(F.sha2(inner, 256).alias("digest"), F.max("seed0").alias("seed0"))
 
     def chain(batches):
-        org, prev = None, GENESIS
+        org, seed = None, GENESIS
         for pdf in batches:
-            before, own = [], []
-            for o, digest, seed in zip(pdf["organization_id"], pdf["digest"], pdf["last_hash"]):
+            out = []
+            for o, digest, first in zip(pdf[ORG], pdf["digest"], pdf["seed0"]):
                 if o != org:
-                    org, prev = o, seed or GENESIS
+                    org, seed = o, first or GENESIS
+                out.append(seed)
+                seed = hashlib.sha256((seed + digest).encode()).hexdigest()
+            yield pd.DataFrame({ORG: pdf[ORG].astype(object), "segment": pdf["segment"], "seed": pd.Series(out, dtype=object)})
+
+    ordered = each.repartition(ORG).sortWithinPartitions(ORG, "segment")
+    return ordered.mapInPandas(chain, f"{ORG} string, segment long, seed string")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(audit_id, organization_id, pos, prev_hash, self_hash) of rows (audit_id, organization_id, segment, pos, digest, seed)."""
+    def chain(batches):
+        at, prev = None, GENESIS
+        for pdf in batches:
+            before, own = [], []
+            for o, s, digest, seed in zip(pdf[ORG], pdf["segment"], pdf["digest"], pdf["seed"]):
+                if (o, s) != at:
+                    at, prev = (o, s), seed
                 before.append(prev)
                 prev = hashlib.sha256((prev + digest).encode()).hexdigest()
                 own.append(prev)
             yield pd.DataFrame({
-                "audit_id": pdf["audit_id"].astype(object), "prev_hash": pd.Series(before, dtype=object), "self_hash": pd.Series(own, dtype=object)})
+                "audit_id": pdf["audit_id"].astype(object), ORG: pdf[ORG].astype(object), "pos": pdf["pos"],
+                "prev_hash": pd.Series(before, dtype=object), "self_hash": pd.Series(own, dtype=object)})
+
+    ordered = rows.select("audit_id", ORG, "segment", "pos", "digest", "seed").repartition(ORG, "segment").sortWithinPartitions(ORG, "segment", "pos")
+    return ordered.mapInPandas(chain, f"audit_id string, {ORG} string, pos long, prev_hash string, self_hash string")
+
+
+def append(new_rows: DataFrame, stored: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """The new rows with prev_hash and self_hash, chained after what is stored.
 
-    ordered = links.repartition("organization_id").sortWithinPartitions("organization_id", "created_at", "audit_id")
-    done = ordered.mapInPandas(chain, "audit_id string, prev_hash string, self_hash string")
-    return new_rows.join(done, "audit_id")
+    New rows come after all stored ones of their organization; among themselves
+    they are ordered by created_at, then audit_id, which is unique. Of the
+    stored log only the last segment of each organization enters the chain.
+    """
+    rows = placed(new_rows, segment).select(ORG, "audit_id", "digest", "pos").withColumns({"new": F.lit(True), "seed0": F.lit(None).cast("string")})
+    if stored is None:
+        rows = rows.withColumn("segment", segment_of(segment))
+    else:
+        old = placed(stored, segment).select(ORG, "audit_id", "digest", "pos", "segment", "prev_hash")
+        ends = materialize(old.groupBy(ORG).agg(F.max("pos").alias("stored"), F.max("segment").alias("segment")), "ends")
+        tail = old.join(ends, [ORG, "segment"]).select(
+            ORG, "audit_id", "digest", "pos", F.lit(False).alias("new"),
+            F.when((F.col("pos") - 1) % segment == 0, F.col("prev_hash")).alias("seed0"))
+        moved = rows.join(ends.select(ORG, "stored"), ORG, "left").withColumn("pos", F.col("pos") + F.coalesce("stored", F.lit(0))).drop("stored")
+        rows = moved.unionByName(tail).withColumn("segment", segment_of(segment))
+    rows = materialize(rows, "chain")
+    done = links(rows.join(seeds(rows), [ORG, "segment"]))
+    return new_rows.join(done.select("audit_id", "prev_hash", "self_hash"), "audit_id")
+
+
+def verify(audit: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Per organization: valid, total, and position and id of the first broken row.
+
+    A row is broken if it does not name the row before it (the first one of a
+    segment: the seed, made anew from all digests before it) or if its own hash
+    is not that of its fields.
+    """
+    rows = materialize(placed(audit, segment).withColumn("seed0", F.lit(None).cast("string")), "placed")
+    before = rows.select(ORG, (F.col("pos") + 1).alias("pos"), F.col("self_hash").alias("_before"))
+    linked = rows.join(before, [ORG, "pos"], "left").join(seeds(rows), [ORG, "segment"])
+    due = F.when((F.col("pos") - 1) % segment == 0, F.col("seed")).otherwise(F.col("_before"))
+    broken = ~F.col("prev_hash").eqNullSafe(due) | ~F.col("self_hash").eqNullSafe(chained(F.col("prev_hash"), F.col("digest")))
+    bad = F.when(broken, F.struct("pos", "audit_id"))
+    return linked.groupBy(ORG).agg(F.count("*").alias("total"), F.min(bad).alias("_b")).select(
+        ORG, F.col("_b").isNull().alias("valid"), "total", F.col("_b.pos").alias("broken_at"), F.col("_b.audit_id").alias("broken_id"))

@@ -9,7 +9,6 @@ from caselens.functions.text import sha_json
 from caselens.functions.when import micros, seconds_between
 from caselens.session import materialize
 
-GENESIS = "0" * 64
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -105,33 +104,6 @@ def audit_digest() -> Column:
     return sha_json(**{c: F.col(c) for c in AUDIT_FIELDS})
 
 
-def chained(prev_hash: Column, digest: Column) -> Column:
-    return F.sha2(F.concat(prev_hash, digest), 256)
-
-
-def verify_chain(audit: DataFrame) -> DataFrame:
-    """Per organization: valid, total, and position and id of the first broken row.
-
-    The predecessor is found by an equi-join on the position, which spreads one
-    organization over all tasks.
-    """
-    rows = ordered_index(audit, ["organization_id"], [F.asc("created_at"), F.asc("audit_id")])
-    before = rows.select(
-        "organization_id", (F.col("pos") + 1).alias("pos"), F.col("self_hash").alias("_before")
-    )
-    linked = rows.join(before, ["organization_id", "pos"], "left")
-    broken = (F.col("prev_hash") != F.coalesce("_before", F.lit(GENESIS))) | (
-        chained(F.col("prev_hash"), audit_digest()) != F.col("self_hash")
-    )
-    bad = F.when(broken, F.struct("pos", "audit_id"))
-    return linked.groupBy("organization_id").agg(
-        F.count("*").alias("total"), F.min(bad).alias("_b")
-    ).select(
-        "organization_id", F.col("_b").isNull().alias("valid"), "total",
-        F.col("_b.pos").alias("broken_at"), F.col("_b.audit_id").alias("broken_id"),
-    )
-
-
 def last_hash(audit: DataFrame) -> DataFrame:
     return audit.groupBy("organization_id").agg(
         F.max(F.struct("created_at", "audit_id", "self_hash"))["self_hash"].alias("last_hash")

@@ -1,6 +1,7 @@
 """Ordered operators against plain Python, with one hot group."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselens.operators import ordered as od
-from caselens.operators.audit import append
+from caselens.operators.audit import GENESIS, append, verify
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -116,13 +117,44 @@ def audit(spark, n, start=0):
         "audit_id string, actor_id string, organization_id string, action string, entity_type string, entity_id string, metadata string, created_at string")
 
 
-def test_audit_chain_append_verify_and_tamper(spark):
-    log = append(audit(spark, 20)).cache()
-    more = append(audit(spark, 10, 20), stored=log)
-    full = log.unionByName(more).cache()
-    ok = od.verify_chain(full).first()
-    assert (ok.valid, ok.total, ok.broken_at) == (True, 30, None)
-    bad = od.verify_chain(full.withColumn("action", F.when(F.col("audit_id") == "a0012", "x").otherwise(F.col("action")))).first()
-    assert (bad.valid, bad.broken_at, bad.broken_id) == (False, 13, "a0012")
-    gone = od.verify_chain(full.filter("audit_id <> 'a0007'")).first()
+@pytest.mark.parametrize("segment", [4, 256])
+def test_audit_chain_append_verify_and_tamper(spark, segment):
+    log = append(audit(spark, 20), segment=segment).cache()
+    more = append(audit(spark, 10, 20), stored=log, segment=segment)
+    last = append(audit(spark, 3, 30), stored=log.unionByName(more), segment=segment)
+    full = log.unionByName(more).unionByName(last).cache()
+    # in three parts or at once: the same chain
+    at_once = append(audit(spark, 33), segment=segment)
+    key = lambda df: sorted((r.audit_id, r.prev_hash, r.self_hash) for r in df.collect())
+    assert key(full) == key(at_once)
+    ok = verify(full, segment).first()
+    assert (ok.valid, ok.total, ok.broken_at) == (True, 33, None)
+    for at in (1, 5, 6, 8, 9, 13, 33):  # first, middle and last rows of segments
+        name = f"a{at - 1:04d}"
+        bad = verify(full.withColumn("action", F.when(F.col("audit_id") == name, "x").otherwise(F.col("action"))), segment).first()
+        assert (bad.valid, bad.broken_at, bad.broken_id) == (False, at, name)
+    gone = verify(full.filter("audit_id <> 'a0007'"), segment).first()
     assert (gone.valid, gone.broken_at, gone.broken_id) == (False, 8, "a0008")
+
+
+def test_a_segment_made_anew_breaks_the_next_seed(spark):
+    changed = audit(spark, 12).withColumn("action", F.when(F.col("audit_id") == "a0005", "x").otherwise(F.col("action")))
+    log, forged = append(audit(spark, 12), segment=4), append(changed, segment=4)
+    mixed = log.filter("audit_id < 'a0004' or audit_id >= 'a0008'").unionByName(forged.filter("audit_id >= 'a0004' and audit_id < 'a0008'"))
+    bad = verify(mixed, 4).first()
+    assert (bad.valid, bad.broken_at, bad.broken_id) == (False, 9, "a0008")
+
+
+def test_no_task_links_more_than_a_segment(spark):
+    """A log of one organization is dealt out by segment; the chain equals a plain loop over it."""
+    rows = audit(spark, 1500)
+    got = {r.audit_id: (r.prev_hash, r.self_hash) for r in append(rows, segment=100).collect()}
+    digests = {r.audit_id: r.digest for r in rows.withColumn("digest", od.audit_digest()).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    seed, names = GENESIS, sorted(digests)
+    for s in range(0, 1500, 100):
+        prev = seed
+        for n in names[s : s + 100]:
+            assert got[n] == (prev, sha(prev + digests[n]))
+            prev = got[n][1]
+        seed = sha(seed + sha("".join(digests[n] for n in names[s : s + 100])))
