@@ -186,102 +186,116 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
 
 # ---- isolation forest --------------------------------------------------------------
 
-TREE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, path double, n_rows int"
+TREES, TREE_ROWS, SHARE = 50, 256, 0.05
+PRIME, FACTOR = 2147483647, 48271  # h * FACTOR^(tree + 1) + tree modulo PRIME: a row's place in the order of a tree's draw
 
 
-def _average_path(n: float) -> float:
+def tree_factors(trees: int) -> list[int]:
+    return [pow(FACTOR, t + 1, PRIME) for t in range(trees)]
+
+
+def _hex(digest: Column, start: int) -> Column:
+    """Eight hex digits of a digest as a number."""
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
+
+
+def average_path(n: Column) -> Column:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
-
-
-def _grow(tree_id: int, x: np.ndarray, seed: int) -> pd.DataFrame:
-    rng = np.random.default_rng([seed, tree_id])
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    rows: list[list[float]] = []
-    todo = [(x, 0, -1, 0)]
-    while todo:
-        part, depth, parent, side = todo.pop()
-        me = len(rows)
-        if parent >= 0:
-            rows[parent][3 + side] = me
-        lo, hi = part.min(axis=0), part.max(axis=0)
-        open_cols = np.flatnonzero(hi > lo)
-        if depth >= limit or len(part) <= 1 or not len(open_cols):
-            rows.append([me, -1, 0.0, -1, -1, depth + _average_path(len(part))])
-            continue
-        f = int(rng.choice(open_cols))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        goes_left = part[:, f] <= cut
-        rows.append([me, f, cut, -1, -1, 0.0])
-        todo += [(part[goes_left], depth + 1, me, 0), (part[~goes_left], depth + 1, me, 1)]
-    out = pd.DataFrame(rows, columns=["node_id", "feature", "threshold", "left", "right", "path"])
-    out.insert(0, "tree_id", tree_id)
-    out["n_rows"] = len(x)
-    return out.astype({"n_rows": "int32", "node_id": "int32", "feature": "int32", "left": "int32", "right": "int32", "tree_id": "int32"})
-
-
-def forest_sample(feats: DataFrame, trees: int = 50, sample: int = 256) -> DataFrame:
-    """For each tree its own uniform sample: the min(sample, n) rows of the least hash of tree and row.
-
-    A row is copied only to the trees where its hash is low enough to be among
-    about twice the sample, so the copies do not grow with the table.
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n)
+
+
+def forest_sample(feats: DataFrame, trees: int = TREES, sample: int = TREE_ROWS) -> DataFrame:
+    """For each tree its own sample: the min(sample, n) rows that come first in the tree's order of hashes, then of ids.
+
+    A row is copied only to the trees where it is among about the first twice
+    the sample, so the copies do not grow with the table.
     """
-    rows = feats.select("event_id", *FEATURES)
+    rows = feats.select("event_id", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
     n = rows.count()
-    hashed = lambda t: F.pmod(F.xxhash64(t, F.col("event_id")), F.lit(1 << 31))
-    near = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hashed(t) * F.lit(n) <= F.lit(2.0 * (sample + 64) * (1 << 31)))
+    factors = F.array(*[F.lit(f).cast("bigint") for f in tree_factors(trees)])
+    rows = rows.withColumn("_v", _hex(F.md5("event_id"), 1) % PRIME)
+    hashed = lambda t: (F.col("_v") * F.get(factors, t) + t) % PRIME
+    near = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hashed(t) * F.lit(float(n)) <= F.lit(2.0 * (sample + 64) * PRIME))
     dealt = rows.select("*", F.explode(near).alias("tree_id")).withColumn("_h", hashed(F.col("tree_id")))
-    return top_n(dealt, ["tree_id"], [F.asc("_h"), F.asc("event_id")], sample).drop("rank", "_h")
+    return top_n(dealt, ["tree_id"], [F.asc("_h"), F.asc("event_id")], sample).select("tree_id", "event_id", "x")
 
 
-def fit_forest(baseline: DataFrame, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation trees as a table; every tree is grown in its own group."""
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        return _grow(int(pdf["tree_id"].iloc[0]), pdf[FEATURES].to_numpy(float), seed)
+def fit_forest(baseline: DataFrame, trees: int = TREES, sample: int = TREE_ROWS) -> DataFrame:
+    """Isolation trees as a table of nodes, fitted on the features of a baseline.
 
-    return forest_sample(baseline, trees, sample).groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
+    All trees grow one level at a time: each row knows its node, and the node's
+    ends per feature give its cut. Feature and cut are drawn from the md5 of
+    tree and node, so a forest follows from its rows alone. Node 1 is the root,
+    the children of node i are 2i and 2i + 1. Columns: tree_id, node_id, feature
+    (-1 at leaves), threshold, path (leaves: depth and what is left of a path),
+    node_rows, n_rows (of the tree). The sample is bounded; trees are dealt out whole.
+    """
+    rows = forest_sample(baseline, trees, sample).repartition("tree_id")
+    rows = rows.withColumns({"size": F.count("*").over(Window.partitionBy("tree_id")), "node": F.lit(1).cast("bigint"), "done": F.lit(False), "nodes": F.array().cast(
+        "array<struct<node_id:bigint,feature:int,threshold:double,path:double,node_rows:bigint,n_rows:bigint>>")})
+    levels = max(1, int(np.ceil(np.log2(max(sample, 2)))))
+    for depth in range(levels + 1):
+        here = Window.partitionBy("tree_id", "node")
+        ends = [F.array(*[fn(F.get("x", i)).over(here) for i in range(len(FEATURES))]) for fn in (F.min, F.max)]
+        rows = rows.withColumns({"n": F.count("*").over(here), "lo": ends[0], "hi": ends[1], "_d": F.md5(F.concat_ws(":", F.col("tree_id").cast("string"), F.col("node").cast("string")))})
+        rows = rows.withColumn("_open", F.filter(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: F.get("hi", i) > F.get("lo", i)))
+        leaf = (F.lit(depth) >= F.ceil(F.log2(F.greatest("size", F.lit(2))))) | (F.col("n") <= 1) | (F.size("_open") == 0)
+        rows = rows.withColumn("_f", F.when(leaf, -1).otherwise(F.get("_open", (_hex(F.col("_d"), 1) % F.size("_open")).cast("int"))))
+        lo, hi = F.get("lo", F.col("_f")), F.get("hi", F.col("_f"))
+        rows = rows.withColumn("_cut", F.when(leaf, 0.0).otherwise(lo + _hex(F.col("_d"), 9) / F.lit(4294967296.0) * (hi - lo)))
+        node = F.struct(F.col("node").alias("node_id"), F.col("_f").alias("feature"), F.col("_cut").alias("threshold"), F.when(leaf, depth + average_path(F.col("n"))).otherwise(0.0).alias("path"), F.col("n").alias("node_rows"), F.col("size").alias("n_rows"))
+        rows = rows.withColumns({
+            "nodes": F.when(F.col("done"), F.col("nodes")).otherwise(F.array_append("nodes", node)), "done": F.col("done") | leaf,
+            "node": F.when(F.col("done") | leaf, F.col("node")).otherwise(2 * F.col("node") + (F.get("x", F.col("_f")) > F.col("_cut")).cast("bigint"))})
+        rows = rows.select("tree_id", "event_id", "x", "size", "node", "done", "nodes")
+    return rows.select("tree_id", F.explode("nodes").alias("n")).select("tree_id", "n.*").dropDuplicates(["tree_id", "node_id"])
 
 
 def _isolation(feats: DataFrame, forest: DataFrame) -> DataFrame:
-    """Anomaly value 2^(-mean path / c) of each row, c for the rows the trees saw. The forest is of fixed size."""
+    """Anomaly value 2^(-mean path / c) of each row, c for the rows the trees saw. The forest is of fixed size.
+
+    Paths are summed as whole billionths, so the value does not depend on an order.
+    """
     table = forest.toPandas()
-    trees = [g.sort_values("node_id") for _t, g in table.groupby("tree_id")]
-    packed = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")) for g in trees]
-    scale = max(float(np.mean([_average_path(int(g["n_rows"].iloc[0])) for g in trees])), 1e-9)
+    packed = []
+    for _t, g in table.groupby("tree_id"):
+        at = g["node_id"].to_numpy()
+        feat, cut, path = np.full(at.max() + 1, -1, np.int64), np.zeros(at.max() + 1), np.zeros(at.max() + 1, np.int64)
+        feat[at], cut[at], path[at] = g["feature"], g["threshold"], np.round(g["path"].to_numpy() * 1e9)
+        packed.append((feat, cut, path))
+    seen = table.loc[table["node_id"] == 1, "n_rows"].to_numpy(float)
+    each = [0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n for n in seen]
+    scale = max(float(np.mean(each)) if each else 0.0, 1e-9)
 
     def score(batches):
         for pdf in batches:
             x = pdf[FEATURES].to_numpy(float)
-            depth = np.zeros(len(x))
-            for feat, cut, left, right, path in packed:
-                at = np.zeros(len(x), dtype=np.int64)
+            depth = np.zeros(len(x), np.int64)
+            for feat, cut, path in packed:
+                at = np.ones(len(x), np.int64)
                 inner = feat[at] >= 0
                 while inner.any():
                     i = np.flatnonzero(inner)
                     f = feat[at[i]]
-                    at[i] = np.where(x[i, f] <= cut[at[i]], left[at[i]], right[at[i]])
+                    at[i] = 2 * at[i] + (x[i, f] > cut[at[i]])
                     inner[i] = feat[at[i]] >= 0
                 depth += path[at]
-            yield pd.DataFrame({"case_id": pdf["case_id"].astype(object), "event_id": pdf["event_id"].astype(object), "raw": 2.0 ** (-depth / len(packed) / scale)})
+            raw = np.round(2.0 ** (-(depth / 1e9) / max(len(packed), 1) / scale), 9)
+            yield pd.DataFrame({"case_id": pdf["case_id"].astype(object), "event_id": pdf["event_id"].astype(object), "raw": raw})
 
     return feats.select("case_id", "event_id", *FEATURES).mapInPandas(score, "case_id string, event_id string, raw double")
 
 
 def isolation_forest(
-    feats: DataFrame, forest: DataFrame, baseline: DataFrame, sample: int = 256, trees: int = 50, contamination: float = 0.05,
+    feats: DataFrame, forest: DataFrame, baseline: DataFrame, sample: int = TREE_ROWS, trees: int = TREES, contamination: float = SHARE,
 ) -> DataFrame:
     """Score with a fitted forest; flag beyond the baseline's threshold; min-max per case."""
-    train = _isolation(forest_sample(baseline, trees, sample).withColumn("case_id", F.lit("baseline")), forest)
-    cut = train.agg(F.percentile("raw", F.lit(1 - contamination)).alias("cut"))  # bounded sample
+    drawn = forest_sample(baseline, trees, sample).select(F.lit("baseline").alias("case_id"), "event_id", *[F.get("x", i).alias(f) for i, f in enumerate(FEATURES)])
+    limit = _isolation(drawn, forest).agg(F.round(F.percentile("raw", F.lit(1 - contamination)), 9)).first()[0]  # bounded sample
     rows = materialize(_isolation(feats, forest), "forest")
     out = min_max(rows, ["case_id"], "raw", "score")
-    limit = cut.first()["cut"]
-    return out.select("case_id", "event_id", F.lit("isolation_forest").alias("model"), (F.col("raw") > limit).alias("flag"), "score")
+    flag = F.coalesce(F.col("raw") > F.lit(limit).cast("double"), F.lit(False))
+    return out.select("case_id", "event_id", F.lit("isolation_forest").alias("model"), flag.alias("flag"), "score")
 
 
 # ---- ensemble ------------------------------------------------------------------------
@@ -297,7 +311,7 @@ def detect(events: DataFrame, baseline: DataFrame | None = None, detectors: list
     feats = materialize(features(events), "features")
     big = feats.filter(F.col("case_size") >= SMALL_CASE)
     if detectors is None:
-        base = feats if baseline is None else baseline
+        base = feats if baseline is None else baseline  # without a baseline the events are their own
         forest = materialize(fit_forest(base), "trees")
         detectors = [lambda f: isolation_forest(f, forest, base), hbos, lof]
     parts = [d(big) for d in detectors]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from caselens.functions.text import point_id
 from caselens.operators.describe import sentence
 from caselens.operators.ordered import top_n
+from caselens.session import materialize
 
 
 def sentence_map(events: DataFrame) -> DataFrame:
@@ -34,15 +38,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def hashed_embedding(sentences: DataFrame, text: str = "sentence", dim: int = 384, out: str = "embedding") -> DataFrame:
-    """Unit vectors from hashed word counts (Spark ML, no fit needed)."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+DIM = 384
+WORD_GAP = r"\W+"
 
-    df = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+").transform(sentences)
-    df = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(df)
-    df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
-    return df.withColumn(out, vector_to_array("_unit", "float32")).drop("_tok", "_tf", "_unit")
+
+def _bucket(word: Column, dim: int) -> Column:
+    """Place of a word in the vector: the first eight hex digits of its md5."""
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+
+
+def document_frequencies(texts: DataFrame, text: str = "sentence", dim: int = DIM) -> DataFrame:
+    """The model of ``hashed_embedding``: (bucket, df, n), in how many of n texts a bucket occurs. At most ``dim`` rows; keep it and apply it to new texts."""
+    words = F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
+    buckets = texts.select(F.array_distinct(F.transform(words, lambda w: _bucket(w, dim))).alias("b"))
+    return buckets.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).withColumn("n", F.lit(texts.count()).cast("bigint"))
+
+
+def hashed_embedding(sentences: DataFrame, text: str = "sentence", dim: int = DIM, out: str = "embedding", model: DataFrame | None = None) -> DataFrame:
+    """Unit vectors from word counts in hashed buckets, times ln((n + 1) / (df + 1)); parts have six decimals.
+
+    ``model`` comes from ``document_frequencies``; without one the texts given
+    are the corpus. Words are runs of letters, digits and underscores, lower
+    case. A text without words, or of words that every text has, is all zeros.
+    """
+    table = (document_frequencies(sentences, text, dim) if model is None else model).toPandas()  # at most dim rows
+    n = int(table["n"].iloc[0]) if len(table) else 0
+    weight = np.full(dim, np.log(n + 1.0))
+    weight[table["bucket"].to_numpy(np.int64)] = np.log((n + 1.0) / (table["df"].to_numpy(float) + 1.0))
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        gap, known = re.compile(WORD_GAP, re.A), {}
+
+        def bucket(word: str) -> int:
+            if word not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            return known[word]
+
+        for texts in batches:
+            words = [[bucket(w) for w in gap.split((t or "").lower()) if w] for t in texts.tolist()]
+            m = np.zeros((len(words), dim))
+            np.add.at(m, (np.repeat(np.arange(len(words)), [len(w) for w in words]), np.fromiter(chain.from_iterable(words), np.int64)), 1.0)
+            m *= weight
+            norm = np.sqrt((m * m).sum(1, keepdims=True))
+            yield pd.Series(list(np.round(m / np.where(norm == 0, 1, norm), 6).astype(np.float32)))
+
+    return sentences.withColumn(out, embed(text))
 
 
 def encoder_embedding(
@@ -71,30 +114,8 @@ def embed_events(events: DataFrame, embed: Callable[[DataFrame], DataFrame] = ha
         vectors.select("case_id", "sentence_id", "embedding"), ["case_id", "sentence_id"])
 
 
-def topk_in_case(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact inner-product top-k of each query within its own case.
-
-    ``vectors(case_id, id, embedding)``, ``queries(case_id, query_id, query)``.
-    Map tasks keep k rows per query before the shuffle.
-    """
-    scored = vectors.join(queries, "case_id").withColumn("score", dot(F.col("embedding"), F.col("query")))
-    return top_n(scored.drop("embedding", "query"), ["query_id"], [F.desc("score"), F.asc("id")], k)
-
-
-def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 50_000, query_block: int = 2_000) -> DataFrame:
-    """Exact inner-product top-k of every query over all vectors.
-
-    Both sides are cut into blocks of bounded size by a hash; a task multiplies
-    one pair of blocks as matrices and returns only k rows per query. Neither
-    side is collected or broadcast.
-    """
-    nv = max(1, -(-vectors.count() // block))
-    nq = max(1, -(-queries.count() // query_block))
-    v = vectors.select("id", "embedding").withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = queries.select("query_id", "query").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-
+def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best vectors of each query for one block of vectors and one of queries."""
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
@@ -108,11 +129,119 @@ def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 5
             names += [qid] * len(top)
             hits += list(ids[top])
             scores += list(s[top])
-        return pd.DataFrame({
-            "query_id": pd.Series(names, dtype=object), "id": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)})
+        return pd.DataFrame({"query_id": pd.Series(names, dtype=object), "id": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    return best
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, by: str, k: int, block: int, query_block: int) -> DataFrame:
+    """Exact top-k of each query among the vectors of its own group, of any size.
+
+    Groups are cut into blocks of vectors and of queries by a hash; a task
+    multiplies one pair of blocks as matrices and returns k rows per query.
+    """
+    vectors, queries = vectors.filter("embedding is not null"), queries.filter("query is not null")
+    sizes = vectors.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("nv")).join(
+        queries.groupBy(by).agg(F.ceil(F.count("*") / query_block).cast("int").alias("nq")), by)
+    sizes = materialize(sizes, "blocks")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = vectors.join(sizes, by).select(F.col(by).alias("grp"), "id", "embedding", part("id", "nv").alias("vb"), every("nq").alias("qb"))
+    q = queries.join(sizes, by).select(F.col(by).alias("grp"), "query_id", "query", part("query_id", "nq").alias("qb"), every("nv").alias("vb"))
+    keys = ["grp", "vb", "qb"]
+    found = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_best(k), "query_id string, id string, score double")
+    return top_n(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+BLOCK, QUERY_BLOCK = 50_000, 2_000
 
-    part = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(best, "query_id string, id string, score double")
-    return top_n(part, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+def topk_in_case(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact inner-product top-k of each query within its own case.
+
+    ``vectors(case_id, id, embedding)``, ``queries(case_id, query_id, query)``.
+    """
+    return _by_blocks(vectors, queries, "case_id", k, block, query_block)
+
+
+def topk_all(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact inner-product top-k of every query over all vectors. Neither side is collected or broadcast."""
+    one = F.lit(0).alias("all")
+    return _by_blocks(vectors.select(one, "id", "embedding"), queries.select(one, "query_id", "query"), "all", k, block, query_block)
+
+
+# ---- approximate search --------------------------------------------------------------
+
+TRAIN_ROWS, ROUNDS = 20_000, 8
+
+
+def fit_centroids(vectors: DataFrame, cells: int, train: int = TRAIN_ROWS, rounds: int = ROUNDS) -> np.ndarray:
+    """Coarse centroids by k-means over the ``train`` vectors of the least hash of their id; never more than there are vectors."""
+    some = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(train).toPandas()
+    x = np.stack(some["embedding"].to_numpy()).astype(np.float64) if len(some) else np.zeros((1, 1))
+    centre = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = _nearest(x, centre, 1)[:, 0]
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        count = np.bincount(near, minlength=len(centre))[:, None]
+        centre = np.where(count > 0, total / np.maximum(count, 1), centre)
+    return centre
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    far = (centre * centre).sum(1)[None, :] - 2.0 * (x @ centre.T)
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
+def with_cells(rows: DataFrame, centre: np.ndarray, vector: str, n: int = 1) -> DataFrame:
+    """Adds ``cells``, the n nearest centroids of each vector, nearest first."""
+    told = rows.sparkSession.sparkContext.broadcast(centre)  # a parameter bounds its rows
+
+    @F.pandas_udf("array<int>")
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            if len(b):
+                yield pd.Series(list(_nearest(np.stack(b.to_numpy()).astype(np.float64), told.value, n).astype(np.int32)))
+            else:
+                yield pd.Series([], dtype=object)
+
+    return rows.withColumn("cells", cells(vector))
+
+
+def inverted_lists(vectors: DataFrame, centre: np.ndarray) -> DataFrame:
+    """The index: every vector with the cell of its nearest centroid. Write it once and search it often."""
+    return with_cells(vectors, centre, "embedding").select("id", "embedding", F.get("cells", F.lit(0)).alias("cell"))
+
+
+def topk_near(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Approximate inner-product top-k: only the ``probes`` cells nearest to a query are searched, each of them exactly.
+
+    A cell may hold any share of the vectors: it is cut into blocks like a case.
+    """
+    asked = with_cells(queries, centre, "query", probes).select("query_id", "query", F.explode("cells").alias("cell"))
+    return _by_blocks(index, asked, "cell", k, block, query_block)
+
+
+def probes_for(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 10, target: float = 0.95, asked: int = 200) -> int:
+    """How many cells to probe so that a share ``target`` of the exact results is found, measured on at most ``asked`` of the queries.
+
+    Vectors without clusters need most of the cells, clustered ones a few.
+    """
+    some = materialize(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(asked), "asked")
+    exact = topk_all(index.select("id", "embedding"), some, k).select("query_id", "id")
+    where = exact.join(index.select("id", "cell"), "id").join(with_cells(some, centre, "query", len(centre)).select("query_id", "cells"), "query_id")
+    place = where.select(F.array_position("cells", F.col("cell")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).toPandas().sort_values("p")  # a row per cell at most
+    if not len(place):
+        return 1
+    share = place["n"].cumsum() / place["n"].sum()
+    return int(place["p"].to_numpy()[int(np.searchsorted(share.to_numpy(), target))])
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(hits, of): how many of the exact results are among those found."""
+    marked = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return marked.agg(F.count("hit").alias("hits"), F.count("*").alias("of"))
 
 
 def similar_cases(case_vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

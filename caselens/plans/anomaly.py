@@ -67,22 +67,71 @@ def _(spark, d):
     return both.select("event_id", F.round("up", 6).alias("up"), F.round("down", 6).alias("down"))
 
 
-@query("ml_iforest_fit")
+BASE = ("case_0", "case_1")  # the baseline: cases that are not scored
+LEVELS = 8
+
+
+def _path_sql(n: str) -> str:
+    return f"CASE WHEN {n}<=1 THEN 0.0::DOUBLE WHEN {n}=2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE*(ln({n}-1.0::DOUBLE)+{0.5772156649015329!r}::DOUBLE)-2.0::DOUBLE*({n}-1.0::DOUBLE)/{n} END"
+
+
+def _forest_sql() -> str:
+    """The trees level by level, as the operator grows them: l<depth> holds the rows of each level with their node's cut."""
+    factors = ",".join(f"({t},{f})" for t, f in enumerate(an.tree_factors(an.TREES)))
+    cte = [f"""fct(tree_id, f) AS (VALUES {factors}), bs AS (SELECT event_id, x0,x1,x2,x3,x4,x5, ('0x'||substr(md5(event_id),1,8))::BIGINT%{an.PRIME} AS v FROM ft WHERE case_id IN {BASE}),
+  sm AS MATERIALIZED (SELECT tree_id, event_id, x0,x1,x2,x3,x4,x5, count(*) OVER (PARTITION BY tree_id) AS size FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY (v*f+tree_id)%{an.PRIME}, event_id) AS rn FROM bs, fct) WHERE rn<={an.TREE_ROWS})"""]
+    before = "(SELECT *, 1::BIGINT AS node FROM sm)"
+    ends = ",".join(f"min(x{i}) OVER w AS lo{i}, max(x{i}) OVER w AS hi{i}" for i in X)
+    pick = "[" + ",".join("{}".format(f"CASE WHEN hi{i}>lo{i} THEN {i} END") for i in X) + "]"
+    hexed = lambda k: f"('0x'||substr(md5(tree_id||':'||node),{k},8))::BIGINT"
+    for d in range(LEVELS + 1):
+        cte.append(f"""s{d} AS (SELECT *, list_filter({pick}, lambda z: z IS NOT NULL) AS op FROM (SELECT tree_id, event_id, size, node, x0,x1,x2,x3,x4,x5, count(*) OVER w AS n, {ends} FROM {before} WINDOW w AS (PARTITION BY tree_id, node))),
+  f{d} AS (SELECT *, CASE WHEN {d}>=ceil(log2(greatest(size,2))) OR n<=1 OR len(op)=0 THEN -1 ELSE op[1+{hexed(1)}%len(op)] END AS feature FROM s{d}),
+  l{d} AS MATERIALIZED (SELECT tree_id, event_id, size, node, n, feature, x0,x1,x2,x3,x4,x5, CASE WHEN feature<0 THEN 0.0::DOUBLE ELSE [lo0,lo1,lo2,lo3,lo4,lo5][feature+1]+{hexed(9)}/4294967296.0::DOUBLE*([hi0,hi1,hi2,hi3,hi4,hi5][feature+1]-[lo0,lo1,lo2,lo3,lo4,lo5][feature+1]) END AS cut,
+   CASE WHEN feature<0 THEN {d}+{_path_sql('n')} ELSE 0.0::DOUBLE END AS path FROM f{d})""")
+        before = f"(SELECT *, 2*node+([x0,x1,x2,x3,x4,x5][feature+1]>cut)::BIGINT AS next FROM l{d} WHERE feature>=0)"
+        before = f"(SELECT tree_id, event_id, size, next AS node, x0,x1,x2,x3,x4,x5 FROM {before})"
+    cte.append("nd AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT DISTINCT tree_id, node AS node_id, feature, cut AS threshold, path, n AS node_rows, size AS n_rows FROM l{d}" for d in range(LEVELS + 1)) + ")")
+    return ", ".join(cte)
+
+
+def _isolation_sql(name: str, rows: str) -> str:
+    """Raw values of rows (case_id, event_id, x0..x5) by walking all trees down."""
+    cte = [f"{name}0 AS (SELECT case_id, event_id, x0,x1,x2,x3,x4,x5, tree_id, 1::BIGINT AS node FROM {rows}, (SELECT DISTINCT tree_id FROM nd))"]
+    for d in range(LEVELS):
+        cte.append(f"{name}{d + 1} AS (SELECT case_id, event_id, x0,x1,x2,x3,x4,x5, r.tree_id, CASE WHEN feature<0 THEN node ELSE 2*node+([x0,x1,x2,x3,x4,x5][feature+1]>threshold)::BIGINT END AS node FROM {name}{d} r JOIN nd ON nd.tree_id=r.tree_id AND nd.node_id=r.node)")
+    cte.append(f"{name} AS MATERIALIZED (SELECT case_id, event_id, round(pow(2.0::DOUBLE, -(sum(round(path*1e9)::BIGINT)/1e9::DOUBLE)/count(*)/any_value(c)),9) AS raw FROM {name}{LEVELS} r JOIN nd ON nd.tree_id=r.tree_id AND nd.node_id=r.node, cc GROUP BY 1,2)")
+    return ", ".join(cte)
+
+
+FOREST_SQL = _forest_sql()
+SCORE_SQL = FOREST_SQL + f""", cc AS (SELECT avg({_path_sql('n_rows')}) AS c FROM nd WHERE node_id=1), {_isolation_sql('tr', "(SELECT DISTINCT 'b' AS case_id, event_id, x0,x1,x2,x3,x4,x5 FROM sm)")},
+  {_isolation_sql('rw', f"(SELECT * FROM ft WHERE case_id NOT IN {BASE})")}, ct AS (SELECT round(quantile_cont(raw, 0.95),9) AS cut FROM tr JOIN sm USING (event_id)),
+  fs AS (SELECT case_id, event_id, 'isolation_forest' AS model, raw>cut AS flag, (raw-min(raw) OVER (PARTITION BY case_id))/(max(raw) OVER (PARTITION BY case_id)-min(raw) OVER (PARTITION BY case_id)) AS score FROM rw, ct)"""
+
+
+def _parts(spark, d):
+    """Features of the baseline cases and of the others."""
+    f = _feats(spark, d)
+    base = F.col("case_id").isin(*BASE)
+    return f.filter(base), f.filter(~base)
+
+
+@query("ml_iforest_fit", EV + "," + FEAT_SQL + "," + FOREST_SQL + " SELECT tree_id, node_id, feature, round(threshold,9) AS threshold, round(path,6) AS path, node_rows, n_rows FROM nd")
 def _(spark, d):
-    return an.fit_forest(_feats(spark, d))
+    forest = an.fit_forest(_parts(spark, d)[0])
+    return forest.select("tree_id", "node_id", "feature", F.round("threshold", 9).alias("threshold"), F.round("path", 6).alias("path"), "node_rows", "n_rows")
 
 
-@query("ml_iforest_score")
+@query("ml_iforest_score", EV + "," + FEAT_SQL + "," + SCORE_SQL + " SELECT case_id, event_id, model, flag, round(score,6) AS score FROM fs")
 def _(spark, d):
-    f = _feats(spark, d)
-    return an.isolation_forest(f, materialize(an.fit_forest(f), "trees"), f)
+    base, rest = _parts(spark, d)
+    return an.isolation_forest(rest, materialize(an.fit_forest(base), "trees"), base).withColumn("score", F.round("score", 6))
 
 
-@query("ml_ensemble", EV + "," + HBOS_SQL + "," + LOF_SQL.replace(FEAT_SQL + ", ", "", 1) + """, u AS (SELECT * FROM hs UNION ALL SELECT * FROM ls UNION ALL
-  SELECT case_id, event_id, 'given', is_anomaly, anomaly_score FROM ev) SELECT case_id, event_id, sum(flag::INT)>=2 AS flag, round(sum(score)/3,5) AS score FROM u GROUP BY 1,2""")
+@query("ml_ensemble", EV + "," + HBOS_SQL + "," + LOF_SQL.replace(FEAT_SQL + ", ", "", 1) + "," + SCORE_SQL + f""", u AS (SELECT * FROM hs UNION ALL SELECT * FROM ls UNION ALL SELECT * FROM fs)
+  SELECT case_id, event_id, count(*) FILTER (flag)>=2 AS flag, round(sum(score)/3,5) AS score FROM u WHERE case_id NOT IN {BASE} GROUP BY 1,2""")
 def _(spark, d):
     ev = canonical_events(spark, d)
-    given = ev.select("case_id", "event_id", F.lit("given").alias("model"), F.col("is_anomaly").alias("flag"), F.col("anomaly_score").alias("score"))
-    known = materialize(given, "given")
-    out = an.detect(ev, detectors=[lambda f: known, an.hbos, an.lof])
+    out = an.detect(ev.filter(~F.col("case_id").isin(*BASE)), baseline=_parts(spark, d)[0])
     return out.select("case_id", "event_id", "flag", F.round("score", 5).alias("score"))

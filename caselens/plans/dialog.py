@@ -26,14 +26,22 @@ from caselens.sources.store import write_reports
 
 # ---- audit ---------------------------------------------------------------------
 
-CHAIN_SQL = EV.replace("WITH", "WITH RECURSIVE", 1) + "," + AUDIT_SQL.replace("audd AS (", "audd AS MATERIALIZED (") + f""", ch AS (
-  SELECT organization_id, audit_id, pos, repeat('0',64) AS prev_hash, sha256(repeat('0',64)||digest) AS self_hash FROM audd WHERE pos=1
-  UNION ALL SELECT d.organization_id, d.audit_id, d.pos, c.self_hash, sha256(c.self_hash||d.digest) FROM ch c JOIN audd d ON d.organization_id=c.organization_id AND d.pos=c.pos+1)"""
+CHAIN_SQL = EV.replace("WITH", "WITH RECURSIVE", 1) + "," + AUDIT_SQL.replace("audd AS (", "audd AS MATERIALIZED (") + f""", seg AS MATERIALIZED (
+  SELECT organization_id, (pos-1)//{au.SEGMENT} AS s, sha256(string_agg(digest,'' ORDER BY pos)) AS d FROM audd GROUP BY 1,2),
+ seeds AS (SELECT organization_id, s, d, repeat('0',64) AS seed FROM seg WHERE s=0
+  UNION ALL SELECT n.organization_id, n.s, n.d, sha256(p.seed||p.d) FROM seeds p JOIN seg n ON n.organization_id=p.organization_id AND n.s=p.s+1),
+ ch AS (SELECT a.organization_id, a.audit_id, a.pos, seed AS prev_hash, sha256(seed||digest) AS self_hash FROM audd a JOIN seeds x ON x.organization_id=a.organization_id AND a.pos=x.s*{au.SEGMENT}+1
+  UNION ALL SELECT d.organization_id, d.audit_id, d.pos, c.self_hash, sha256(c.self_hash||d.digest) FROM ch c JOIN audd d ON d.organization_id=c.organization_id AND d.pos=c.pos+1 AND c.pos%{au.SEGMENT}<>0)"""
 
 
 @query("win_audit_append", CHAIN_SQL + " SELECT organization_id, audit_id, prev_hash, self_hash FROM ch")
 def _(spark, d):
-    return au.append(audit_rows(spark, d)).select("organization_id", "audit_id", "prev_hash", "self_hash")
+    """Two halves of the log, the later one chained to the stored earlier one."""
+    rows = audit_rows(spark, d)
+    early = F.col("created_at") < "2024-01-15"
+    first = materialize(au.append(rows.filter(early)), "audit")
+    second = au.append(rows.filter(~early), first)
+    return first.unionByName(second.select(*first.columns)).select("organization_id", "audit_id", "prev_hash", "self_hash")
 
 
 @query("win_last_hash", CHAIN_SQL + " SELECT organization_id, arg_max(self_hash, pos) AS last_hash FROM ch GROUP BY 1")
@@ -46,7 +54,7 @@ def _(spark, d):
 def _(spark, d):
     log = materialize(au.append(audit_rows(spark, d)), "audit")
     forged = (F.col("action") == "evidence.error") & F.col("organization_id").isin("case_2", "case_5")
-    return od.verify_chain(log.withColumn("actor_id", F.when(forged, "mallory").otherwise(F.col("actor_id"))))
+    return au.verify(log.withColumn("actor_id", F.when(forged, "mallory").otherwise(F.col("actor_id"))))
 
 
 @query("flt_audit", EV + "," + AUDIT_SQL + " SELECT audit_id, action FROM aud WHERE organization_id='case_1' AND contains(lower(metadata),'ev_1_3.log')")
@@ -184,10 +192,13 @@ def _(spark, d):
     return ag.risk(anom, findings(spark, d), mi.with_technique_names(ag.technique_set(anom)))
 
 
-@query("agg_case_text", EV + "," + EVENT_CASES_SQL + """, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY anomaly_score DESC, event_id) AS rank FROM ev WHERE is_anomaly) WHERE rank<=20),
+CASE_TEXT_SQL = """tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY anomaly_score DESC, event_id) AS rank FROM ev WHERE is_anomaly) WHERE rank<=20),
   te AS (SELECT case_id, string_agg(DISTINCT t, ', ' ORDER BY t) AS tech FROM (SELECT case_id, unnest(string_split(techniques,',')) AS t FROM tp WHERE techniques<>'') GROUP BY 1),
-  su AS (SELECT case_id, string_agg(subject, ', ' ORDER BY subject) AS subj FROM (SELECT case_id, subject, row_number() OVER (PARTITION BY case_id ORDER BY subject) AS rn FROM (SELECT DISTINCT case_id, subject FROM tp)) WHERE rn<=10 GROUP BY 1)
-  SELECT case_id, title||' ('||status||')'||coalesce('; techniques '||tech,'')||coalesce('; seen '||subj,'') AS case_text FROM ecases LEFT JOIN te USING (case_id) LEFT JOIN su USING (case_id)""")
+  su AS (SELECT case_id, string_agg(subject, ', ' ORDER BY subject) AS subj FROM (SELECT case_id, subject, row_number() OVER (PARTITION BY case_id ORDER BY subject) AS rn FROM (SELECT DISTINCT case_id, subject FROM tp)) WHERE rn<=10 GROUP BY 1),
+  ctx AS (SELECT case_id, title||' ('||status||')'||coalesce('; techniques '||tech,'')||coalesce('; seen '||subj,'') AS case_text FROM ecases LEFT JOIN te USING (case_id) LEFT JOIN su USING (case_id))"""
+
+
+@query("agg_case_text", EV + "," + EVENT_CASES_SQL + "," + CASE_TEXT_SQL + " SELECT case_id, case_text FROM ctx")
 def _(spark, d):
     ev = canonical_events(spark, d)
     return ve.case_text(event_cases(ev), ev).select("case_id", "case_text")
@@ -287,9 +298,25 @@ def _(spark, d):
 
 # ---- vectors -------------------------------------------------------------------------
 
-@query("vec_embed")
+def _embed_sql(texts: str, key: str, text: str) -> str:
+    """Vectors of (key, text) rows as text: the parts that are not zero, by place, with six decimals."""
+    return f"""wd AS (SELECT {key} AS k, w FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '\\W+')) AS w FROM {texts}) WHERE w<>''),
+  tf AS MATERIALIZED (SELECT k, ('0x'||substr(md5(w),1,8))::BIGINT%{ve.DIM} AS b, count(*) AS c FROM wd GROUP BY 1,2), nt AS (SELECT count(*) AS n FROM {texts}),
+  idf AS (SELECT b, ln((any_value(n)+1.0::DOUBLE)/(count(*)+1.0::DOUBLE)) AS w FROM tf, nt GROUP BY 1), raw AS (SELECT k, b, c*w AS x FROM tf JOIN idf USING (b)),
+  nrm AS (SELECT k, sqrt(sum(x*x)) AS norm FROM raw GROUP BY 1),
+  vec AS (SELECT k, string_agg(b||':'||printf('%.6f', round(x/norm,6)), ' ' ORDER BY b) AS vector FROM raw JOIN nrm USING (k) WHERE norm>0 AND round(x/norm,6)<>0 GROUP BY 1)"""
+
+
+def _shown(c):
+    """A vector as text, like the SQL shows it."""
+    parts = F.transform(c, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x")))
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["x"] != 0), lambda p: F.format_string("%d:%.6f", p["i"], p["x"])), " ")
+
+
+@query("vec_embed", EV + "," + SENT_SQL + ", sid AS (SELECT *, md5(sentence) AS sentence_id FROM sent), us AS (SELECT DISTINCT case_id||'|'||sentence_id AS k0, sentence FROM sid)," + _embed_sql("us", "k0", "sentence") + """
+  SELECT case_id, event_id, coalesce(vector,'') AS vector FROM sid LEFT JOIN vec ON vec.k=case_id||'|'||sentence_id""")
 def _(spark, d):
-    return ve.embed_events(canonical_events(spark, d)).select("case_id", "event_id", F.size("embedding").alias("dim"), F.round(ve.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    return ve.embed_events(canonical_events(spark, d)).select("case_id", "event_id", _shown("embedding").alias("vector"))
 
 
 DOT = "list_sum(list_transform(list_zip({a},{b}), lambda z: z[1]::DOUBLE*z[2]::DOUBLE))"
@@ -328,8 +355,21 @@ def _(spark, d):
     return ve.similar_cases(cases, q)
 
 
-@query("vec_case_index")
+@query("vec_case_index", EV + "," + EVENT_CASES_SQL + "," + CASE_TEXT_SQL + "," + _embed_sql("ctx", "case_id", "case_text") + """
+  SELECT ('0x'||substr(md5(case_id),1,8))::BIGINT AS point_id, case_id, title, status, substr(case_text,1,500) AS summary_text, coalesce(vector,'') AS vector FROM ctx JOIN ecases USING (case_id) LEFT JOIN vec ON vec.k=case_id""")
 def _(spark, d):
     ev = canonical_events(spark, d)
     idx = materialize(ve.case_index(event_cases(ev), ev), "case-index")
-    return ve.case_index(event_cases(ev), ev, stored=idx).select("point_id", "case_id", "summary_text", F.size("embedding").alias("dim"))
+    return ve.case_index(event_cases(ev), ev, stored=idx).select("point_id", "case_id", "title", "status", "summary_text", _shown("embedding").alias("vector"))
+
+
+@query("vec_near", """SELECT count(*) FILTER (vec_id%10=0)::BIGINT AS n_queries, (10*count(*) FILTER (vec_id%10=0))::BIGINT AS n_found, true AS recalled FROM embeddings WHERE embedding IS NOT NULL""")
+def _(spark, d):
+    """Inverted lists over all vectors, probes tuned on one tenth of them, searched for another: recall of 0.9 or more against the exact lists."""
+    v = materialize(_vec(spark, d).select("id", "embedding").filter("embedding is not null"), "vectors")
+    asked = lambda r: v.filter(F.col("id").cast("bigint") % 10 == r).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    centre = ve.fit_centroids(v, 32)
+    lists = materialize(ve.inverted_lists(v, centre), "lists")
+    found = materialize(ve.topk_near(lists, centre, asked(0), 10, ve.probes_for(lists, centre, asked(5))), "found")
+    told = ve.recall(found, ve.topk_all(v, asked(0), 10)).first()
+    return found.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_found")).withColumn("recalled", F.lit(told["hits"] >= 0.9 * told["of"]))

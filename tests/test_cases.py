@@ -1,6 +1,7 @@
 """Isolation, replacement, reconciliation, ensemble, streams and the query contract."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -111,6 +112,55 @@ def test_topk_blocks_equal_one_block(spark):
     assert one == many and len(one) == 35
 
 
+def clustered(spark, n=600, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, n)] + 0.2 * rng.normal(size=(n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([("hot" if i % 3 else f"c{i % 5}", f"{i:04d}", list(map(float, r))) for i, r in enumerate(x)], "case_id string, id string, embedding array<float>")
+
+
+def test_topk_in_case_in_blocks(spark):
+    v = clustered(spark)
+    q = v.filter("id % 50 = 0").select("case_id", F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    rows, want = v.collect(), set()
+    for a in q.collect():
+        found = sorted((-round(float(np.dot(np.float64(a.query), np.float64(r.embedding))), 9), r.id) for r in rows if r.case_id == a.case_id)[:7]
+        want |= {(a.query_id, i, n + 1) for n, (_, i) in enumerate(found)}
+    for block, asked in ((10_000, 100), (40, 3)):
+        assert {(r.query_id, r.id, r["rank"]) for r in ve.topk_in_case(v, q, 7, block, asked).collect()} == want
+    assert ve.topk_in_case(v.filter("id < 0"), q, 7).count() == 0
+
+
+def test_near_search_finds_most_in_few_cells(spark):
+    v = clustered(spark).select("id", "embedding")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    centre = ve.fit_centroids(v, 24)
+    lists = ve.inverted_lists(v, centre).cache()
+    assert lists.count() == v.count()
+    probes = ve.probes_for(lists, centre, v.filter("id % 20 = 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5, 0.95)
+    assert probes <= 8
+    told = ve.recall(ve.topk_near(lists, centre, q, 5, probes, block=50, query_block=9), ve.topk_all(v, q, 5)).first()
+    assert told["of"] == 150 and told["hits"] >= 135
+    all_cells = ve.recall(ve.topk_near(lists, centre, q, 5, len(centre)), ve.topk_all(v, q, 5)).first()
+    assert all_cells["hits"] == all_cells["of"]
+
+
+def test_idf_weights(spark):
+    df = spark.createDataFrame([(1, "the cat the_hat"), (2, "The dog"), (3, "the"), (4, ""), (5, None)], "k int, sentence string")
+    model = ve.document_frequencies(df).cache()
+    got = {r.k: np.array(r.embedding) for r in ve.hashed_embedding(df, model=model).collect()}
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % ve.DIM
+    idf = {w: np.log(6 / (n + 1)) for w, n in (("the", 3), ("cat", 1), ("the_hat", 1), ("dog", 1))}
+    for k, words in ((1, ["the", "cat", "the_hat"]), (2, ["the", "dog"]), (3, ["the"]), (4, []), (5, [])):
+        want = np.zeros(ve.DIM)
+        for w in words:
+            want[place(w)] = idf[w]
+        assert got[k] == pytest.approx(want / (np.linalg.norm(want) or 1), abs=1e-6)
+    # a kept model gives new texts the corpus' weights; an unknown word weighs most
+    new = ve.hashed_embedding(spark.createDataFrame([("the bird",)], "sentence string"), model=model).first().embedding
+    assert new[place("bird")] == pytest.approx(np.log(6) / np.hypot(np.log(6), idf["the"]), abs=1e-6)
+
+
 def test_encoder_embedding_is_unit(spark):
     df = spark.createDataFrame([("a b",), ("c",)], "sentence string")
     out = ve.encoder_embedding(df, lambda: (lambda texts: np.array([[len(t), 3.0] for t in texts]))).collect()
@@ -216,3 +266,40 @@ def test_every_tree_has_its_sample(spark):
         counts = an.forest_sample(rows.limit(n), 20, 256).groupBy("tree_id").count().collect()
         assert len(counts) == 20 and {r["count"] for r in counts} == {min(n, 256)}
     assert {r.n_rows for r in an.fit_forest(rows, 5, 256).select("n_rows").collect()} == {256}
+
+
+def test_trees_follow_from_their_rows(spark):
+    """Children hold their parent's rows, cuts part them, leaves end at the depth limit, with one row or without differences; a second fit is equal."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((300, 6)), 2)
+    rows = spark.createDataFrame([("c", f"e{i}", *map(float, r)) for i, r in enumerate(x)], "case_id string, event_id string, " + ", ".join(f"{f} double" for f in an.FEATURES))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    forest = an.fit_forest(rows, 6, 64).cache()
+    assert key(forest) == key(an.fit_forest(rows.repartition(5), 6, 64))
+    drawn = {}
+    for r in an.forest_sample(rows, 6, 64).collect():
+        drawn.setdefault(r.tree_id, []).append(np.array(r.x))
+    for t, held in drawn.items():
+        nodes = {r.node_id: r for r in forest.filter(F.col("tree_id") == t).collect()}
+        at = {1: held}
+        for i in sorted(nodes):
+            n, inside = nodes[i], np.array(at[i])
+            assert n.node_rows == len(inside) and n.n_rows == len(held) == 64
+            depth = int(i).bit_length() - 1
+            if n.feature < 0:
+                assert depth == 6 or len(inside) == 1 or (inside == inside[0]).all()
+                assert n.path == pytest.approx(depth + (0 if len(inside) < 2 else 1 if len(inside) == 2 else 2 * (np.log(len(inside) - 1) + np.euler_gamma) - 2 * (len(inside) - 1) / len(inside)))
+            else:
+                low = inside[:, n.feature] <= n.threshold
+                at[2 * i], at[2 * i + 1] = inside[low], inside[~low]
+                assert inside[:, n.feature].min() <= n.threshold < inside[:, n.feature].max()
+
+
+def test_forest_of_a_baseline_scores_other_rows(spark):
+    rng = np.random.default_rng(8)
+    frame = lambda x, case: spark.createDataFrame([(case, f"{case}{i}", *map(float, r)) for i, r in enumerate(x)], "case_id string, event_id string, " + ", ".join(f"{f} double" for f in an.FEATURES))
+    base = frame(rng.normal(0, 0.1, (400, 6)), "b")
+    new = frame(np.vstack([rng.normal(0, 0.1, (60, 6)), np.full((3, 6), 2.0)]), "n")
+    out = {r.event_id: r for r in an.isolation_forest(new, an.fit_forest(base), base).collect()}
+    far = [out[f"n{i}"] for i in (60, 61, 62)]
+    assert all(r.flag and r.score == 1.0 for r in far) and np.mean([r.flag for r in out.values()]) < 0.3
