@@ -138,10 +138,11 @@ def _csv_raw(spark, d):
 
 @query("src_csv", "WITH " + RAW + CSV_SQL)
 def _(spark, d):
-    """Written as CSV text and read again."""
+    """Written as CSV text, with commas, quotes and line breaks in cells, and read again in blocks."""
     path = scratch_path(spark, "csv")
-    _csv_raw(spark, d).write.csv(path, header=True, escape='"')
-    ev = no.csv(no.read_csv(spark, path, multi_line=False), "log.csv", ts0())
+    note = F.concat(F.lit('said "no, '), F.col("PID"), F.lit('"\n\nand "x\r\n'), F.col("Record"), F.lit(',"'))
+    _csv_raw(spark, d).withColumn("Note", F.when(F.col("PID").cast("bigint") % 3 == 0, note).otherwise("plain")).write.csv(path, header=True, escape='"', quoteAll=False)
+    ev = no.csv(no.read_csv(spark, path), "log.csv", ts0())
     return ev.select(tx.json_path(F.col("details"), "Record").alias("rec"), "ts", "event_type", "severity", "subject", "action", "object", "source_ip", "destination_port", "pid", "command_line")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.schema import conform
+from caselens.sources.blocks import large_digests
 
 # Magic numbers in hex, and the types of file extensions.
 MAGIC = [("D4C3B2A1", "pcap"), ("A1B2C3D4", "pcap"), ("0A0D0D0A", "pcap"),
@@ -24,6 +25,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
+def files_below(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """Whole files of fewer than ``limit`` bytes as (filename, content); larger ones are not opened."""
+    found = spark.read.format("binaryFile").load(path).filter(F.col("length") < limit)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+
+
 def extension(filename: Column) -> Column:
     return F.when(filename.contains("."), F.lower(F.element_at(F.split(filename, r"\."), -1))).otherwise("")
 
@@ -51,6 +58,19 @@ def manifest(files: DataFrame) -> DataFrame:
     )
 
 
+def manifest_of(spark: SparkSession, path: str, organization_id: Column, case_id: Column, limit: int = 1 << 30) -> DataFrame:
+    """The manifest of a folder whose files may have any size; the two ids are made from ``filename``.
+
+    Files of ``limit`` bytes or more are read in blocks and their digest is streamed.
+    """
+    ids = [organization_id.alias("organization_id"), case_id.alias("case_id")]
+    small = manifest(files_below(spark, path, limit).select(*ids, "filename", "content"))
+    ext = extension(F.col("filename"))
+    large = large_digests(spark, path, limit).select(*ids, "filename", "size_bytes", "sha256", ext.alias("extension"), file_type(F.col("head"), F.col("filename")).alias("file_type"))
+    name = F.concat("organization_id", F.lit("/"), "case_id", F.lit("/"), "sha256", F.lit("."), "extension")
+    return small.unionByName(large.withColumn("object_name", name))
+
+
 def guard_empty(events: DataFrame, files: DataFrame, default_ts: Column) -> tuple[DataFrame, DataFrame]:
     """Files without events: failures for formats that must have some, else one marker event each.
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselens.functions.mitre import tag_text
 from caselens.functions.network import direction, is_risky_port, url_severity
@@ -20,6 +21,8 @@ from caselens.functions.text import (
 from caselens.functions.when import from_chrome_micros, from_firefox_micros, parse_ts
 from caselens.operators.joins import visits_with_urls
 from caselens.schema import EVENT_TYPES, SEVERITIES, blank_to_null, conform, first_filled
+from caselens.sources.blocks import csv_blocks
+from caselens.sources.manifest import HASH_EXTENSIONS, extension, file_type, files_below
 
 # Accepted CSV headers per logical column, first match wins.
 CSV_ALIASES = {
@@ -371,14 +374,73 @@ def dispatch(files: DataFrame, default_ts: Column | None = None) -> DataFrame:
     return out
 
 
+def _single(record: Column) -> Column:
+    """A record without the rest of its line end; a lone carriage return outside of quotes ends a record too."""
+    return F.explode(F.when(record.contains("\r"), csv_records(record)).when(record == "", F.array().cast("array<string>")).otherwise(F.array(record)))
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file with header, all columns text.
+    """CSV files with one header, all columns text; large files are split over tasks.
+
+    With ``multi_line`` a line break may stand within quotes, as in ``dispatch``:
+    the state at each block's begin is found first (``blocks.csv_blocks``).
+    Without it Spark's own reader is used, which is right for files whose cells
+    hold no line breaks.
+    """
+    options = {"header": True, "escape": '"', "maxColumns": 1 << 20}
+    if not multi_line:
+        return spark.read.csv(path, **options)
+    names = spark.read.csv(path, multiLine=True, **options).columns  # reads one record
+    if not names:
+        return spark.createDataFrame([], T.StructType())
+    rows = csv_blocks(spark, path).filter(~F.col("header")).select(_single(F.col("record")).alias("record"))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    cells = rows.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "maxColumns": str(1 << 20)}).alias("c"))
+    return cells.select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def read_csv_records(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
+    """(source_file, header, line) for ``csv_lines``: records of CSV files that each have a header of their own.
+
+    A file of one block brings at most a block of rows to its header. Files of
+    more blocks are fewer than blocks are, so their headers are broadcast.
+    """
+    found = csv_blocks(spark, path, least)
+    heads = found.filter("header").select("file", "alone", F.col("record").alias("header"))
+    rows = found.filter(~F.col("header")).drop("header", "block", "no")
+    few = rows.filter("alone").drop("alone").join(heads.filter("alone").select("file", "header"), "file")
+    many = rows.filter("not alone").drop("alone").join(F.broadcast(heads.filter("not alone").select("file", "header")), "file")
+    both = few.unionByName(many).withColumn("header", F.get(csv_records(F.col("header")), 0))
+    return both.select("source_file", "header", _single(F.col("record")).alias("line"))
 
-    With ``multi_line`` a line break may stand within quotes, as in ``dispatch``,
-    and a file is one task. Without it large files are split over tasks, which is
-    right for files whose cells hold no line breaks.
+
+ROW_LIMIT = 1 << 30  # files of so many bytes are not read as one row
+
+
+def dispatch_path(spark: SparkSession, path: str, default_ts: Column | None = None, limit: int = ROW_LIMIT) -> DataFrame:
+    """Events of all files in a folder, whatever their size; the type comes from content and name.
+
+    Files below ``limit`` bytes go through ``dispatch``. Larger ones are read in
+    blocks: CSV by records, text and hash lists by lines (without line numbers),
+    all others as one JSON object a line.
     """
-    return spark.read.csv(path, header=True, multiLine=multi_line, escape='"', maxColumns=1 << 20)
+    small = files_below(spark, path, limit).select(
+        F.col("filename").alias("source_file"), file_type(F.col("content"), F.col("filename")).alias("file_type"), F.col("content").cast("string").alias("content"))
+    out = dispatch(small, default_ts)
+    names = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length") >= limit)
+    if names.isEmpty():
+        return out
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_size").alias("_size")).filter(F.col("_size") >= limit).drop("_size").withColumn("line_number", F.lit(None).cast("bigint"))
+    kind = file_type(F.lit(b""), F.col("source_file"))
+    hashed = extension(F.col("source_file")).isin(HASH_EXTENSIONS)
+    records = read_csv_records(spark, path, limit).filter(kind == "csv")
+    parts = [
+        csv_lines(records, F.col("header"), F.col("line"), F.col("source_file"), default_ts),
+        hashes(lines.filter(hashed), F.col("source_file"), default_ts), text(lines.filter((kind == "text") & ~hashed), F.col("source_file"), default_ts),
+        json(lines.filter(kind == "json").withColumnRenamed("line", "item"), F.col("source_file"), default_ts)]
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
