@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from caselens.functions.when import micros
 from caselens.plans.registry import query
 from caselens.plans.timeline import EV, EVID
-from caselens.session import scratch_path
+from caselens.operators.ordered import sessions
+from caselens.session import materialize, scratch_path
 from caselens.sources.adapt import table, to_canonical
 from caselens.streaming import streams as st
 
@@ -37,7 +38,7 @@ def _(spark, d):
                        F.sha2((F.col("o_orderkey") % 400).cast("string"), 256).alias("sha256"), F.col("o_orderdate").alias("created_at"))
     store = scratch_path(spark, "held")
     st.dedupe(files, store, scratch_path(spark, "dedupe-check")).awaitTermination()
-    return spark.read.parquet(store).select("case_id", "sha256")
+    return spark.read.schema(files.schema).parquet(store).select("case_id", "sha256")
 
 
 @query("st_sessions", EV + """SELECT case_id, start_ts, end_ts, event_count FROM (SELECT case_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS event_count FROM (
@@ -84,3 +85,33 @@ def _(spark, d):
 @query("win_latest_status", "WITH " + STATUS_SQL)
 def _(spark, d):
     return st.latest_status(_changes(table(spark, d, "lineitem")))
+
+
+def _routed(spark, d):
+    """Events in files without order in time, parted by a watermark of one hour."""
+    out = scratch_path(spark, "routed")
+    raw = to_canonical(_parts(spark, d, "events", 4))
+    st.route_late(raw.select("case_id", "event_id", "ts", "destination_ip"), out, scratch_path(spark, "routed-check")).awaitTermination()
+    schema = "case_id string, event_id string, ts timestamp_ntz, destination_ip string, batch bigint"
+    return [spark.read.schema(schema).parquet(f"{out}/{name}") for name in ("accepted", "late")]
+
+
+@query("st_repair_sessions", EV + """SELECT case_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS event_count FROM (
+  SELECT case_id, ts, sum(CASE WHEN gap > INTERVAL 15 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+  (SELECT *, ts - lag(ts) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS gap FROM ev)) GROUP BY case_id, s""")
+def _(spark, d):
+    """Sessions of the rows in time, then brought up to date with the late rows of each micro-batch: as if all had come in time."""
+    accepted, late = _routed(spark, d)
+    now = sessions(accepted, ["case_id"]).select("case_id", "start_ts", "end_ts", "event_count")
+    for r in late.select("batch").distinct().orderBy("batch").collect():
+        now = materialize(st.repair_sessions(now, late.filter(F.col("batch") == r.batch)), "repaired")
+    return now
+
+
+@query("st_repair_windows", EV + """, w AS (SELECT destination_ip AS ip, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(4*i) AS start_ts FROM ev, range(6) r(i) WHERE destination_ip IS NOT NULL)
+  SELECT ip, start_ts, count(*) AS failures FROM w GROUP BY 1,2""")
+def _(spark, d):
+    accepted, late = (x.filter("destination_ip is not null").select(F.col("destination_ip").alias("ip"), "ts") for x in _routed(spark, d))
+    stored = materialize(st.window_counts(accepted, "24 hours", "4 hours"), "windows")
+    out = st.repair_counts(stored, st.window_counts(late, "24 hours", "4 hours"), ["ip", "start_ts"], ["failures"])
+    return out.select("ip", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "failures")
