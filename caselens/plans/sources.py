@@ -15,6 +15,7 @@ from caselens.plans.graph import G
 from caselens.plans.registry import query
 from caselens.plans.timeline import EV
 from caselens.session import materialize, scratch_path, spread
+from caselens.sources import formats as fm
 from caselens.sources import manifest as mf
 from caselens.sources import normalize as no
 from caselens.sources import store as st
@@ -275,6 +276,65 @@ def _(spark, d):
     return no.dispatch(files, ts0()).groupBy("source_file", "source", "event_type", "subject", "action").agg(F.count("*").alias("n"))
 
 
+# ---- line formats ------------------------------------------------------------------
+
+class Pairs(fm.LineFormat):
+    """Records of two lines each; the last one of a file may be cut short."""
+
+    columns = "subject string, action string, object string"
+
+    def __init__(self):
+        self.first = None
+
+    def feed(self, line, number):
+        if self.first is None:
+            self.first = line
+        else:
+            yield {"subject": self.first[:40], "action": "pair", "object": line[:40]}
+            self.first = None
+
+    def close(self):
+        if self.first is not None:
+            yield {"subject": self.first[:40], "action": "open", "object": "-"}
+
+
+@query("ext_line_format", r"""WITH l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l,1) AS n FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents)),
+  p AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS second, max(n) OVER (PARTITION BY doc_id) AS last FROM l)
+  SELECT 'doc_'||doc_id||'.pairs' AS source_file, least(n+1, last) AS line_number, substr(line,1,40) AS subject, CASE WHEN second IS NULL THEN 'open' ELSE 'pair' END AS action, coalesce(substr(second,1,40),'-') AS object FROM p WHERE n%2=1""")
+def _(spark, d):
+    """A format of two-line records: through ``dispatch`` for one half of the files, laterally in SQL for the other."""
+    fm.register_format(spark, "pairs", Pairs)
+    files = documents(spark, d).select(F.concat(F.lit("doc_"), _s("doc_id"), F.lit(".pairs")).alias("source_file"), F.lit("pairs").alias("file_type"), F.col("text").alias("content"), (F.col("doc_id") % 2 == 0).alias("_even"))
+    columns = ["source_file", "line_number", "subject", "action", "object"]
+    through = no.dispatch(files.filter("_even").drop("_even"), ts0()).select(*columns)
+    no.unregister("pairs")  # other queries of this session do not meet it
+    lines = no.text_lines(files.filter(~F.col("_even")).select("source_file", "content"))
+    lateral = spark.sql(f"SELECT {', '.join(columns)} FROM pairs(TABLE({{lines}}))", lines=lines)
+    return through.unionByName(lateral)
+
+
+@query("src_windows_events", "WITH " + RAW + r"""SELECT eid::VARCHAR AS rec, ts, CASE WHEN k%3=0 THEN 'auth_event' WHEN k%3=1 THEN 'process_creation' ELSE 'generic' END AS event_type,
+  CASE k%4 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'info' END AS severity, CASE WHEN k%5=0 THEN 'S-1-5-'||uid ELSE 'user <'||uid||'>' END AS subject,
+  'event_'||(['4625','4688','7045'])[k%3+1] AS action, CASE WHEN k%3=1 THEN 'C:\x & y\p'||k||'.exe' ELSE 'Security' END AS object, 'host'||(k%7) AS hostname FROM raw""")
+def _(spark, d):
+    """Events written as XML, on one line or over many, with other lines between them, and read again."""
+    r, k = _raw(spark, d), F.col("k")
+    code = F.get(F.array(F.lit("4625"), F.lit("4688"), F.lit("7045")), (k % 3).cast("int"))
+    gap = F.when(k % 2 == 0, "\n  ").otherwise("")
+    user = F.when(k % 5 != 0, F.concat(F.lit('<Data Name="TargetUserName">user &lt;'), _s("uid"), F.lit("&gt;</Data>"))).otherwise('<Data Name="TargetUserName">-</Data>')
+    image = F.when(k % 3 == 1, F.concat(F.lit('<Data Name="NewProcessName">C:\\x &amp; y\\p'), _s("k"), F.lit(".exe</Data>"))).otherwise("<Data Name='NewProcessName'/>")
+    text = F.concat(
+        F.lit('<Event xmlns="e"><System><Provider Name="P"/><EventID Qualifiers="1">'), code, F.lit("</EventID>"), gap, F.lit("<Level>"), _s(k % 4), F.lit("</Level><TimeCreated SystemTime='"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z'/>"), gap, F.lit("<Channel>Security</Channel><Computer>host"), _s(k % 7), F.lit('</Computer><Security UserID="S-1-5-'), _s("uid"),
+        F.lit('"/></System>'), gap, F.lit("<EventData>"), user, image, F.lit('<Data Name="rec">'), _s("eid"), F.lit("</Data></EventData>"), gap, F.lit("</Event>"), F.when(k % 4 == 0, "\nnoise <Eventual>\n").otherwise(""))
+    files = r.select(F.concat(F.lit("f"), _s(F.col("eid") % 40), F.lit(".xml")).alias("source_file"), "eid", text.alias("x")).groupBy("source_file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eid", "x"))), lambda p: p["x"]), "").alias("content")).withColumn("file_type", F.lit("windows_events"))
+    fm.register_windows_events(spark)
+    ev = no.dispatch(files, ts0())
+    no.unregister("windows_events")
+    return ev.select(tx.json_path(F.get_json_object("details", "$.data"), "rec").alias("rec"), "ts", "event_type", "severity", "subject", "action", "object", "hostname")
+
+
 # ---- manifest ------------------------------------------------------------------
 
 FILES_SQL = """files AS (SELECT 'org_'||(doc_id%2) AS organization_id, 'case_'||(doc_id%8) AS case_id, 'doc_'||doc_id||(['.pcap','.sqlite3','.csv','.LOG','.sha256','','.zip'])[doc_id%7+1] AS filename,

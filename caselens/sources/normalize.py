@@ -342,6 +342,11 @@ def register(file_type: str, normaliser: Callable[[DataFrame, Column | None], Da
     _TEXT_TYPES[file_type] = normaliser
 
 
+def unregister(file_type: str) -> None:
+    """Forget a format; events already asked for are not touched."""
+    _TEXT_TYPES.pop(file_type, None)
+
+
 def _csv_files(files: DataFrame, ts: Column | None) -> DataFrame:
     records = files.withColumn("_records", csv_records(F.col("content"))).withColumn("_header", F.get("_records", 0))
     lines = records.withColumn("_line", F.explode(F.slice("_records", 2, 1 << 30))).drop("content", "_records")

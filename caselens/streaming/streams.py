@@ -208,7 +208,8 @@ def status_stream(changes: DataFrame, stalled_after_ms: int | None = None) -> Da
     The state is the latest change, start and end by their own times, so late and
     repeated changes leave it as the batch form would have it. With
     ``stalled_after_ms`` a file that began and did not end within that time of
-    its last change is told once more, with the status ``stalled``.
+    its last change is told once more, with the status ``stalled``; such a query
+    needs a trigger by time, as it never runs out of micro-batches.
     """
     out = keyed(changes).groupBy("evidence_id").transformWithStateInPandas(
         FileStatus(stalled_after_ms), "evidence_id string, status string, started_us bigint, finished_us bigint, at_us bigint", "update", "none" if stalled_after_ms is None else "processingTime")
