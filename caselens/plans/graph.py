@@ -357,14 +357,18 @@ def _(spark, d):
     return vw.all_views(*built(spark, d)).select("view", "case_id", "src", "dst", "rel_type", "edge_count", "src_name", "dst_name", "is_anomaly")
 
 
-@query("prj_node_risk", G + """, r AS (SELECT *, lower(coalesce(name,'')) AS n, coalesce(is_anomaly,false) OR coalesce(anomaly_score,0)>0.75 AS top FROM nodes),
+RISK_SQL = """, r AS (SELECT *, lower(coalesce(name,'')) AS n, coalesce(is_anomaly,false) OR coalesce(anomaly_score,0)>0.75 AS top FROM nodes),
   r2 AS (SELECT *, CASE label WHEN 'Process' THEN CASE WHEN contains(n,'powershell') THEN 'T1059.001' WHEN contains(n,'cmd') THEN 'T1059.003' WHEN contains(n,'wmic') THEN 'T1047'
     WHEN contains(n,'schtasks.exe') OR contains(n,'at.exe') THEN 'T1053.005' WHEN contains(n,'mshta.exe') OR contains(n,'regsvr32.exe') OR contains(n,'rundll32.exe') THEN 'T1218'
     WHEN contains(n,'certutil.exe') OR contains(n,'bitsadmin.exe') THEN 'T1105' WHEN contains(n,'reg.exe') THEN 'T1112' WHEN contains(n,'net.exe') OR contains(n,'net1.exe') THEN 'T1087' END
    WHEN 'IPAddress' THEN CASE WHEN NOT is_private THEN 'T1071' END WHEN 'Domain' THEN 'T1568' WHEN 'RegistryKey' THEN CASE WHEN contains(n,'run') OR contains(n,'winlogon') OR contains(n,'startup') THEN 'T1547.001' END END AS tech FROM r),
   r3 AS (SELECT *, CASE tech WHEN 'T1059.001' THEN 'high' WHEN 'T1059.003' THEN 'medium' WHEN 'T1047' THEN 'high' WHEN 'T1053.005' THEN 'high' WHEN 'T1218' THEN 'critical' WHEN 'T1105' THEN 'critical'
-    WHEN 'T1112' THEN 'medium' WHEN 'T1087' THEN 'medium' WHEN 'T1071' THEN 'medium' WHEN 'T1568' THEN 'info' WHEN 'T1547.001' THEN 'high' ELSE 'low' END AS lv FROM r2)
-  SELECT node_id, tech AS technique_id, CASE WHEN top THEN 'critical' WHEN coalesce(anomaly_score,0)>0.5 AND lv NOT IN ('critical','high') THEN 'high' ELSE lv END AS risk_level,
+    WHEN 'T1112' THEN 'medium' WHEN 'T1087' THEN 'medium' WHEN 'T1071' THEN 'medium' WHEN 'T1568' THEN 'info' WHEN 'T1547.001' THEN 'high' ELSE 'low' END AS lv FROM r2)"""
+RISK_LEVEL = "CASE WHEN top THEN 'critical' WHEN coalesce(anomaly_score,0)>0.5 AND lv NOT IN ('critical','high') THEN 'high' ELSE lv END AS risk_level"
+
+
+@query("prj_node_risk", G + RISK_SQL + f"""
+  SELECT node_id, tech AS technique_id, {RISK_LEVEL},
   top OR coalesce(anomaly_score,0)>0.5 OR (tech IS NOT NULL AND label<>'Domain') AS suspicious FROM r3""")
 def _(spark, d):
     return vw.with_risk(built(spark, d)[0]).select("node_id", "technique_id", "risk_level", "suspicious")
@@ -420,7 +424,19 @@ def _(spark, d):
         "case_id", F.array_join("path", " > ").alias("path"), F.array_join("names", " -> ").alias("chain"), "depth", "n_paths")
 
 
-@query("gr_attack_trace")
+@query("gr_attack_trace", G.replace("WITH", "WITH RECURSIVE", 1) + "," + JOINED.replace("j AS (", "j AS MATERIALIZED (", 1).rstrip() + RISK_SQL + f""", net AS MATERIALIZED ({_view_sql("network")}),
+  adj AS MATERIALIZED (SELECT src AS u, dst AS v FROM net WHERE src<>dst UNION SELECT dst, src FROM net WHERE src<>dst), ends AS (SELECT src AS node_id FROM net UNION SELECT dst FROM net),
+  lev AS (SELECT case_id, node_id, ts, {RISK_LEVEL} FROM r3), fts AS (SELECT node_id, min(ts) AS first_ts FROM (SELECT src AS node_id, ts FROM edges UNION ALL SELECT dst, ts FROM edges) WHERE ts IS NOT NULL GROUP BY 1),
+  sus AS MATERIALIZED (SELECT case_id, node_id, coalesce(ts, first_ts) AS ts FROM lev JOIN ends USING (node_id) LEFT JOIN fts USING (node_id) WHERE risk_level='critical' AND coalesce(ts, first_ts) IS NOT NULL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, node_id) AS pos FROM sus),
+  pairs AS MATERIALIZED (SELECT a.case_id||'#'||a.pos AS pair_id, a.case_id, a.node_id AS source, b.node_id AS target FROM rk a JOIN rk b ON b.case_id=a.case_id AND b.pos=a.pos+1),
+  w AS (SELECT pair_id, source AS node_id, 0 AS hops FROM pairs UNION SELECT pair_id, v, hops+1 FROM w JOIN adj ON u=node_id WHERE hops<12),
+  dist AS MATERIALIZED (SELECT pair_id, node_id, min(hops) AS hops FROM w GROUP BY 1,2),
+  via AS MATERIALIZED (SELECT a.pair_id, a.node_id, min(b.node_id) AS via FROM dist a JOIN adj ON v=a.node_id JOIN dist b ON b.pair_id=a.pair_id AND b.node_id=u AND b.hops=a.hops-1 GROUP BY 1,2),
+  back AS (SELECT p.pair_id, p.case_id, target AS node_id, hops AS left_hops FROM pairs p JOIN dist ON dist.pair_id=p.pair_id AND dist.node_id=p.target
+    UNION ALL SELECT back.pair_id, back.case_id, via.via, left_hops-1 FROM back JOIN via ON via.pair_id=back.pair_id AND via.node_id=back.node_id WHERE left_hops>0)
+  SELECT case_id, node_id FROM back UNION SELECT case_id, node_id FROM sus
+  UNION SELECT s.case_id, v FROM sus s JOIN adj ON u=s.node_id WHERE s.case_id NOT IN (SELECT case_id FROM back)""")
 def _(spark, d):
     from caselens.session import materialize
     n, e = (materialize(x, "graph") for x in built(spark, d))
