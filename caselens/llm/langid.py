@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices
+from caselens.llm.common import byte_slices, tidied
 from caselens.operators.ordered import top_n
 from caselens.session import materialize
 
@@ -26,7 +26,7 @@ SAMPLE = 1000  # training rows per language at most
 PENALTY = 12.0
 MIN_SHARE = 0.01  # of a language's letters, for a script to be one of its own
 UNKNOWN = "und"
-BATCH = 2 << 20
+BATCH = 1 << 19  # bytes of text whose n-grams are held at once: about a hundred bytes each
 
 # First code point of each range of the Unicode scripts that are told apart; 0 stands for no letter of its own.
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
@@ -39,6 +39,7 @@ SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 NAMES = sorted({n for _, n in SCRIPTS})
 STARTS = np.array([s for s, _ in SCRIPTS], np.uint32)
 OF_RANGE = np.array([NAMES.index(n) for _, n in SCRIPTS], np.uint8)
+KANA, HAN, OTHER = (NAMES.index(n) for n in ("kana", "han", "other"))
 
 _letters: list[np.ndarray] = []
 
@@ -60,8 +61,12 @@ class Words:
         self.points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.lengths = np.array([len(t) for t in low], np.int64)
         is_letter = letters()[self.points]
+        script = OF_RANGE[np.searchsorted(STARTS, self.points, side="right") - 1] if len(self.points) else np.empty(0, np.uint8)
+        # a run of letters ends where its script does; han and kana stand together, and letters of no script of their own join any
+        kind = np.where(script == KANA, HAN, script)
         edge = np.diff(np.concatenate([[0], is_letter.view(np.int8), [0]]))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        turn = np.flatnonzero(is_letter[1:] & is_letter[:-1] & (kind[1:] != kind[:-1]) & (kind[1:] != OTHER) & (kind[:-1] != OTHER)) + 1
+        self.start, self.end = np.sort(np.append(np.flatnonzero(edge == 1), turn)), np.sort(np.append(np.flatnonzero(edge == -1), turn))
         self.text = np.searchsorted(np.cumsum(self.lengths), self.start, side="right")
         # each word with a mark on either side
         n = self.end - self.start
@@ -80,7 +85,10 @@ class Words:
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             if size > 1:
                 self.slots.append((ok, (mixed >> np.uint64(48)).astype(np.int64)))
-        self.script = OF_RANGE[np.searchsorted(STARTS, self.points[self.start], side="right") - 1] if len(self.start) else np.empty(0, np.uint8)
+        self.script = script[self.start]
+        if len(self.start):  # a run with kana among its han is one of kana
+            kana = np.concatenate([[0], np.cumsum(script == KANA)])
+            self.script = np.where(kana[self.end] > kana[self.start], KANA, self.script).astype(np.uint8)
 
     def counts(self, slots: int = SLOTS) -> np.ndarray:
         return sum((np.bincount(s[ok] & (slots - 1), minlength=slots) for ok, s in self.slots), np.zeros(slots, np.int64))
@@ -105,7 +113,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     begins, lengths = begins[order], lengths[order]
     alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts with a word at each step
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int8 if k < 128 else np.int32)
     total = scores[begins].astype(np.float64)
     for step in range(1, int(lengths[0])):
         m = alive[step]
@@ -207,7 +215,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"lang": [key[0]], "grams": [total("grams")], "scripts": [total("scripts")]})
 
     kinds = "lang string, grams binary, scripts binary"
-    got = sorted(chosen.mapInArrow(count, kinds).groupBy("lang").applyInPandas(add, kinds).collect(), key=lambda r: r["lang"])
+    got = sorted(chosen.mapInArrow(tidied(count), kinds).groupBy("lang").applyInPandas(add, kinds).collect(), key=lambda r: r["lang"])
     counts = np.array([np.frombuffer(r["grams"], "<i8") for r in got]).reshape(len(got), SLOTS)
     scripts = np.array([np.frombuffer(r["scripts"], "<i8") for r in got]).reshape(len(got), len(NAMES))
     return Model([r["lang"] for r in got], counts, scripts)
@@ -243,4 +251,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], spans: bool = True,
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *more], schema.names)
 
     plain = docs.select(docs[text_col].cast("string").alias("__text"), *[docs[c] for c in keep])
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidied(run), schema)

@@ -233,3 +233,18 @@ def test_masking(edge, nothing):
 def test_any_case_without_digits(text, want):
     assert want in text[slice(*pii.stretches(text)[0])]
     assert [text[s:e] for s, e, _ in pii.find(text, pii.trained())[1]] == [want]
+
+
+def test_runs_of_letters_end_with_their_script():
+    w = langid.Words(["iPhoneの新しい画面", "漢字", "abc где", "aʼb"])
+    names = [langid.NAMES[i] for i in w.script]
+    assert list(zip(w.size.tolist(), names))[:2] == [(6, "latin"), (6, "kana")]
+    assert names[2] == "han" and names[3:5] == ["latin", "cyrillic"] and w.text.tolist()[:5] == [0, 0, 1, 2, 2]
+
+
+def test_more_labels_than_a_byte_holds():
+    r = np.random.default_rng(1)
+    scores = np.full((40, 300), -5.0, np.float32)
+    want = np.repeat(r.integers(128, 300, 8), 5)
+    scores[np.arange(40), want] = 0
+    assert langid.viterbi(scores, np.zeros(40, np.int64), 1.0).tolist() == want.tolist()
