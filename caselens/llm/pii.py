@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caselens.llm.common import byte_slices
+from caselens.llm.common import byte_slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -35,12 +35,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-LONGEST = 16
+LONGEST = 28  # tokens of a segment: marks and runs of letters or digits; bounds the dynamic program
 WINDOW = 48
+SLICE_BYTES = 1 << 20  # of text that is searched at once
+SPACE = re.compile(r"\s")
 TOKEN = re.compile(r"[^\W_]+|\S")
 TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\s(?:at|dot)\s(?=[\w-]+(?:\s(?:dot)\s|\.))|:[0-9a-f]{0,4}:[0-9a-f]", re.I)  # in any case, as MAIL_SHAPE and segments() read it
 CUES = {"email": {"email", "mail", "contact", "write", "reach", "correo", "courriel", "adresse"}, "phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono", "móvil", "handy"},
         "card": {"card", "visa", "mastercard", "amex", "credit", "carte", "karte", "tarjeta"}, "ip": {"ip", "host", "server", "address", "gateway", "dns", "ping"}}
+NOT_NAMES = {"me", "us", "you", "him", "her", "them", "it", "be", "is", "was", "are", "look", "meet", "arrive", "stay", "stop", "not", "only", "here", "there", "and", "or", "back", "home"}
 AGAINST = {"version", "v", "ver", "order", "invoice", "isbn", "issn", "doi", "page", "pages", "rfc", "section", "chapter", "no", "nr", "id", "sku", "build", "release", "serial"}
 
 
@@ -78,6 +81,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 # --- segments and their features
 
 MAIL_SHAPE = re.compile(r"[\w.%+-]+(?:(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)[\w-]+(?:\.[\w-]+|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?[\w-]+|\sdot\s[\w-]+)+|\sat\s[\w-]+(?:\sdot\s[\w-]+)+)", re.I)
+MORE = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?\w|\.\w|\sdot\s\w", re.I)  # after an address: it may go on
 TOPS = {"com", "org", "net", "edu", "gov", "info", "biz", "io", "eu", "de", "fr", "es", "it", "nl", "ch", "at", "uk", "us", "ca", "co"}
 SHAPES = {
     "email": MAIL_SHAPE,
@@ -138,6 +142,11 @@ def features(line: Line, i: int, j: int, kind: str) -> tuple[str, ...] | None:
     else:
         last = re.findall(r"[^\W_]+", s)[-1].lower()
         mark = "at" if "@" in s else "bracket" if re.search(r"[][(){}<>]", s) else "word"
+        name = s.split()[0].lower()
+        if MORE.match(line.text, line.tokens[j - 1][1]):
+            out.append("email:more")
+        if mark == "word" and name in NOT_NAMES:
+            out.append("email:no name")
         out += [f"email:mark={mark}", f"email:{mark},top={last in TOPS}", f"email:top={min(len(last), 7)}", f"email:spaced={bool(re.search(r'@\s|\s@', s))}", f"email:digits={bool(digits)}"]
     return tuple(out)
 
@@ -149,11 +158,17 @@ def segments(line: Line, longest: int = LONGEST) -> list[tuple[int, int, str, tu
     digits = [0]
     for t in text:
         digits.append(digits[-1] + sum("0" <= c <= "9" for c in t))
+    local = list(range(n))
+    for i in range(n - 2, -1, -1):
+        if line.tokens[i][1] == line.tokens[i + 1][0] and (text[i + 1].isalnum() or text[i + 1] in "._%+-") and (text[i].isalnum() or text[i] in "._%+-"):
+            local[i] = local[i + 1]
     for i in range(n):
         kinds = ("ip", "card", "phone") if text[i][0].isdigit() else ("phone",) if text[i][0] in "+(" else ()
         near = text[i + 1 : i + 8]
-        if text[i][0].isalnum() and any(t == "@" or t.lower() == "at" for t in near):
-            kinds += ("email",)
+        if text[i][0].isalnum() and (i == 0 or local[i - 1] != local[i] or not text[i - 1][-1].isalnum()):
+            k = local[i]  # the last token of the run that a local part can be
+            if any(t == "@" or t.lower() == "at" for t in text[k + 1 : k + 4]) or text[i].lower() != "at" and any(t.lower() == "at" for t in text[i + 1 : k + 1]):
+                kinds += ("email",)
         if re.fullmatch("[0-9A-Fa-f]{1,4}|:", text[i]) and ":" in near[:4] and "ip" not in kinds:
             kinds += ("ip",)
         if not kinds:
@@ -251,11 +266,21 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str
     def mail() -> str:
         user, host, top = word() + r.choice(["", "." + word(), digits(2)]), word(), r.choice(["com", "org", "net", "de", "fr", "es", "info"])
         at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" [at] ", "."), (" @ ", "."), (" at ", " dot ")])
+        if r.random() < 0.2:
+            user = ".".join(word() for _ in range(r.randint(3, 5)))
+        if r.random() < 0.2:
+            host += dot + word() if r.random() < 0.5 else dot + r.choice(["co", "ac", "gov"])
+            top = r.choice(["uk", "nz", "jp"]) if r.random() < 0.5 else top
         return f"{user}{at}{host}{dot}{top}"
 
+    def short6() -> str:
+        part = lambda n: ":".join(f"{r.randint(0x10, 0xFFFF):x}" for _ in range(n))
+        a = r.randint(1, 4)
+        return f"200{r.choice('123')}:{part(a)}::{part(r.randint(1, 6 - a))}"
+
     def ip() -> str:
         return r.choice([".".join(str(r.randint(30, 255)) for _ in range(4)).replace(".", r.choice(["[.]", " . ", "(.)"])),
-                         ":".join(f"{r.randint(0x1000, 0xFFFF):x}" for _ in range(8)), f"fe80::{r.randint(0x1000, 0xFFFF):x}:{r.randint(0x100, 0xFFFF):x}:{r.randint(1, 0xFFFF):x}"])
+                         ":".join(f"{r.randint(0x1000, 0xFFFF):x}" for _ in range(8)), f"fe80::{r.randint(0x1000, 0xFFFF):x}:{r.randint(0x100, 0xFFFF):x}:{r.randint(1, 0xFFFF):x}", short6(), short6()])
 
     def like() -> str:
         y, m, d = r.randint(1900, 2030), r.randint(1, 12), r.randint(1, 28)
@@ -263,7 +288,7 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str
         bad += next(c for c in "0123456789" if not luhn(bad + c))
         return r.choice([f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{d:02}/{m:02}/{y} {r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}", f"version {r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"Version {r.randint(0, 9)}.{r.randint(0, 9)}.",
                          f"order {digits(10)}", f"no {digits(8)}", digits(r.randint(1, 11)), bad, " ".join(bad[i : i + 4] for i in range(0, 16, 4)), f"{digits(3)},{digits(3)},{digits(3)}", f"{r.randint(1, 99)}.{digits(6)}", f"ISBN 978-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}",
-                         f"{digits(2)} {digits(3)} {digits(2)} {digits(1)} {digits(3)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(4)} {digits(4)}", f"pages {digits(3)}-{digits(3)}", f"{word()} at {word()} {word()}", f"meet at {word()}. {word()} dot {word()}", f"look at the dot {word()}", f"{word()} at {word()}.com",
+                         f"{digits(2)} {digits(3)} {digits(2)} {digits(1)} {digits(3)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(4)} {digits(4)}", f"pages {digits(3)}-{digits(3)}", f"{word()} at {word()} {word()}", f"meet at {word()}. {word()} dot {word()}", f"look at the dot {word()}", f"{word()} {r.choice(sorted(NOT_NAMES))} at {word()} dot {r.choice(['com', word()])}", f"{r.choice(sorted(NOT_NAMES))} at {word()} dot com", f"{word()} at {word()}.com",
                          hashlib.md5(digits(5).encode()).hexdigest(), f"password={hashlib.md5(digits(5).encode()).hexdigest()[:18]}", f'token = "{hashlib.sha1(digits(5).encode()).hexdigest()}"', f"AKIA{digits(3)}{word().upper()}{digits(4)}", f"{y}-{y + 1}", f"{r.randint(1, 9)}:{digits(2)}:{digits(2)}", f"a @ {digits(3)}", digits(r.randint(20, 30)),
                          f"{digits(3)}.{digits(3)}.{digits(3)},{digits(2)}", f"{m}.{d}.{m}.{d}.{m}", f"0.{digits(12)}", f"{digits(3)}-{digits(4)}", f"{r.randint(100, 999)} {r.randint(100, 999)} {r.randint(100, 999)}"])
 
@@ -316,10 +341,16 @@ def trained() -> Field:
 # --- whole texts
 
 def stretches(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Parts of the text around what may be personal data, cut at white space; apart from each other."""
+    """Parts of the text around what may be personal data, ``window`` characters to either side and on to white space; apart from each other."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
+        if out and m.end() + window <= out[-1][1]:
+            continue
         s, e = max(0, m.start() - window), min(len(text), m.end() + window)
+        while s and not text[s - 1].isspace() and not (out and s <= out[-1][1]):
+            s -= 1
+        gap = SPACE.search(text, e)
+        e = gap.start() if gap else len(text)
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -360,12 +391,12 @@ def personal_data(docs: DataFrame, keep: list[str], field: Field | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "__text"):
+            for part in byte_slices(batch, "__text", SLICE_BYTES):
                 both = [find(t, model) for t in part.column("__text").to_pylist()]
                 cols = [pa.array([[dict(zip(("start", "end", "kind"), s)) for s in x[i]] for x in both], kind) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols], schema.names)
 
-    return docs.select(docs[text_col].cast("string").alias("__text"), *[docs[c] for c in keep]).mapInArrow(run, schema)
+    return docs.select(docs[text_col].cast("string").alias("__text"), *[docs[c] for c in keep]).mapInArrow(tidied(run), schema)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -390,7 +421,7 @@ def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text_col):
+            for part in byte_slices(batch, text_col, SLICE_BYTES):
                 cols = list(part.columns)
                 old = cols[at].to_pylist()
                 new = [masked(t, find(t, model)[1]) for t in old]
@@ -399,4 +430,4 @@ def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text", le
                     cols[size] = pa.array([len(t) if t != o else n for t, o, n in zip(new, old, cols[size].to_pylist())], cols[size].type)
                 yield pa.RecordBatch.from_arrays(cols, part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -248,3 +248,41 @@ def test_more_labels_than_a_byte_holds():
     want = np.repeat(r.integers(128, 300, 8), 5)
     scores[np.arange(40), want] = 0
     assert langid.viterbi(scores, np.zeros(40, np.int64), 1.0).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("text,want", [
+    ("write anna.maria.von.der.leyen [at] x [dot] eu now", "anna.maria.von.der.leyen [at] x [dot] eu"), ("mail john.smith [at] mail [dot] example [dot] co [dot] uk please", "john.smith [at] mail [dot] example [dot] co [dot] uk"),
+    ("host 2001:db8::ff00:42:8329 up", "2001:db8::ff00:42:8329"), ("reach jane.doe [AT] example [DOT] org", "jane.doe [AT] example [DOT] org"), ("meet me at noon dot com today", None), ("look at the dot there", None),
+    ("x" * 300 + ".y [at] host [dot] net end", "x" * 300 + ".y [at] host [dot] net")])
+def test_whole_addresses(text, want):
+    assert [text[s:e] for s, e, _ in pii.find(text, pii.trained())[1]] == ([want] if want else [])
+
+
+def planted(seed, n=300):
+    """Personal data of other makers than those that the field learns from."""
+    r = random.Random(seed)
+    names, hosts = ["lena.fischer", "p_dupont", "o.garcia.lopez", "miller77"], ["beispiel", "exemple-mail", "ejemplo", "corp.example"]
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    for _ in range(n):
+        kind = r.choice(["email", "phone", "ip", "card"])
+        if kind == "email":
+            at, dot = r.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("@", "."), (" at ", " dot ")])
+            value = f"{r.choice(names)}{at}{r.choice(hosts).replace('.', dot)}{dot}{r.choice(['com', 'org', 'de'])}"
+        elif kind == "phone":
+            value = r.choice([f"+{r.randint(30, 49)} {d(3)} {d(7)}", f"({r.randint(201, 989)}) {d(3)}-{d(4)}", f"00{r.randint(30, 49)} {d(3)} {d(7)}"])
+        elif kind == "ip":
+            value = r.choice([".".join(str(r.randint(40, 255)) for _ in range(4)), f"2001:db8:{r.randint(16, 65535):x}::{r.randint(16, 65535):x}:{r.randint(16, 65535):x}"])
+        else:
+            digits = "4" + d(14)
+            digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+            value = r.choice(["", " ", "-"]).join(digits[i : i + 4] for i in range(0, 16, 4))
+        yield kind, f"please note {value} for later", 12, 12 + len(value)
+
+
+def test_recall_by_kind():
+    hit, of = {}, {}
+    for kind, text, s, e in planted(11):
+        spans = pii.find(text, pii.trained())[1]
+        of[kind] = of.get(kind, 0) + 1
+        hit[kind] = hit.get(kind, 0) + any(a <= s and b >= e for a, b, _ in spans)
+    assert all(hit[k] >= 0.9 * of[k] for k in of), (hit, of)
