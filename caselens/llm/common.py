@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
@@ -45,6 +47,31 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_
         yield batch.slice(int(part[0]), len(part))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on this session hands Python at most so many bytes of rows at a time (or one row): texts are long, and both sides hold what is handed over."""
+    spark.conf.set(ARROW_BYTES, str(most))
+
+
+def give_back() -> None:
+    """Free memory of this worker goes back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, with ``give_back`` before and after it."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 class Encoder:
     """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)`` of the tokenizers library.
 

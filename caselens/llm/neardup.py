@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import bits_hex, byte_slices
+from caselens.llm.common import bits_hex, byte_slices, tidied
 from caselens.session import materialize
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", words
                 fp = pa.array([simhash(t, words) for t in part.column("__text").to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], fp], [*keep, "__fp"])
 
-    return materialize(plain.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
+    return materialize(plain.mapInArrow(tidied(run), schema).withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -100,7 +100,7 @@ def _blocks(distinct: DataFrame, size: int) -> DataFrame:
                 number += 1
 
     ordered = distinct.select("fp", gray_rank(F.col("fp")).alias("_rank")).repartitionByRange("_rank").sortWithinPartitions("_rank").select("fp")
-    return materialize(ordered.mapInArrow(cut, "block long, mask long, value long, fps binary"), "blocks")
+    return materialize(ordered.mapInArrow(tidied(cut), "block long, mask long, value long, fps binary"), "blocks")
 
 
 class Index:
@@ -189,10 +189,10 @@ def edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
                 u, v = linked(np.frombuffer(a, np.uint64), None if same else np.frombuffer(b, np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    pairs = blocks.select("block", "mask", "value").mapInArrow(meet, "a long, b long")
+    pairs = blocks.select("block", "mask", "value").mapInArrow(tidied(meet), "a long, b long")
     left, right = blocks.select(F.col("block").alias("a"), F.col("fps").alias("fa")), blocks.select(F.col("block").alias("b"), F.col("fps").alias("fb"))
     both = pairs.join(left, "a").join(right, "b").select("fa", "fb", (F.col("a") == F.col("b")).alias("same"))
-    return both.mapInArrow(search, "u long, v long")
+    return both.mapInArrow(tidied(search), "u long, v long")
 
 
 def stars(links: DataFrame) -> DataFrame:

@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, default_tokenizer, encoder, texts
+from caselens.llm.common import byte_slices, default_tokenizer, encoder, texts, tidied
 from caselens.session import scratch_path
 
 CAPACITY = 1024
 OPEN_BINS = 1024
 ROUND_TOKENS = 1 << 26
+SLICE_BYTES = 2 << 20  # of text that is encoded at once
 OUT = "doc_id long, piece int, start long, length int, ids binary, sequence_id long, offset int, open boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()),
                     ("sequence_id", pa.int64()), ("offset", pa.int32()), ("open", pa.bool_())])
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
         def items():
             enc = encoder(vocabulary)
             for batch in batches:
-                for part in byte_slices(batch):
+                for part in byte_slices(batch, limit=SLICE_BYTES):
                     ids, bounds = enc.encode(part.column("text"))
                     ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
                     bounds = bounds + np.arange(len(bounds))
@@ -146,13 +147,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
 
     path = scratch_path(spark, "packed")
     write = lambda df, at: df.write.partitionBy("open").option("compression", "zstd").parquet(at)
-    write(texts(docs, id_col, text_col).mapInArrow(first_round, OUT), path)
+    write(texts(docs, id_col, text_col).mapInArrow(tidied(first_round), OUT), path)
     done = spark.read.schema(OUT).parquet(path)
     left = done.filter("open")
     tokens = left.agg(F.sum("length").alias("n")).first()["n"] or 0
     if tokens:
         # narrow, so that the few tasks of this round do not depend on a shuffle setting; long pieces first, as all are known here
         rest = left.coalesce(1 + tokens // ROUND_TOKENS).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-        write(rest.mapInArrow(again, OUT), f"{path}-rest")
+        write(rest.mapInArrow(tidied(again), OUT), f"{path}-rest")
         done = done.filter("not open").unionByName(spark.read.schema(OUT).parquet(f"{path}-rest"))
     return done.drop("open")
