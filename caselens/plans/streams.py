@@ -17,11 +17,12 @@ def _events(spark, d):
     return st.file_stream(spark, d, table(spark, d, "events").schema, glob="events.parquet")
 
 
-def _parts(spark, d, name, n=3):
-    """A table as n files without order in time, each a micro-batch of its own."""
-    path = scratch_path(spark, name)
-    table(spark, d, name).repartition(n).write.parquet(path)
-    return st.file_stream(spark, path, table(spark, d, name).schema, per_trigger=1)
+def _parts(spark, d, name, n=3, columns=("*",)):
+    """The columns of a table in n micro-batches without order in time, each of as many files as a large table has tasks."""
+    path, rows = scratch_path(spark, name), table(spark, d, name).select(*columns)
+    each = -(-rows.rdd.getNumPartitions() // n)
+    rows.repartition(n * each).write.parquet(path)
+    return st.file_stream(spark, path, rows.schema, per_trigger=each)
 
 
 @query("st_ingest", EV + "SELECT case_id, source, count(*) AS n, max(ts) AS last_ts FROM ev GROUP BY 1,2")
@@ -76,7 +77,7 @@ def _changes(raw):
 
 @query("st_status", "WITH " + STATUS_SQL)
 def _(spark, d):
-    out = st.run_once(st.status_stream(_changes(_parts(spark, d, "lineitem"))), "update", "status")
+    out = st.run_once(st.status_stream(_changes(_parts(spark, d, "lineitem", columns=("l_orderkey", "l_linenumber", "l_shipdate")))), "update", "status")
     # each micro-batch tells of the files it changed; the last word on a file is the one with most known
     last = out.groupBy("evidence_id").agg(F.max(F.struct("batch", "status", "started_us", "finished_us", "scan_ms")).alias("s"))
     return last.select("evidence_id", "s.status", "s.started_us", "s.finished_us", "s.scan_ms")

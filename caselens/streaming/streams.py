@@ -155,7 +155,7 @@ def _scan_ms() -> Column:
 class FileStatus(StatefulProcessor):
     """Latest change, start and end of a file by their own times; a timer tells of files that do not end."""
 
-    def __init__(self, stalled_ms: int | None):
+    def __init__(self, stalled_ms: int):
         self.stalled_ms = stalled_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -177,8 +177,7 @@ class FileStatus(StatefulProcessor):
             ended = max([ended, *(t for t, s in seen if s in TERMINAL)])
         known = (at, status, started, ended)
         self.known.update(known)
-        if self.stalled_ms is not None:
-            self._watch(started >= 0 and ended < started, timerValues)
+        self._watch(started >= 0 and ended < started, timerValues)
         yield self._row(key, known)
 
     def _watch(self, runs: bool, timerValues) -> None:
@@ -206,15 +205,24 @@ def status_stream(changes: DataFrame, stalled_after_ms: int | None = None) -> Da
     """Stream form: the state of each file that changed in a micro-batch.
 
     The state is the latest change, start and end by their own times, so late and
-    repeated changes leave it as the batch form would have it. With
+    repeated changes leave it as the batch form would have it: three maxima, held
+    as the keyed state of an aggregate, so no file costs a call of Python. With
     ``stalled_after_ms`` a file that began and did not end within that time of
     its last change is told once more, with the status ``stalled``; such a query
-    needs a trigger by time, as it never runs out of micro-batches.
+    needs timers and a trigger by time, as it never runs out of micro-batches.
     """
-    out = keyed(changes).groupBy("evidence_id").transformWithStateInPandas(
-        FileStatus(stalled_after_ms), "evidence_id string, status string, started_us bigint, finished_us bigint, at_us bigint", "update", "none" if stalled_after_ms is None else "processingTime")
-    for c in ("started_us", "finished_us"):
-        out = out.withColumn(c, F.when(F.col(c) >= 0, F.col(c)))
+    if stalled_after_ms is None:
+        at = F.col("at_us")
+        out = keyed(changes).groupBy("evidence_id").agg(
+            F.max(F.struct("at_us", "status")).alias("_last"), F.max(F.when(F.col("status") == "parsing", at)).alias("started_us"),
+            F.max(F.when(F.col("status").isin(TERMINAL), at)).alias("_end"))
+        done = F.when(F.col("started_us").isNull() | (F.col("_end") >= F.col("started_us")), F.col("_end"))
+        out = out.select("evidence_id", "_last.status", "started_us", done.alias("finished_us"), "_last.at_us")
+    else:
+        out = keyed(changes).groupBy("evidence_id").transformWithStateInPandas(
+            FileStatus(stalled_after_ms), "evidence_id string, status string, started_us bigint, finished_us bigint, at_us bigint", "update", "processingTime")
+        for c in ("started_us", "finished_us"):
+            out = out.withColumn(c, F.when(F.col(c) >= 0, F.col(c)))
     return out.withColumn("scan_ms", _scan_ms())
 
 

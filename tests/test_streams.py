@@ -6,6 +6,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caselens.operators import ordered as od
 from caselens.streaming import streams as ss
@@ -89,3 +90,21 @@ def test_repaired_counts(spark):
     stored = spark.createDataFrame([("x", 1, 5), ("y", 1, 2)], "ip string, w int, failures long")
     late = spark.createDataFrame([("x", 1, 1), ("z", 2, 4)], "ip string, w int, failures long")
     assert {tuple(r) for r in ss.repair_counts(stored, late, ["ip", "w"], ["failures"]).collect()} == {("x", 1, 6), ("y", 1, 2), ("z", 2, 4)}
+
+
+def test_status_needs_no_python_call_per_file(spark, tmp_path):
+    """Without timers the state of a file is an aggregate; it equals the batch form over several micro-batches, nulls and times before 1970 included."""
+    schema = "evidence_id string, status string, at_us long"
+    names = ["queued", "parsing", "parsed", "failed"]
+    changes = spark.range(2000).select(
+        F.when(F.col("id") % 97 > 0, F.concat(F.lit("f"), F.col("id") % 300)).alias("evidence_id"),
+        F.when(F.col("id") % 89 > 0, F.get(F.array(*map(F.lit, names)), (F.xxhash64("id") % 4 + 4).cast("int") % 4)).alias("status"),
+        F.when(F.col("id") % 83 > 0, F.xxhash64("id", F.lit(1)) % 1000).alias("at_us")).repartition(3)
+    changes.write.parquet(str(tmp_path / "changes"))
+    out = ss.status_stream(ss.file_stream(spark, str(tmp_path / "changes"), StructType.fromDDL(schema), per_trigger=1))
+    assert "Pandas" not in out._jdf.queryExecution().analyzed().toString()
+    last = {}
+    for r in sorted(ss.run_once(out, "update").collect(), key=lambda r: r.batch):
+        last[r.evidence_id] = (r.status, r.started_us, r.finished_us, r.scan_ms)
+    want = {r.evidence_id: (r.status, r.started_us, r.finished_us, r.scan_ms) for r in ss.latest_status(spark.read.parquet(str(tmp_path / "changes"))).collect()}
+    assert last == want and len(want) == 301
