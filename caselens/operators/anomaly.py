@@ -92,7 +92,9 @@ def hbos(feats: DataFrame, bins: int = 10, contamination: float | None = None) -
 
 # ---- local outlier factor --------------------------------------------------------
 
-WIDTHS = [4.0 ** -6, 4.0 ** -5, 4.0 ** -4, 4.0 ** -3, 4.0 ** -2, 4.0 ** -1, 1.0, 4.0, 64.0]
+# down to the steps of frequencies in cases of millions of events: a coarser first grid would pair whole cases
+WIDTHS = [*(4.0 ** -i for i in range(12, 0, -1)), 1.0, 4.0, 64.0]
+ROUNDING = 1e-9  # distances are rounded to nine digits
 
 
 def _cell(x: list[Column], w: float) -> list[tuple[Column, bool]]:
@@ -112,6 +114,14 @@ def _cell(x: list[Column], w: float) -> list[tuple[Column, bool]]:
     ]
 
 
+def _first_width(vecs: DataFrame, grid: list[Column], busy_cell: int) -> int:
+    """Place of the widest width whose cells hold at most ``busy_cell`` vectors; only one number per width comes back."""
+    busiest = vecs.select("case_id", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.array(*[c for c, _n in _cell(grid, w)]).alias("c")) for i, w in enumerate(WIDTHS)])).alias("g")).groupBy(
+        "case_id", "g.i", "g.c").agg(F.count("*").alias("n")).groupBy("i").agg(F.max("n").alias("n")).collect()
+    return max((r["i"] for r in busiest if r["n"] <= busy_cell), default=0)
+
+
 def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: int = 64) -> DataFrame:
     """Local outlier factor per case, exact, without comparing all pairs.
 
@@ -131,12 +141,7 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
     vecs = materialize(uniq.join(kk.filter("k >= 2"), "case_id").drop("_n"), "vectors")
     grid = [F.col(x) for x in xs]
 
-    # widest grid without overfull cells; only one number per width comes back
-    busiest = vecs.select("case_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*[c for c, _n in _cell(grid, w)]).alias("c")) for i, w in enumerate(WIDTHS)])).alias("g")).groupBy(
-        "case_id", "g.i", "g.c").agg(F.count("*").alias("n")).groupBy("i").agg(F.max("n").alias("n")).collect()
-    fine = [r["i"] for r in busiest if r["n"] <= busy_cell]
-    start = max(fine) if fine else 0
+    start = _first_width(vecs, grid, busy_cell)
 
     active, found = vecs, None
     for w in WIDTHS[start:]:
@@ -155,7 +160,7 @@ def lof(feats: DataFrame, k: int = 10, contamination: float = 0.05, busy_cell: i
         pairs = probe.join(base, ["case_id", *[f"g{i}" for i in range(len(cell))]]).select(
             "vid", "k", "nb", F.when(F.col("vid") == F.col("nb"), F.col("nw") - 1).otherwise(F.col("nw")).alias("nw"), F.round(F.sqrt(sq), 9).alias("d"))
         if not last:
-            pairs = pairs.filter(F.col("d") <= w)
+            pairs = pairs.filter(F.col("d") <= w - ROUNDING)  # what rounds to no more lies in the cells searched
         cum = Window.partitionBy("vid").orderBy("d")
         # the k-distance neighbours have rank <= k; map tasks drop the rest before the shuffle
         close = pairs.filter("nw > 0").withColumn("_r", F.rank().over(cum)).filter(F.col("_r") <= k)

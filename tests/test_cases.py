@@ -76,6 +76,25 @@ def test_lof_matches_brute_force(spark, kind):
     assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-4)
 
 
+def test_lof_grid_is_as_fine_as_frequencies_of_large_cases(spark):
+    """Frequencies a millionth apart, as in cases of a million events, are parted by the first grid; scores stay those of brute force."""
+    rng = np.random.default_rng(3)
+    at = rng.choice(900, 300, replace=False)
+    x = np.zeros((300, 6))
+    x[:, 2], x[:, 3] = 0.01 + (at % 30) * 1e-5, 0.02 + (at // 30) * 1e-5
+    rows = spark.createDataFrame([("c", str(i), *map(float, r)) for i, r in enumerate(x)], "case_id string, event_id string, " + ", ".join(f"{f} double" for f in an.FEATURES))
+    i = an._first_width(rows, [F.col(f) for f in an.FEATURES], 8)
+    cells = np.unique(np.floor(x[:, 2:4] / an.WIDTHS[i]), axis=0, return_counts=True)[1]
+    assert cells.max() <= 8
+    # equal numbers of far larger variance make no feature constant
+    wide = np.vstack([x, [[0, 0, 0.9, 0.9, 0, 0]] * 15])
+    rows = spark.createDataFrame([("c", str(i), *map(float, r)) for i, r in enumerate(wide)], "case_id string, event_id string, " + ", ".join(f"{f} double" for f in an.FEATURES))
+    got = {int(r.event_id): r.score for r in an.lof(rows, busy_cell=8).collect()}
+    raw = np.round(brute_lof(wide, 10), 6)
+    want = (raw - raw.min()) / (raw.max() - raw.min())
+    assert np.allclose([got[i] for i in range(len(wide))], want, atol=1e-4)
+
+
 def test_lof_neutral_when_constant(spark):
     df = spark.createDataFrame([("c", str(i), 1.0, 0.0, 0.5, 0.5, 0.5, 0.0) for i in range(8)], "case_id string, event_id string, " + ", ".join(f"{f} double" for f in an.FEATURES))
     assert {(r.flag, r.score) for r in an.lof(df).collect()} == {(False, 0.0)}
