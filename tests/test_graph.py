@@ -130,6 +130,45 @@ def test_paths_of_any_length(spark):
     assert not short.reached and short.hops is None and short.path is None
 
 
+def test_shortest_paths_share_trees(spark):
+    """Paths equal those of a search per pair with the smallest predecessor, and sources around one node grow one tree."""
+    import random
+
+    from collections import deque
+
+    rnd = random.Random(5)
+    links = [(f"p{i:02d}", f"h{rnd.randrange(4)}") for i in range(40) for _ in range(2)] + [("h0", "q0"), ("q0", "h1"), ("h2", "t"), ("t", "z"), ("x", "y")]
+    beside = {}
+    for a, b in links:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    nodes = sorted(beside)
+    asked = [(f"k{i}", rnd.choice(nodes), rnd.choice(nodes)) for i in range(60)] + [("self", "z", "z"), ("lost", "none", "z"), ("null", None, "z")]
+
+    def walk(a, b):
+        far, queue = {a: 0}, deque([a])
+        while queue:
+            n = queue.popleft()
+            for m in beside.get(n, ()):
+                if m not in far:
+                    far[m] = far[n] + 1
+                    queue.append(m)
+        if b not in far:
+            return None
+        path = [b]
+        while path[0] != a:
+            path.insert(0, min(m for m in beside[path[0]] if far[m] == far[path[0]] - 1))
+        return path
+
+    edges = spark.createDataFrame(links, "src string, dst string")
+    got = {r.pair_id: r for r in tr.shortest_paths(edges, spark.createDataFrame(asked, "pair_id string, source string, target string")).collect()}
+    assert {k: r.path for k, r in got.items()} == {k: walk(a, b) for k, a, b in asked}
+    assert all(r.hops == (len(r.path) - 1 if r.path else None) and r.reached == (r.path is not None) for r in got.values())
+    star = spark.createDataFrame([(f"s{i}", "hub") for i in range(30)], "src string, dst string")
+    starts = tr._starts(tr.undirected(star), spark.createDataFrame([(f"s{i}",) for i in range(30)], "source string"))
+    assert [tuple(r) for r in starts.select("root", "start").distinct().collect()] == [("hub", 1)]
+
+
 def test_attack_trace_case_names(spark):
     edges = spark.createDataFrame([("a", "m"), ("m", "b")], "src string, dst string")
     sus = spark.createDataFrame([("c#1", "a", T0), ("c#1", "b", T0 + dt.timedelta(1))], "case_id string, node_id string, ts timestamp_ntz")
