@@ -235,3 +235,48 @@ def test_cascade(spark):
     names = {r.node_id for r in out["nodes"].collect()}
     assert "process:c1:H:2:b.exe" in names and "process:c1:H:1:a.exe" not in names
     assert not any(x.split(":")[1].startswith("c2") for x in names)
+
+
+def written(monkeypatch, module):
+    """The tables that a module writes, by name."""
+    seen, write = {}, module.materialize
+
+    def keep(df, name="step"):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(module, "materialize", keep)
+    return seen
+
+
+def test_a_relation_reads_flat_rows_only(spark):
+    e = ev(spark, [row(1, ip="8.8.8.8", port=443), row(2, source="browser")])
+    n, d = gr.graph_of(e)
+    assert keyset(n, "node_id") == keyset(gr.nodes_of(e), "node_id") and keyset(d, "src", "dst") == keyset(gr.edges_of(e), "src", "dst")
+    for df in (d.filter("rel_type = 'CONNECTED_TO'"), n.filter("label = 'IPAddress'")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "Generate" not in plan and "Union" not in plan and plan.count("Relation") <= 1
+
+
+def test_processes_of_a_name_meet_a_domain_counted(spark):
+    nodes = spark.createDataFrame([("c1", f"process:{i}", "Process", "a.exe" if i < 40 else None) for i in range(50)] + [("c1", "domain:d", "Domain", "d"), ("c1", "domain:e", "Domain", "e")],
+                                  "case_id string, node_id string, label string, name string")
+    edges = spark.createDataFrame([("c1", "RESOLVED", f"process:{i}", "domain:d", 2) for i in range(50)], "case_id string, rel_type string, src string, dst string, m long")
+    out = co.domain_resolutions(nodes, edges)
+    assert sorted((r.source, r.target, r.matches) for r in out.collect()) == [("Network Service", "d", 20), ("Network Service", "e", 1), ("a.exe", "d", 80)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].count("Aggregate") >= 2
+
+
+def test_rules_write_entities_only(spark, monkeypatch):
+    seen = written(monkeypatch, co)
+    e = ev(spark, [row(1, parent="winword.exe", ip="8.8.8.8", port=443), row(2, ip="8.8.8.8", port=443, evid="v2", source="pcap"), row(3, ip="8.8.8.8")])
+    found = co.all_findings(*gr.graph_of(e, "actual"), e)
+    assert {r.rule for r in found.collect()} >= {"ATTACK_PATH", "CROSS_EVIDENCE_CORRELATION"}
+    assert {r.rel_type for r in seen["counted"].collect()} & {"INVOLVES_PROCESS", "OCCURRED_ON", "CONTAINS_EVENT"} == set()
+    assert seen["entities"].filter(F.col("label").isin(gr.EVENT_LABELS)).count() == 0
+
+
+def test_export_makes_nodes_once(spark, monkeypatch):
+    seen = written(monkeypatch, gr)
+    n, d = gr.export(*gr.graph_of(ev(spark, [row(1), row(2, hot=True, score=0.9)])))
+    assert n is seen["export-nodes"] and d.count() > 0
