@@ -9,6 +9,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,28 +110,48 @@ def encoder_embedding(
 
 def embed_events(events: DataFrame, embed: Callable[[DataFrame], DataFrame] = hashed_embedding) -> DataFrame:
     """Event vectors; each distinct sentence of a case is embedded once."""
-    mapped = sentence_map(events)
-    vectors = embed(unique_sentences(mapped).select("case_id", "sentence_id", "sentence"))
+    mapped = materialize(sentence_map(events).select("case_id", "event_id", "sentence_id", "sentence"), "sentences")
+    vectors = embed(materialize(unique_sentences(mapped).select("case_id", "sentence_id", "sentence"), "unique"))
     return mapped.select("case_id", "event_id", "sentence_id").join(
         vectors.select("case_id", "sentence_id", "embedding"), ["case_id", "sentence_id"])
 
 
-def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix of their own type, without an object per row."""
+    rows = column.combine_chunks()
+    size = pc.unique(pc.list_value_length(rows)).to_pylist()
+    if len(size) != 1:
+        raise ValueError(f"vectors of lengths {sorted(size)}")
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size[0])
+
+
+STRIPE = 4_096  # vectors of a block that are held as doubles at a time
+
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The k best vectors of each query for one block of vectors and one of queries."""
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-        left = left.sort_values("id")
-        ids = left["id"].to_numpy()
-        m = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        names, hits, scores = [], [], []
-        for qid, vec in zip(right["query_id"], right["query"]):
-            s = np.round(m @ np.asarray(vec, dtype=np.float64), 9)
-            top = np.argsort(-s, kind="stable")[:k]
-            names += [qid] * len(top)
-            hits += list(ids[top])
-            scores += list(s[top])
-        return pd.DataFrame({"query_id": pd.Series(names, dtype=object), "id": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)})
+    schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        left = left.select(["id", "embedding"]).sort_by("id")
+        m = _matrix(left["embedding"])
+        asked, hits, scores = _matrix(right["query"]).astype(np.float64), [], []
+        for at in range(0, len(m), STRIPE):
+            part = m[at : at + STRIPE].astype(np.float64)
+            for i, vec in enumerate(asked):
+                s = np.round(part @ vec, 9)
+                top = np.argsort(-s, kind="stable")[:k]
+                if at:  # those of earlier stripes have smaller ids and go first among equals
+                    top, s = np.concatenate([hits[i], top + at]), np.concatenate([scores[i], s[top]])
+                    first = np.argsort(-s, kind="stable")[:k]
+                    hits[i], scores[i] = top[first], s[first]
+                else:
+                    hits.append(top)
+                    scores.append(s[top])
+        names = np.repeat(np.arange(len(asked)), [len(x) for x in hits])
+        return pa.Table.from_arrays([right["query_id"].take(pa.array(names)), left["id"].take(pa.array(np.concatenate(hits))), pa.array(np.concatenate(scores))], schema=schema)
 
     return best
 
@@ -149,7 +171,7 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, by: str, k: int, block: i
     v = vectors.join(sizes, by).select(F.col(by).alias("grp"), "id", "embedding", part("id", "nv").alias("vb"), every("nq").alias("qb"))
     q = queries.join(sizes, by).select(F.col(by).alias("grp"), "query_id", "query", part("query_id", "nq").alias("qb"), every("nv").alias("vb"))
     keys = ["grp", "vb", "qb"]
-    found = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_best(k), "query_id string, id string, score double")
+    found = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_best(k), "query_id string, id string, score double")
     return top_n(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 

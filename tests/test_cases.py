@@ -322,3 +322,26 @@ def test_forest_of_a_baseline_scores_other_rows(spark):
     out = {r.event_id: r for r in an.isolation_forest(new, an.fit_forest(base), base).collect()}
     far = [out[f"n{i}"] for i in (60, 61, 62)]
     assert all(r.flag and r.score == 1.0 for r in far) and np.mean([r.flag for r in out.values()]) < 0.3
+
+
+def test_a_block_of_vectors_is_searched_in_stripes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(ve, "STRIPE", 7)
+    r = np.random.default_rng(3)
+    m, q = r.integers(-2, 3, (50, 4)).astype(np.float32), r.integers(-2, 3, (6, 4)).astype(np.float32)
+    ids = [f"{i:02d}" for i in r.permutation(50)]
+    left = pa.table({"id": ids, "embedding": pa.array(list(m), pa.list_(pa.float32()))})
+    right = pa.table({"query_id": [str(i) for i in range(6)], "query": pa.array(list(q), pa.list_(pa.float32()))})
+    want = [(str(i), b, float(-a)) for i in range(6) for a, b in sorted((-float(x @ q[i]), y) for x, y in zip(m, ids))[:5]]
+    assert [tuple(x.values()) for x in ve._best(5)(left, right).to_pylist()] == want
+    assert len(ve._best(5)(left.slice(0, 0), right)) == 0
+
+
+def test_sentences_are_made_once(spark, monkeypatch):
+    seen, write = [], ve.materialize
+    monkeypatch.setattr(ve, "materialize", lambda df, name="step": seen.append(name) or write(df, name))
+    ev = conform(spark.createDataFrame([("e1", "c1", "u", "click"), ("e2", "c1", "u", "click"), ("e3", None, "u", "click")], "event_id string, case_id string, subject string, action string"))
+    out = ve.embed_events(ev)
+    assert sorted(r.event_id for r in out.collect()) == ["e1", "e2"]
+    assert seen == ["sentences", "unique"] and "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
