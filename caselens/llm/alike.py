@@ -1,10 +1,10 @@
-"""Near-duplicates at a Jaccard likeness, proposed by SimHash and by shared shingles, all verified.
+"""Near-duplicates by SimHash fingerprints and by Jaccard likeness of shingle sets.
 
-Two sources propose: the Gray-order index over SimHash fingerprints of the
-shingle sets, and the lists and subsets of the heavy-light join. No radius on
-64-bit fingerprints finds every pair of likeness 0.8, the second source does;
-the first one ties the close copies of a group together. Whatever is proposed
-is compared on whole sets before it counts.
+Two texts are linked if the fingerprints of their sets differ in few bits, which
+the Gray-order index finds, or if their sets have the likeness asked for, which
+the heavy-light join finds and verifies on whole sets. Neither holds the other:
+no radius on 64-bit fingerprints finds every pair of likeness 0.8, and texts of
+close fingerprints may fall short of it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def proposed(rows: DataFrame, radius: int = neardup.RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = setjoin.WORDS, least: tuple[int, int] = setjoin.LEAST, radius: int = neardup.RADIUS, few: int = setjoin.FEW, block: int = setjoin.BLOCK,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of texts at likeness ``least`` or more the one with the smallest id.
+    """The rows of ``docs`` that stay: of each component of texts within ``radius`` bits or at likeness ``least`` or more the one with the smallest id.
 
     Texts without words are alike with nothing and all stay. Equal rows are
     copies of each other. A row without id stays only if its component has no
@@ -37,7 +37,10 @@ def keep_one(docs: DataFrame, words: int = setjoin.WORDS, least: tuple[int, int]
     """
     rows = setjoin.named_sets(docs, docs.columns, text_col, words)
     texts = rows.select(rows[text_col].cast("string").alias("__text"))
-    roots = setjoin.components(rows, texts, words, least, few, block, proposed(rows, radius))
+    near = materialize(proposed(rows, radius), "near")
+    sets = setjoin.components(rows, texts, words, least, few, block, near)
+    tied = neardup.stars(sets.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(near))
+    roots = tied.select(F.col("u").alias("fp"), "root").unionByName(tied.select(F.col("root").alias("fp"), "root").distinct())
     each = rows.filter("__n > 0").select("__fp", "__row", F.struct(rows[id_col].isNull().alias("no"), rows[id_col].cast("long").alias("id"), F.col("__row").alias("row")).alias("s"))
     small = materialize(each.groupBy("__fp").agg(F.min("s").alias("s")), "small")
     placed = small.join(roots, small["__fp"] == roots["fp"], "left").withColumn("__group", F.coalesce("root", "__fp"))

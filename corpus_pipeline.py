@@ -31,10 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
-    Near-duplicates are texts whose sets of 5-word shingles have a Jaccard
-    likeness of 0.8 or more, and what hangs together through such pairs. The
-    Gray-order index over SimHash fingerprints and shared shingles propose pairs;
-    all are verified on the sets, and no pair is missed. Texts without words all stay.
+    Near-duplicates are texts whose sets of 5-word shingles have SimHash
+    fingerprints within 3 bits, found by the Gray-order index, or a Jaccard
+    likeness of 0.8 or more, verified on the sets, and what hangs together
+    through such pairs. No pair is missed. Texts without words all stay.
     """
     bounded_batches(spark)
     return alike.keep_one(docs)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caselens.llm import alike, fingerprint, neardup
+from caselens.llm import alike, fingerprint, neardup, setjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,3 +206,16 @@ def test_pipeline_keeps_one_of_edge_rows(edge):
     assert kept.columns == edge.columns
     # 1 and 10 differ in case only, 7 stands twice; texts without words all stay
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 9, 11]
+
+
+def test_close_fingerprints_alone_are_near_duplicates(spark):
+    r = random.Random(275)
+    n = r.randint(40, 60)
+    words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+    copy = list(words)
+    copy[r.randint(8, n - 8)] = "x"
+    copy = copy[: n - r.randint(0, 2)]
+    sets = setjoin.shingle_sets([" ".join(words), " ".join(copy)])
+    assert not setjoin.alike(*sets) and bin((int(setjoin.majority(sets[0])) ^ int(setjoin.majority(sets[1]))) & (1 << 64) - 1).count("1") <= neardup.RADIUS
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "something else entirely in these seven words")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in alike.keep_one(docs).collect()) == [1, 3]
