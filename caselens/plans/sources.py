@@ -327,7 +327,9 @@ def _(spark, d):
         F.lit('<Event xmlns="e"><System><Provider Name="P"/><EventID Qualifiers="1">'), code, F.lit("</EventID>"), gap, F.lit("<Level>"), _s(k % 4), F.lit("</Level><TimeCreated SystemTime='"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z'/>"), gap, F.lit("<Channel>Security</Channel><Computer>host"), _s(k % 7), F.lit('</Computer><Security UserID="S-1-5-'), _s("uid"),
         F.lit('"/></System>'), gap, F.lit("<EventData>"), user, image, F.lit('<Data Name="rec">'), _s("eid"), F.lit("</Data></EventData>"), gap, F.lit("</Event>"), F.when(k % 4 == 0, "\nnoise <Eventual>\n").otherwise(""))
-    files = r.select(F.concat(F.lit("f"), _s(F.col("eid") % 40), F.lit(".xml")).alias("source_file"), "eid", text.alias("x")).groupBy("source_file").agg(
+    texts = r.select(F.concat(F.lit("f"), _s(F.col("eid") % 40), F.lit(".xml")).alias("source_file"), "eid", text.alias("x"))
+    # dealt by file before they are gathered: no map task holds lists of its rows, and a task of few files is not merged with others
+    files = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_file").groupBy("source_file").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eid", "x"))), lambda p: p["x"]), "").alias("content")).withColumn("file_type", F.lit("windows_events"))
     fm.register_windows_events(spark)
     ev = no.dispatch(files, ts0())

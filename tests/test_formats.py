@@ -52,6 +52,53 @@ def test_records_over_lines(spark):
     assert fm.events_of(lines.limit(0), fm.table_function(Block)).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_in_batches_give_the_rows_of_the_table_function(spark):
+    """Files of equal and missing names, of other cases, longer than a batch, without lines: the same rows, handed over as Arrow."""
+    Block = block_format()
+    texts = [("a", "f1", 5), ("a", "f2", 0), ("b", "f1", 3), ("b", "f1", 0), (None, "f1", 2), ("a", None, 4), ("a", "f3", 40)]
+    rows = [(c, n, "blk", "\n".join(x for i in range(k) for x in (f"user {c}{n}{k}.{i}", "did \x00é", "", "did y"))) for c, n, k in texts] + [("a", "f4", "blk", None)]
+    files = spark.createDataFrame(rows, "case_id string, source_file string, file_type string, content string").repartition(3)
+    lines = no.text_lines(files)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got, want = fm.read_lines(lines, Block), fm.table_function(Block)(lines.asTable())
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 54
+        assert fm.read_lines(lines.limit(0), Block).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_dispatch_takes_lines_in_batches(spark):
+    """No line is handed to Python as a row of its own, and the query deals its texts by file before it gathers them."""
+    from __spark_entry__ import queries
+
+    plan = plan_of(queries()["src_windows_events"](spark, "/root/testdata/sf0.001"))
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
+    assert "REPARTITION_BY_NUM" in plan and "ObjectHashAggregate(keys=[source_file" in plan
+
+
+def test_values_of_other_types(spark):
+    """Values are cast to the column's type, whether lines come one by one or in batches."""
+    class Odd(fm.LineFormat):
+        columns = "ts timestamp_ntz, processed_at timestamp, subject string, pid bigint, confidence double, is_anomaly boolean, mitre_techniques array<string>"
+
+        def feed(self, line, number):
+            import datetime as dt
+            zone = dt.timezone(dt.timedelta(hours=2))
+            yield {"ts": dt.datetime(2024, 1, 1, 5, tzinfo=zone if number % 2 else None), "processed_at": dt.datetime(2024, 1, 1, 5, tzinfo=zone), "subject": number if number % 3 else line, "pid": number, "confidence": 0.5, "is_anomaly": number > 1, "mitre_techniques": [line] * (number - 1)}
+            yield {}
+
+    lines = no.text_lines(spark.createDataFrame([("f", "a\nb\nc\nd"), ("g", "x")], "source_file string, content string"))
+    got, want = fm.read_lines(lines, Odd), fm.table_function(Odd)(lines.asTable())
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 10
+
+
 ONE = """<Event xmlns='x'><System><Provider Name="Sec"/><EventID>4688</EventID><Level>2</Level><TimeCreated SystemTime="2024-03-01T10:00:00.1234567Z"/><Channel>Security</Channel><Computer>H1</Computer></System>
 <EventData><Data Name="SubjectUserName">bob</Data><Data Name='TargetUserName'>-</Data><Data Name="NewProcessName">C:\\a &lt;b&gt;.exe</Data>
 <Data Name="CommandLine">a
