@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, join_counted, shuffle_partitions, tidied
+from caselens.llm.common import bounded_batches, byte_slices, join_counted, shuffle_partitions, tidied
 from caselens.llm.neardup import SEED, majority, stars
 from caselens.session import materialize
 
@@ -578,6 +578,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, least: Fraction = LEAST, f
     each stay. Rows without an id take part; a component that holds no id has a
     null component_id. Other columns are ignored. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     ids = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = named_sets(ids, ["doc_id"], "text", words)
     roots = components(rows, ids.select(F.col("text").alias("__text")), words, least, few, block)

@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caselens.llm import queries, setjoin
+from caselens.llm.common import ARROW_BYTES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,3 +120,26 @@ def test_query_against_brute_force(spark, sf):
 def test_edge_rows(edge, nothing):
     assert got(setjoin.jaccard_join(edge)) == brute(edge.select("doc_id", "text").collect())
     assert setjoin.jaccard_join(nothing).collect() == []
+
+
+def test_texts_come_in_bounded_batches(spark, monkeypatch):
+    """What a session hands Python at a time by itself, 10,000 rows, is more than an executor has room for if texts are long."""
+    plain, most = setjoin.tidied, 12 << 20
+
+    def watched(run):
+        def held(batches):
+            for batch in batches:
+                assert batch.nbytes < most
+                yield batch
+
+        return plain(lambda batches: run(held(batches)))
+
+    monkeypatch.setattr(setjoin, "tidied", watched)
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(64 << 20))
+    try:
+        docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 20_000).alias("text"))
+        found = setjoin.jaccard_join(docs).collect()
+        assert sorted(map(tuple, found)) == [(i, 1, i) for i in range(200)]
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
