@@ -17,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import byte_slices, default_tokenizer, encoder, texts, tidied
+from caselens.llm.common import CACHE_ENTRIES, byte_slices, default_tokenizer, encoder, texts, tidied
 from caselens.session import scratch_path
 
 CAPACITY = 1024
 OPEN_BINS = 1024
 ROUND_TOKENS = 1 << 26
 SLICE_BYTES = 2 << 20  # of text that is encoded at once
+BATCH_TOKENS = 1 << 18  # of pieces that are handed on at once
 OUT = "doc_id long, piece int, start long, length int, ids binary, sequence_id long, offset int, open boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()),
                     ("sequence_id", pa.int64()), ("offset", pa.int32()), ("open", pa.bool_())])
@@ -95,7 +96,7 @@ def _packer(capacity: int, limit: int, mark: int, last: bool):
             for x in bins.add(it, it[3]):
                 ready.append((*x[0], x[1], x[2], False))
                 size += x[0][3]
-            if size > 1 << 20:
+            if size > BATCH_TOKENS:
                 yield batch_of(ready)
                 ready, size = [], 0
         ready += [(*x[0], x[1], x[2], not last) for x in bins.rest()]
@@ -110,13 +111,15 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """Packed pieces: doc_id, piece, start, length, ids, sequence_id, offset.
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut into
     whole sequences after a shorter first piece. A null text is empty, so its
     piece is the end id. Null ids and repeated rows are packed like others; an
-    empty table gives no rows. Offsets are gapless from 0 in each sequence.
+    empty table gives no rows. Offsets are gapless from 0 in each sequence. A task
+    keeps the ids of at most ``entries`` words and forgets them at its end: the
+    workers live on, and what they hold is missing to the work that follows.
     """
     spark = docs.sparkSession
     vocabulary = tokenizer or default_tokenizer()
@@ -124,6 +127,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
             enc = encoder(vocabulary)
+            enc.entries = entries
             for batch in batches:
                 for part in byte_slices(batch, limit=SLICE_BYTES):
                     ids, bounds = enc.encode(part.column("text"))
@@ -135,6 +139,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
                             begin = int(bounds[k]) + at
                             yield d, no, at, n, ids[begin : begin + n].tobytes()
                             at += n
+            enc.forget()
+            enc.entries = CACHE_ENTRIES
 
         yield from _packer(capacity, open_bins, 0, False)(items())
 

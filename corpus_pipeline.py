@@ -14,6 +14,8 @@ from caselens.llm.queries import digested
 from caselens.session import materialize
 
 LEAST_SCORE = 0.3  # share of a text's letters in spans of its language
+BATCH_BYTES = 2 << 20  # of rows that Python gets at a time: the stages take no more text than that at once
+WORDS_KEPT = 200_000  # whose ids a packing task keeps: with more, its workers need more memory than the other stages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the rows that name their language.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     model = langid.fit(docs)
     found = langid.identify(docs, model, docs.columns, spans=False, names=("__lang", "__score", "__spans"))
     stay = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
@@ -36,13 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     likeness of 0.8 or more, verified on the sets, and what hangs together
     through such pairs. No pair is missed. Texts without words all stay.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     return alike.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; null and empty texts, repeated rows and rows without id stay as they are. An empty table stays empty."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     return pii.mask(docs)
 
 
@@ -52,14 +54,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own, a null or empty text has no words; equal
     rows are documents each. An empty table stays empty.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences of 1024 tokens; a null or empty text is its end id alone. An empty table gives no pieces."""
-    bounded_batches(spark)
-    return digested(packing.pack(docs))
+    bounded_batches(spark, BATCH_BYTES)
+    return digested(packing.pack(docs, entries=WORDS_KEPT))
 
 
 STAGES = [("language_id", language), ("simhash_near_dedup", near_duplicates), ("pii", personal_data), ("source_mix", mix), ("best_fit_packing", pack)]

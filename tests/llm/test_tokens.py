@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caselens.llm import packing, planes, tokencount
-from caselens.llm.common import Encoder, default_tokenizer
+from caselens.llm.common import Encoder, default_tokenizer, encoder
 from caselens.session import materialize, scratch_path
 
 
@@ -149,3 +149,32 @@ def test_separators_across_blocks_and_open_ends(spark, tmp_path):
 def test_wide_ids_need_a_wide_type(nothing):
     with pytest.raises(ValueError):
         tokencount.write_flat(nothing, "/tmp/x", end_id=70000)
+
+
+def test_packing_leaves_no_words_behind(spark, monkeypatch):
+    """Workers live on: what a task keeps of its words would be missing to the stages that follow."""
+    plain, vocabulary = packing.tidied, default_tokenizer()
+
+    def watched(run):
+        def held(batches):
+            yield from plain(run)(batches)
+            enc = encoder(vocabulary)
+            assert len(enc.cache) + len(enc.old) <= 1
+
+        return held
+
+    monkeypatch.setattr(packing, "tidied", watched)
+    docs = spark.range(0, 50, 1, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: F.md5(x.cast("string")))).alias("text"))
+    assert packing.pack(docs).select("doc_id").distinct().count() == 50
+
+
+def test_encoder_keeps_few_words(tok):
+    enc = Encoder(default_tokenizer())
+    enc.entries = 200
+    texts = [" ".join(f"word{i}x{k}" for i in range(40)) for k in range(50)]
+    for t in texts:
+        ids, _ = enc.encode(pa.array([t]))
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.cache) + len(enc.old) <= 202
+    enc.forget()
+    assert len(enc.cache) + len(enc.old) == 1
