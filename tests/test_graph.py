@@ -169,6 +169,45 @@ def test_shortest_paths_share_trees(spark):
     assert [tuple(r) for r in starts.select("root", "start").distinct().collect()] == [("hub", 1)]
 
 
+def test_shortest_paths_pass_over_small_nodes(spark, monkeypatch):
+    """Leaves between hubs make no rows of trees, and paths are still those of a search from each source with the smallest predecessor."""
+    import random
+
+    from collections import deque
+
+    seen, rnd = written(monkeypatch, tr), random.Random(7)
+    monkeypatch.setattr(tr, "FEW", 3)
+    links = {(f"leaf{i:02d}", f"h{h}") for i in range(40) for h in rnd.sample(range(6), rnd.randrange(1, 4))} | {("h5", "h6"), ("h6", "x1"), ("x1", "x2"), ("x2", "x3")}
+    links |= {(f"far{i}", f"h{7 + i % 2}") for i in range(8)} | {(f"m{i}", f"h{h}") for i in range(3) for h in range(5)} | {("h0", "h1"), ("h3", "x3")}
+    beside = {}
+    for a, b in links:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    nodes = sorted(beside)
+    asked = [(f"k{i}", rnd.choice(nodes), rnd.choice(nodes)) for i in range(150)]
+
+    def walk(a, b):
+        far, queue = {a: 0}, deque([a])
+        while queue:
+            n = queue.popleft()
+            for m in beside[n]:
+                if m not in far:
+                    far[m] = far[n] + 1
+                    queue.append(m)
+        path = [b] if b in far else None
+        while path and path[0] != a:
+            path.insert(0, min(m for m in beside[path[0]] if far[m] == far[path[0]] - 1))
+        return path
+
+    edges, pairs = spark.createDataFrame(sorted(links), "src string, dst string"), spark.createDataFrame(asked, "pair_id string, source string, target string")
+    got = {r.pair_id: r for r in tr.shortest_paths(edges, pairs).collect()}
+    assert {k: r.path for k, r in got.items()} == {k: walk(a, b) for k, a, b in asked} and {r.hops for r in got.values()} >= {1, 2, 3, 4, None}
+    assert all(r.hops == (len(r.path) - 1 if r.path else None) for r in got.values())
+    over = {r.node for r in seen["passed"].collect()}
+    assert len(over) >= 40 and all(len(beside[n]) <= 3 and not beside[n] & over for n in over)
+    assert {r.node for r in seen["level3"].collect()} & over == set()
+
+
 def test_attack_trace_case_names(spark):
     edges = spark.createDataFrame([("a", "m"), ("m", "b")], "src string, dst string")
     sus = spark.createDataFrame([("c#1", "a", T0), ("c#1", "b", T0 + dt.timedelta(1))], "case_id string, node_id string, ts timestamp_ntz")
