@@ -33,32 +33,68 @@ def _ranked(order: str, *cols: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(order, *cols)))
 
 
+# Lines that are joined into one piece of a text before the pieces of a case meet.
+PIECE = 4096
+
+
+def _joined(items: Column) -> Column:
+    """The items that are not null with commas between; NULL when there is none."""
+    return F.when(F.exists(items, lambda x: x.isNotNull()), F.array_join(items, ","))
+
+
+def _text(rows: DataFrame, line: Callable[[Column], Column], name: str, *cols: str) -> DataFrame:
+    """One text per case: a line of every row in the order of ``rank``, with commas between.
+
+    Lines become pieces in many tasks; the task of a case gathers its pieces, so
+    it holds the text and not an object for each of its rows.
+    """
+    lines = rows.select("case_id", "rank", line(F.struct(*cols)).alias("line"))
+    pieces = lines.groupBy("case_id", F.floor((F.col("rank") - 1) / PIECE).alias("piece")).agg(_ranked("rank", "line").alias("items"))
+    pieces = pieces.select("case_id", "piece", _joined(F.col("items.line")).alias("text"))
+    texts = pieces.groupBy("case_id").agg(_ranked("piece", "text").alias("items"))
+    return texts.select("case_id", F.array_join("items.text", ",").alias(name))
+
+
 def bundle(
     events: DataFrame, findings: DataFrame, evidence: DataFrame, cases: DataFrame, hits: DataFrame | None = None,
     n_anomalies: int = 30, n_findings: int | None = None, n_files: int | None = None, n_sessions: int | None = 5,
+    lines: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One row per case: top anomalies, findings, newest files, techniques, first sessions, hits.
 
     A list with a number is cut before it is collected; ``files_total`` and
-    ``findings_total`` count all.
+    ``findings_total`` count all. A list in ``lines`` is a text of such lines
+    with commas between instead of an array, made for lists of any length.
     """
+    lines = lines or {}
+
+    def listed(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+        if name in lines:
+            return _text(rows, lines[name], name, *cols)
+        return rows.groupBy("case_id").agg(_ranked("rank", *cols).alias(name))
+
     anom = top_anomalies(events, n_anomalies)
-    a = anom.groupBy("case_id").agg(_ranked("rank", "event_id", "severity", "ts", "subject", "action", "object", "anomaly_score", "mitre_techniques").alias("anomalies"))
-    totals = [df.groupBy("case_id").agg(F.count("*").alias(c)) for df, c in ((findings, "findings_total"), (evidence, "files_total"))]
-    f = ranked(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], n_findings)
-    f = f.groupBy("case_id").agg(_ranked("rank", "rule", "source", "target", "score", "explanation").alias("correlations"))
-    e = ranked(evidence, ["case_id"], [F.desc("created_at"), F.asc("evidence_id")], n_files)
-    e = e.groupBy("case_id").agg(_ranked("rank", "evidence_id", "filename", "file_type", "status", "size_bytes").alias("evidence_list"))
+    a = listed(anom, "anomalies", "event_id", "severity", "ts", "subject", "action", "object", "anomaly_score", "mitre_techniques")
+    found = ranked(findings, ["case_id"], [F.desc("score"), F.asc("correlation_id")], n_findings)
+    f = listed(found, "correlations", "rule", "source", "target", "score", "explanation")
+    files = ranked(evidence, ["case_id"], [F.desc("created_at"), F.asc("evidence_id")], n_files)
+    e = listed(files, "evidence_list", "evidence_id", "filename", "file_type", "status", "size_bytes")
+    # an uncut list is written already: its rows are counted there
+    whole = ((found if n_findings is None else findings, "findings_total"), (files if n_files is None else evidence, "files_total"))
+    totals = [df.groupBy("case_id").agg(F.count("*").alias(c)) for df, c in whole]
     t = technique_set(anom).groupBy("case_id").agg(F.array_sort(F.collect_set("technique_id")).alias("techniques"))
+    if "techniques" in lines:
+        t = t.withColumn("techniques", F.array_join(F.transform("techniques", lines["techniques"]), ","))
     s = ranked(sessions(events, ["case_id"]), ["case_id"], [F.asc("start_ts")], n_sessions)
-    s = s.groupBy("case_id").agg(_ranked("rank", "start_ts", "end_ts", "event_count").alias("sessions"))
+    s = listed(s, "sessions", "start_ts", "end_ts", "event_count")
     out = cases
-    for part in (a, f, e, t, s, *totals):
+    for part in (*totals, a, t, s, e, f):  # the longest last: its rows go through one join
         out = out.join(part, "case_id", "left")
     if hits is not None:
-        h = hits.groupBy("case_id").agg(_ranked("rank", "event_id", "score").alias("semantic_hits"))
+        h = listed(hits, "semantic_hits", "event_id", "score")
         out = out.join(h, "case_id", "left")
-    return out
+    names = ["anomalies", "correlations", "evidence_list", "techniques", "sessions", "findings_total", "files_total"]
+    return out.select(*cases.columns, *names, *(["semantic_hits"] if hits is not None else []))
 
 
 def report(

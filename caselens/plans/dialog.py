@@ -217,13 +217,13 @@ SESSIONS_OF_CASE = """lg AS (SELECT case_id, ts, CASE WHEN epoch_us(ts)-epoch_us
   SELECT case_id, title, anomalies, correlations, evidence_list, techniques, sessions, findings_total, files_total FROM ecases LEFT JOIN a USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN k USING (case_id) LEFT JOIN se USING (case_id)""")
 def _(spark, d):
     ev = canonical_events(spark, d)
-    b = cx.bundle(ev, findings(spark, d), event_evidence(ev), event_cases(ev))
     us = lambda c: micros(c.cast("timestamp_ntz")).cast("string")
     listed = {
         "anomalies": lambda x: x.event_id, "correlations": lambda x: F.concat(x.rule, F.lit(":"), x.source, F.lit(">"), x.target, F.lit(":"), x.score.cast("string"), F.lit(":"), x.explanation),
         "evidence_list": lambda x: F.concat_ws("/", x.evidence_id, x.filename), "techniques": lambda x: x,
         "sessions": lambda x: F.concat(us(x.start_ts), F.lit("-"), us(x.end_ts), F.lit(":"), x.event_count.cast("string"))}
-    return b.select("case_id", "title", *[F.array_join(F.transform(c, f), ",").alias(c) for c, f in listed.items()], "findings_total", "files_total")
+    b = cx.bundle(ev, findings(spark, d), event_evidence(ev), event_cases(ev), lines=listed)
+    return b.select("case_id", "title", *listed, "findings_total", "files_total")
 
 
 TECHS_OF_TOP = "tt AS (SELECT DISTINCT case_id, unnest(string_split(techniques,',')) AS technique_id FROM top30 WHERE techniques<>'')"

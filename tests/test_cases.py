@@ -345,3 +345,23 @@ def test_sentences_are_made_once(spark, monkeypatch):
     out = ve.embed_events(ev)
     assert sorted(r.event_id for r in out.collect()) == ["e1", "e2"]
     assert seen == ["sentences", "unique"] and "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bundle_joins_long_lists_by_pieces(spark, monkeypatch):
+    """A case of more findings than a piece holds gives the text that its array gives, with lines that are NULL left out."""
+    from caselens.operators import context as cx
+
+    monkeypatch.setattr(cx, "PIECE", 3)
+    found = [("A", f"id{i:02d}", "R" if i % 4 else None, f"s{i}", "", i % 5, "x") for i in range(20)] + [("B", "id", None, "s", "t", 1, "x"), (None, "id", "R", "s", "t", 1, "x")]
+    findings = spark.createDataFrame(found, "case_id string, correlation_id string, rule string, source string, target string, score int, explanation string")
+    events = rows(spark, "A", "a1", 40).unionByName(rows(spark, "C", "c1", 2))
+    files = spark.createDataFrame([(c, f"f{i}", f"n{i}", "csv", "parsed", 1, T0) for c, i in (("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 1))],
+                                  "case_id string, evidence_id string, filename string, file_type string, status string, size_bytes long, created_at timestamp_ntz")
+    cases = spark.createDataFrame([("A",), ("B",), ("C",)], "case_id string")
+    lines = {"correlations": lambda x: F.concat(x.rule, F.lit(":"), x.source), "evidence_list": lambda x: x.filename, "sessions": lambda x: x.event_count.cast("string")}
+    text = {r.case_id: r for r in cx.bundle(events, findings, files, cases, lines=lines).collect()}
+    plain = {r.case_id: r for r in cx.bundle(events, findings, files, cases).select(
+        "*", *[F.array_join(F.transform(c, f), ",").alias(f"t_{c}") for c, f in lines.items()]).collect()}
+    for c in "ABC":
+        assert [text[c][k] for k in lines] == [plain[c][f"t_{k}"] for k in lines] and text[c].findings_total == plain[c].findings_total
+    assert text["A"].correlations.count(",") == 14 and text["B"].correlations == "" and text["C"].correlations is None and text["A"].findings_total == 20
