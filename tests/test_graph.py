@@ -319,3 +319,25 @@ def test_export_makes_nodes_once(spark, monkeypatch):
     seen = written(monkeypatch, gr)
     n, d = gr.export(*gr.graph_of(ev(spark, [row(1), row(2, hot=True, score=0.9)])))
     assert n is seen["export-nodes"] and d.count() > 0
+
+
+def test_graph_is_written_by_parts(spark, tmp_path):
+    """Every edge stands once in files in gzip, however often the graph is written, and the session's settings stay."""
+    from caselens.session import CLEANUP
+
+    e = ev(spark, [row(1, parent="winword.exe", ip="8.8.8.8", port=443), row(2, hot=True, score=0.9), row(2, hot=True, score=0.9), row(3, source="browser")])
+    nodes, edges = gr.graph_of(e)
+    lone = edges.limit(1).withColumn("rel_type", F.lit(None).cast("string"))
+    nodes, edges, before = nodes.filter("label <> 'Host'"), edges.unionByName(lone), spark.conf.get(CLEANUP, None)
+    for _ in range(2):
+        gr.write_graph(nodes, edges, str(tmp_path))
+    n, d = gr.export(nodes, edges)
+    assert keyset(spark.read.schema(n.schema).json(f"{tmp_path}/nodes"), "node_id") == keyset(n, "node_id")
+    back = spark.read.schema(edges.schema).json(f"{tmp_path}/edges")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, back.select(*gr.EDGE_COLUMNS).collect())) == sorted(map(key, d.collect()))
+    kinds = {r.rel_type for r in back.collect()}
+    assert kinds >= {None, "CONTAINS_EVENT", "SPAWNED", "USES_PORT", "CONTAINS_VISIT"} and "OCCURRED_ON" not in kinds
+    written_files = [f.name for f in tmp_path.glob("*/part-*")]
+    assert written_files and all(f.endswith(".json.gz") for f in written_files)
+    assert spark.conf.get(CLEANUP, None) == before
